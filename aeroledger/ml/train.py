@@ -64,8 +64,13 @@ def baseline_lr(rows: int, iterations: int = BASELINE_LR_ITERATIONS) -> Logistic
     return logistic_regression(iterations, regParam=1.0 / rows, standardization=False)
 
 
-def baseline_rf(trees: int = BASELINE_RF_TREES, depth: int = DEEPEST) -> RandomForestClassifier:
-    return random_forest(trees, depth)
+def deep_forest(trees: int = BASELINE_RF_TREES, depth: int = DEEPEST, **params) -> RandomForestClassifier:
+    """A forest for the bounded training sample.
+
+    Deep trees are grown in far fewer passes when the node of each row is kept
+    (one integer per row and tree) and more nodes are split at a time.
+    """
+    return random_forest(trees, depth, cacheNodeIds=True, maxMemoryInMB=1024, **params)
 
 
 def fit_models(train: DataFrame, features: Pipeline, classifiers: Mapping[str, Estimator]) -> dict[str, PipelineModel]:
