@@ -1,8 +1,9 @@
 """Foreign-key lookups and the fact table.
 
-No join carries a broadcast hint: the dimensions are written tables, so Spark
-knows their size and broadcasts those below its threshold. A larger one (tail
-numbers, say) becomes a shuffled join, whose hot or null keys AQE splits.
+No join carries a broadcast hint: every lookup side is a plain scan of a written
+table, so Spark knows its size and broadcasts it below its threshold. A larger
+one (tail numbers, say) becomes a sort-merge join, whose hot or null keys AQE
+splits; it can do so because nothing stands between the scan and the shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import (
     AIRCRAFT, AIRLINE, DATE, DEST, FACT_COLUMNS, FACT_LAYOUT, FLIGHT_NO, HOUR, ORIGIN, ROUTE, key_of,
 )
+from ..workspace import materialise
 from .ids import number_stored_rows
 
 # dimension, curated columns, dimension columns, foreign key in the fact
@@ -30,27 +32,35 @@ LOOKUPS: tuple[tuple[str, tuple[str, ...], tuple[str, ...], str], ...] = (
 )
 
 
+# Dimensions with several rows per lookup key.
+REPEATED = (ORIGIN, DEST, ROUTE)
+
+
+def last_per_key(dim: DataFrame, dim_id: str, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the one with the highest id, as a written table."""
+    return materialise(dim.groupBy(*keys).agg(F.max(dim_id).alias(dim_id)), f"{dim_id}-last")
+
+
 def look_up(
     facts: DataFrame, dim: DataFrame, dim_id: str, on: Sequence[tuple[str, str]], as_name: str,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Add the id (and ``carry`` columns) of the matching dimension row, null on a miss.
 
-    The dimension is reduced to one row per key, the one with the highest id,
-    so a lookup never fans out. A null in the key never matches.
+    ``dim`` has one row per key, so a lookup never fans out. A null in the key
+    never matches.
     """
-    keys = [dim_col for _, dim_col in on]
-    last = [F.max_by(c, dim_id).alias(c) for c in carry]
-    unique = dim.groupBy(*keys).agg(F.max(dim_id).alias(as_name), *last)
-    renamed = unique.withColumnsRenamed({k: f"_{as_name}_{k}" for k in keys})
-    condition = [F.col(fact_col) == F.col(f"_{as_name}_{k}") for (fact_col, _), k in zip(on, keys)]
-    return facts.join(renamed, condition, "left").drop(*[f"_{as_name}_{k}" for k in keys])
+    keys = {f"_{as_name}_{dim_col}": dim_col for _, dim_col in on}
+    narrow = dim.select(F.col(dim_id).alias(as_name), *carry, *[F.col(c).alias(k) for k, c in keys.items()])
+    condition = [F.col(fact_col) == F.col(k) for (fact_col, _), k in zip(on, keys)]
+    return facts.join(narrow, condition, "left").drop(*keys)
 
 
 def look_up_key(facts: DataFrame, dims: Mapping[str, DataFrame], as_name: str) -> DataFrame:
-    """One of the lookups of the fact, by the name of its foreign key."""
+    """One of the lookups of the fact, by the name of its foreign key; the last dimension row wins."""
     dim, fact_cols, dim_cols, _ = next(lookup for lookup in LOOKUPS if lookup[3] == as_name)
-    return look_up(facts, dims[dim], key_of(dim), list(zip(fact_cols, dim_cols)), as_name)
+    rows = last_per_key(dims[dim], key_of(dim), dim_cols) if dim in REPEATED else dims[dim]
+    return look_up(facts, rows, key_of(dim), list(zip(fact_cols, dim_cols)), as_name)
 
 
 def look_up_date(facts: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.enrich import add_columns, available_columns
 from ..operators.filters import filtered_fact
+from ..operators.ids import first_rows
 from ..schema import FACT
 from ..sources.datamart import Star
 from .rollup import top_n
@@ -28,11 +29,11 @@ DEFAULT_ROWS, MOST_ROWS = 500, 5_000
 def flight_table(star: Star, request: Any = None) -> DataFrame:
     """The first flights that pass the filters, by fact id.
 
-    The limit is applied to the fact alone (a top-k per task), so dimensions
-    are joined to the few rows that are shown.
+    The limit is applied to the fact alone, so dimensions are joined to the few
+    rows that are shown.
     """
     limit = top_n(request if isinstance(request, Mapping) else None, DEFAULT_ROWS, MOST_ROWS)
-    first = filtered_fact(star, request).orderBy("fact_id").limit(limit)
+    first = first_rows(filtered_fact(star, request), "fact_id", limit)
     shown = [c for c in FLIGHT_COLUMNS if c in available_columns(star)]
     return add_columns(first, star, shown).orderBy("fact_id").select(*shown)
 

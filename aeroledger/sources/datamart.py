@@ -14,6 +14,7 @@ from ..operators.canonical import curate
 from ..operators.dims import DIM_BUILDERS
 from ..operators.fact import build_fact
 from ..schema import DIM_ATTRIBUTES, FACT, FACT_KEYS, FACT_LAYOUT, key_of
+from ..workspace import materialise
 
 # --- fixed values: fact columns that are read as numbers, whatever they were stored as ---
 NUMERIC_FACT_COLUMNS = (
@@ -75,9 +76,12 @@ def conform(df: DataFrame, keys: Sequence[str], numbers: Sequence[str] = (), int
 
 
 def one_row_per_key(dim: DataFrame, key: str) -> DataFrame:
-    """A dimension reduced to one row per key (the smallest), so that joins cannot fan out."""
+    """The dimension itself if its key is unique, else one row per key (the smallest)."""
+    if dim.groupBy(key).count().where("count > 1").isEmpty():
+        return dim
     attributes = [c for c in dim.columns if c != key]
-    return dim.groupBy(key).agg(F.min(F.struct(*attributes)).alias("_row")).select(key, "_row.*")
+    smallest = dim.groupBy(key).agg(F.min(F.struct(*attributes)).alias("_row"))
+    return materialise(smallest.select(key, "_row.*"), f"{key}-unique")
 
 
 def load_star(spark: SparkSession, root: str) -> Star:

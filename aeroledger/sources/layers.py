@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.ids import PARTITION_BIT, first_rows
 from ..schema import ROW_SEQ
 
 
@@ -66,5 +67,4 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def csv_sample(df: DataFrame, path: str, rows: int = 10_000) -> None:
     """The first rows in landing order as CSV."""
-    first = df.orderBy(ROW_SEQ).limit(rows)
-    write_csv(first.drop(ROW_SEQ), path)
+    write_csv(first_rows(df, ROW_SEQ, rows, PARTITION_BIT).drop(ROW_SEQ), path)
