@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -73,7 +74,7 @@ def read_parquet_files(spark: SparkSession, folder: str) -> list[DataFrame]:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return []
         raise
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):  # the schemas cannot be merged
         log.warning("column types differ between the Parquet files of %s", folder)
     tables = []
     for row in list_files(spark, folder, PARQUET_FILES).collect():
@@ -109,13 +110,13 @@ def ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, n_rows) per input file; a skipped or empty file has 0 rows."""
+    """(path, length, n_rows) per input file with any bytes; a skipped one has 0 rows."""
     files = list_files(spark, folder, CSV_FILES).unionByName(list_files(spark, folder, PARQUET_FILES))
     base = folder.rstrip("/")
     scans = []
     for reader, pattern in (
-        (spark.read.option("header", True).schema("first string").csv, CSV_FILES),
-        (spark.read.option("ignoreCorruptFiles", True).parquet, PARQUET_FILES),
+        (spark.read.schema("any string").option("header", True).csv, CSV_FILES),
+        (spark.read.schema("any string").option("ignoreCorruptFiles", True).parquet, PARQUET_FILES),
     ):
         try:
             scans.append(reader(f"{base}/{pattern}").select(F.col("_metadata.file_path").alias("read_path")))

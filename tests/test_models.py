@@ -48,7 +48,7 @@ def test_quota_is_exact_per_group_and_repeatable(spark, share):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7 == 0).cast("double").alias("label"))
     chosen = df.where(frame.quota_condition(df, F.col("label"), share=share, key="k"))
     sizes = dict(values(df.groupBy("label").count()))
-    assert dict(values(chosen.groupBy("label").count())) == {k: round(n * share) for k, n in sizes.items()}
+    assert dict(values(chosen.groupBy("label").count())) == {k: int(n * share + 0.5) for k, n in sizes.items()}
     again = df.repartition(7)
     assert values(again.where(frame.quota_condition(again, F.col("label"), share=share, key="k"))) == values(chosen)
 
@@ -81,7 +81,8 @@ def test_reloaded_model_scores_the_same(spark, split, model):
 
 def test_same_seed_same_forest(split, model):
     again = training.fit_models(split[0], training.index_features(), {"rf": training.random_forest(5, 4)})["rf"]
-    assert again.stages[-1].toDebugString == model.stages[-1].toDebugString
+    trees, first = (m.stages[-1].toDebugString.split("\n", 1)[1] for m in (again, model))
+    assert trees == first
 
 
 def test_metrics(split, model):
