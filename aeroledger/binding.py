@@ -1,7 +1,7 @@
 """Raw flights derived from the order tables of the test data.
 
-The one query below is shared with the SQL checks; ``{ISODOW}`` is its only
-engine-specific token. It leaves out some canonical columns and injects nulls
+The one query below is shared with the SQL checks; ``{isodow}`` is its only
+engine-specific token, the other braces name the tables. It leaves out some canonical columns and injects nulls
 by rules on keys, so that filling and null handling are exercised.
 """
 
@@ -28,15 +28,15 @@ WITH j AS (
          (l_orderkey + l_linenumber) % 41 = 1 AS dv,
          CAST(CASE WHEN (l_orderkey * 7 + l_partkey * 3) % 5 < 3 THEN 0
                    ELSE (l_orderkey * 13 + l_partkey * 11 + l_linenumber * 5) % 90 END AS INT) AS dd
-  FROM lineitem l
-  JOIN orders o    ON l_orderkey = o_orderkey
-  JOIN customer c  ON o_custkey = c_custkey
-  JOIN supplier s  ON l_suppkey = s_suppkey
-  JOIN part p      ON l_partkey = p_partkey
-  JOIN nation ns   ON s_nationkey = ns.n_nationkey
-  JOIN region rs   ON ns.n_regionkey = rs.r_regionkey
-  JOIN nation nc   ON c_nationkey = nc.n_nationkey
-  JOIN region rc   ON nc.n_regionkey = rc.r_regionkey)
+  FROM {lineitem} l
+  JOIN {orders} o    ON l_orderkey = o_orderkey
+  JOIN {customer} c  ON o_custkey = c_custkey
+  JOIN {supplier} s  ON l_suppkey = s_suppkey
+  JOIN {part} p      ON l_partkey = p_partkey
+  JOIN {nation} ns   ON s_nationkey = ns.n_nationkey
+  JOIN {region} rs   ON ns.n_regionkey = rs.r_regionkey
+  JOIN {nation} nc   ON c_nationkey = nc.n_nationkey
+  JOIN {region} rc   ON nc.n_regionkey = rc.r_regionkey)
 SELECT
   CASE WHEN (l_orderkey + l_partkey) % 97 = 0 THEN NULL ELSE sd END AS FlightDate,
   CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE p_brand END AS Airline,
@@ -68,7 +68,7 @@ SELECT
   dn_ AS DestCityName, concat('R', drk) AS DestState, drn AS DestStateName,
   concat(lpad(CAST(dh AS STRING), 2, '0'), '00-', lpad(CAST(dh AS STRING), 2, '0'), '59') AS DepTimeBlk,
   concat(lpad(CAST(ah AS STRING), 2, '0'), '00-', lpad(CAST(ah AS STRING), 2, '0'), '59') AS ArrTimeBlk,
-  {ISODOW} AS DayOfWeek,
+  {isodow} AS DayOfWeek,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
 FROM j
 """
@@ -76,9 +76,8 @@ FROM j
 
 def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw flights over the Parquet tables in ``sf_dir``; joins are left to the optimizer."""
-    for table in BOUND_TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(FLIGHTS_RAW_SQL.replace("{ISODOW}", SPARK_ISODOW))
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BOUND_TABLES}
+    return spark.sql(FLIGHTS_RAW_SQL.replace("{isodow}", SPARK_ISODOW), **tables)
 
 
 def dirty_flights(raw: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landings[key]
 
 
+def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw columns of the landing table."""
+    return landing(spark, sf_dir).drop(ROW_SEQ)
+
+
 def stored_star(spark: SparkSession, sf_dir: str) -> tuple[Star, str]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stars:
@@ -88,7 +93,7 @@ def on_star(name: str, plan: Callable[[Star], DataFrame]) -> None:
 
 @query("ingest_union")
 def _(spark, sf_dir):
-    raw, folder = flights_raw(spark, sf_dir), fresh_path(spark, "inbox")
+    raw, folder = raw_flights(spark, sf_dir), fresh_path(spark, "inbox")
     both = [*ROW_KEY, "Airline", "Origin", "Dest", "Distance"]
     layers.write_csv(raw.where("l_linenumber <= 3").select(*both, "FlightDate", "CRSDepTime"), f"{folder}/a.CSV")
     raw.where("l_linenumber > 3").select("DepDelayMinutes", *both).write.parquet(f"{folder}/b.parquet")
@@ -181,13 +186,13 @@ def _(spark, sf_dir):
 
 
 def _dirty_typed(spark, sf_dir, *columns):
-    dirty = dirty_flights(flights_raw(spark, sf_dir))
+    dirty = dirty_flights(raw_flights(spark, sf_dir))
     keyed = dirty.withColumn("_key", F.struct(*ROW_KEY))
     cleaned = typed(canonical(keyed.withColumn(ROW_SEQ, F.col("_key"))))
     return cleaned.select(f"{ROW_SEQ}.*", *columns)
 
 
-QUERIES["canonical_map"] = lambda spark, sf_dir: canonical(flights_raw(spark, sf_dir))
+QUERIES["canonical_map"] = lambda spark, sf_dir: canonical(raw_flights(spark, sf_dir))
 QUERIES["clean_dates"] = lambda spark, sf_dir: _dirty_typed(spark, sf_dir, "FlightDate")
 QUERIES["clean_numeric"] = lambda spark, sf_dir: _dirty_typed(
     spark, sf_dir, "Distance", "AirTime", "CRSElapsedTime", "ActualElapsedTime", "DepDelayMinutes", "ArrDelayMinutes"
@@ -202,7 +207,7 @@ QUERIES["clean_ints"] = lambda spark, sf_dir: _dirty_typed(
 
 @query("calendar_fill")
 def _(spark, sf_dir):
-    raw = flights_raw(spark, sf_dir).withColumns({
+    raw = raw_flights(spark, sf_dir).withColumns({
         "Year": F.when(F.col("l_linenumber") == 1, 2001),
         "Month": F.when(F.col("l_linenumber") == 2, 13),
         "DayOfWeek": F.when(F.col("l_linenumber") != 3, F.col("DayOfWeek")),
@@ -216,7 +221,7 @@ def _(spark, sf_dir):
 @query("hhmm_parts")
 def _(spark, sf_dir):
     line, time = F.col("l_linenumber"), F.col("CRSDepTime")
-    raw = flights_raw(spark, sf_dir).select(
+    raw = raw_flights(spark, sf_dir).select(
         *ROW_KEY,
         F.when(line == 1, F.lit(None)).when(line == 2, 2400).when(line == 3, time % 60).otherwise(time).alias("hhmm"),
     )
@@ -226,7 +231,7 @@ def _(spark, sf_dir):
 
 @query("hour_buckets")
 def _(spark, sf_dir):
-    return flights_raw(spark, sf_dir).select(
+    return raw_flights(spark, sf_dir).select(
         *ROW_KEY, clean.hour_bucket(F.col("CRSDepTime")).alias("DepHour"),
         clean.hour_bucket(F.col("CRSArrTime")).alias("ArrHour"),
     )
@@ -234,7 +239,7 @@ def _(spark, sf_dir):
 
 @query("label_fallback")
 def _(spark, sf_dir):
-    raw = flights_raw(spark, sf_dir)
+    raw = raw_flights(spark, sf_dir)
     labelled = raw.select(
         text.label_or(raw, ["Marketing_Airline", "Airline", "Operating_Airline"], text.NO_AIRLINE).alias("airline_label"),
         text.label_or(raw, ["Carrier"], "Sin dato").alias("missing_label"),
@@ -245,7 +250,7 @@ def _(spark, sf_dir):
 
 @query("regex_columns")
 def _(spark, sf_dir):
-    raw = flights_raw(spark, sf_dir)
+    raw = raw_flights(spark, sf_dir)
     found = {
         "airline": text.match_columns(raw, ["^carrier$", "^airline"]),
         "origin": text.match_columns(raw, ["ORIGIN$"]),
@@ -262,7 +267,7 @@ def _(spark, sf_dir):
     messy = F.concat(
         F.lit("  ÁÉ"), F.coalesce("Airline", F.lit("")), F.lit("   Ñandú ÜBER\t"), F.col("OriginCityName"), F.lit(" ")
     )
-    return flights_raw(spark, sf_dir).groupBy(
+    return raw_flights(spark, sf_dir).groupBy(
         text.norm_text(messy).alias("text"), text.norm_text(F.col("Airline")).alias("airline")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -271,7 +276,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     position = ((F.col("l_orderkey") + F.col("l_linenumber")) % (len(PARSE_WORDS) + 1)).cast("int")
     words = F.array(*[F.lit(w) for w in PARSE_WORDS])
-    given = flights_raw(spark, sf_dir).select(*ROW_KEY, F.get(words, position).alias("word"))
+    given = raw_flights(spark, sf_dir).select(*ROW_KEY, F.get(words, position).alias("word"))
     word = F.col("word")
     return given.select(
         *ROW_KEY, text.parse_int(word).alias("as_int"), text.parse_float(word).alias("as_float"),

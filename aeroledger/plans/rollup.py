@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import number_or
 from ..operators.enrich import add_columns, keys_for
@@ -51,6 +51,14 @@ def ratio(total: str, count: str) -> Column:
     return F.try_divide(F.col(total), F.col(count))
 
 
+def rounded(df: DataFrame, decimals: int = 2) -> DataFrame:
+    """Figures as they are displayed. The queries themselves return them unrounded."""
+    return df.select(*[
+        F.round(f.name, decimals).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        for f in df.schema
+    ])
+
+
 def top_n(request: Mapping[str, Any] | None, default: int = 15, most: int = 50) -> int:
     """Row limit of a request: ``limit``, else ``top``, else the default; kept in 1..most."""
     asked = (request or {}).get("limit") or (request or {}).get("top") or default
