@@ -153,6 +153,7 @@ STEPS["ml_curated"] = """
     FROM curated
     WHERE CRSDepTime IS NOT NULL AND CRSArrTime IS NOT NULL AND Distance IS NOT NULL
       AND DayOfWeek IS NOT NULL AND Month IS NOT NULL"""
+STEPS["all_reduced"] = _reduced("ml_curated", "ml_curated")
 
 
 def _uses(sql: str) -> list[str]:
@@ -499,6 +500,14 @@ QUERIES: dict[str, str] = {
         f"GROUP BY {c} ORDER BY count DESC, value LIMIT {n})" for c, n in KEPT
     ),
     "topn_other_all": _reduced("ml_curated", "ml_curated"),
+    # the whole table, as long as it has no more rows than the sample
+    "ml_sample": "SELECT * FROM ml_curated",
+    "one_hot": "SELECT label, concat_ws(',', Distance::INT, DayOfWeek, Month, DepHour, ArrHour, " + ", ".join(
+        f"array_to_string(list_transform(range((SELECT count(DISTINCT {c}) FROM all_reduced)), "
+        f"lambda i: CASE WHEN i = {c}_idx THEN 1 ELSE 0 END), ',')" for c, _ in KEPT
+    ) + ") AS features FROM (" + _indexed(
+        "all_reduced", "all_reduced", "r.label, r.Distance, r.DayOfWeek, r.Month, r.DepHour, r.ArrHour"
+    ) + ")",
     "string_index": _indexed("valid_reduced", "train_reduced", ", ".join(f"r.{c}" for c, _ in KEPT)),
     "feature_vectors": "SELECT * FROM (" + _indexed(
         "valid_reduced", "train_reduced",

@@ -468,7 +468,7 @@ def _(spark, sf_dir):
 
 @query("ml_sample")
 def _(spark, sf_dir):
-    return frame.ml_sample(frame.curated_frame(curated(spark, sf_dir)))
+    return frame.ml_sample(frame.curated_frame(curated(spark, sf_dir))).drop(ROW_SEQ)
 
 
 @query("stratified_split")
@@ -502,7 +502,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = frame.curated_frame(curated(spark, sf_dir))
     vectors = training.one_hot_features().fit(rows).transform(rows)
-    return vectors.select(ROW_SEQ, "label", vector_to_array("features").alias("features"))
+    digits = F.transform(vector_to_array("features"), lambda x: x.cast("int").cast("string"))
+    return vectors.select("label", F.array_join(digits, ",").alias("features"))
 
 
 def cluster_models(spark, sf_dir, *names):

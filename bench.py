@@ -16,6 +16,7 @@ from aeroledger.catalog import queries as catalog
 from aeroledger.session import build_session
 from aeroledger.sources.datamart import build_star
 from aeroledger.sources.layers import land
+from aeroledger.sources.sizes import mean_delay_by_airline
 from aeroledger.workspace import fresh_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -68,6 +69,11 @@ def main() -> None:
     star(catalog._landings[key])  # warm-up
     results["build_star"] = timed(lambda: catalog._stars.__setitem__(key, star(catalog._landings[key])))
 
+    for name, path in catalog.fact_formats(spark, SF_DIR).items():
+        read = lambda: sink(mean_delay_by_airline(spark.read.format(name).load(path)))
+        read()
+        results[f"read_agg_{name}"] = timed(read, RUNS)
+
     for name in names:
         run = catalog.QUERIES[name]
         if name in MODELS:
