@@ -1,7 +1,7 @@
 """Raw flights derived from the order tables of the test data.
 
-The one query below is shared with the SQL checks; ``{isodow}`` is its only
-engine-specific token, the other braces name the tables. It leaves out some canonical columns and injects nulls
+The two steps below are shared with the SQL checks; ``{isodow}`` is their only
+engine-specific token, the other braces name tables. It leaves out some canonical columns and injects nulls
 by rules on keys, so that filling and null handling are exercised.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .sources.layers import sorted_by
+
 BOUND_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
 
 # Unique together, so it can stand in for the order of rows in a raw file.
@@ -17,8 +19,7 @@ ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
 SPARK_ISODOW = "weekday(sd) + 1"
 DUCKDB_ISODOW = "CAST(isodow(sd) AS INT)"
 
-FLIGHTS_RAW_SQL = """
-WITH j AS (
+JOINED_SQL = """
   SELECT l.*, CAST(l_shipdate AS DATE) AS sd, s_nationkey, c_nationkey, p_brand, p_type,
          ns.n_name AS on_, nc.n_name AS dn_, rs.r_regionkey AS ork, rs.r_name AS orn,
          rc.r_regionkey AS drk, rc.r_name AS drn,
@@ -36,7 +37,10 @@ WITH j AS (
   JOIN {nation} ns   ON s_nationkey = ns.n_nationkey
   JOIN {region} rs   ON ns.n_regionkey = rs.r_regionkey
   JOIN {nation} nc   ON c_nationkey = nc.n_nationkey
-  JOIN {region} rc   ON nc.n_regionkey = rc.r_regionkey)
+  JOIN {region} rc   ON nc.n_regionkey = rc.r_regionkey
+"""
+
+FLIGHT_COLUMNS_SQL = """
 SELECT
   CASE WHEN (l_orderkey + l_partkey) % 97 = 0 THEN NULL ELSE sd END AS FlightDate,
   CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE p_brand END AS Airline,
@@ -70,14 +74,21 @@ SELECT
   concat(lpad(CAST(ah AS STRING), 2, '0'), '00-', lpad(CAST(ah AS STRING), 2, '0'), '59') AS ArrTimeBlk,
   {isodow} AS DayOfWeek,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
-FROM j
+FROM {joined}
 """
 
 
-def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw flights over the Parquet tables in ``sf_dir``; joins are left to the optimizer."""
+def flights_raw(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """Raw flights over the Parquet tables in ``sf_dir``; joins are left to the optimizer.
+
+    ``in_order`` sorts them by the row key, across partitions. The range shuffle
+    then moves the joined columns, which are much narrower than a flight.
+    """
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BOUND_TABLES}
-    return spark.sql(FLIGHTS_RAW_SQL.replace("{isodow}", SPARK_ISODOW), **tables)
+    joined = spark.sql(JOINED_SQL, **tables)
+    if in_order:
+        joined = sorted_by(joined, ROW_KEY)
+    return spark.sql(FLIGHT_COLUMNS_SQL.replace("{isodow}", SPARK_ISODOW), joined=joined)
 
 
 def dirty_flights(raw: DataFrame) -> DataFrame:

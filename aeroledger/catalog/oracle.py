@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from ..binding import BOUND_TABLES, DUCKDB_ISODOW, FLIGHTS_RAW_SQL, ROW_KEY
+from ..binding import BOUND_TABLES, DUCKDB_ISODOW, FLIGHT_COLUMNS_SQL, JOINED_SQL, ROW_KEY
 
 KEY = ", ".join(ROW_KEY)
 
@@ -17,7 +17,8 @@ MONTH_CASE = """CASE {m} WHEN 1 THEN 'Enero' WHEN 2 THEN 'Febrero' WHEN 3 THEN '
   WHEN 10 THEN 'Octubre' WHEN 11 THEN 'Noviembre' WHEN 12 THEN 'Diciembre' ELSE CAST({m} AS VARCHAR) END"""
 
 STEPS: dict[str, str] = {
-    "raw": FLIGHTS_RAW_SQL.format(isodow=DUCKDB_ISODOW, **{t: t for t in BOUND_TABLES}),
+    "joined": JOINED_SQL.format(**{t: t for t in BOUND_TABLES}),
+    "raw": FLIGHT_COLUMNS_SQL.format(isodow=DUCKDB_ISODOW, joined="joined"),
     "curated": f"""
         SELECT FlightDate, Airline, Operating_Airline, Origin, Dest,
           CAST(Cancelled AS BIGINT) AS Cancelled, CAST(Diverted AS BIGINT) AS Diverted,

@@ -51,7 +51,7 @@ ALIAS_REQUEST = {
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _landings:
-        _landings[key] = layers.land(flights_raw(spark, sf_dir), fresh_path(spark, "landing"), ROW_KEY)
+        _landings[key] = layers.land(flights_raw(spark, sf_dir, in_order=True), fresh_path(spark, "landing"))
     return _landings[key]
 
 

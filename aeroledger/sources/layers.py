@@ -10,16 +10,20 @@ from ..operators.ids import PARTITION_BIT, first_rows
 from ..schema import ROW_SEQ
 
 
+def sorted_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sorted across partitions: one range shuffle, no global sort in one task."""
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
 def land(raw: DataFrame, path: str, row_key: Sequence[str] = ()) -> DataFrame:
     """Write raw rows once, with the position of every row fixed in ``ingest_seq``.
 
-    Rows keep the order in which the files are scanned. ``row_key`` names
-    columns that define the order instead: one range shuffle, no global sort in
-    one task. Every later rule on "first row" or "row number" reads the stored
-    position, so no later step sorts the fact again.
+    Rows keep the order in which the files are scanned, unless ``row_key``
+    names columns that define it. Every later rule on "first row" or "row
+    number" reads the stored position, so no later step sorts the fact again.
     """
     if row_key:
-        raw = raw.repartitionByRange(*row_key).sortWithinPartitions(*row_key)
+        raw = sorted_by(raw, row_key)
     numbered = raw.withColumn(ROW_SEQ, F.monotonically_increasing_id())
     numbered.write.mode("overwrite").option("compression", "snappy").parquet(path)
     return read_landing(raw.sparkSession, path)

@@ -11,7 +11,7 @@ import json
 import os
 import time
 
-from aeroledger.binding import ROW_KEY, flights_raw
+from aeroledger.binding import flights_raw
 from aeroledger.catalog import queries as catalog
 from aeroledger.session import build_session
 from aeroledger.sources.datamart import build_star
@@ -57,7 +57,7 @@ def main() -> None:
     key = (spark.sparkContext.applicationId, SF_DIR)
 
     def landing():
-        return land(flights_raw(spark, SF_DIR), fresh_path(spark, "landing"), ROW_KEY)
+        return land(flights_raw(spark, SF_DIR, in_order=True), fresh_path(spark, "landing"))
 
     def star(landed):
         root = fresh_path(spark, "datamart")
