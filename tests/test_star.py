@@ -1,11 +1,13 @@
 from datetime import date
 
+from functools import reduce
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from aeroledger.operators.canonical import curate
 from aeroledger.operators.enrich import enriched
-from aeroledger.operators.fact import LOOKUPS, build_fact
+from aeroledger.operators.fact import LOOKUPS, build_fact, look_up_key
 from aeroledger.operators.ids import first_rows, number_sorted, number_stored_rows
 from aeroledger.schema import DIM_ATTRIBUTES, FACT, FACT_COLUMNS, ROW_SEQ, key_of
 from aeroledger.sources.datamart import load_star, read_table, write_fact
@@ -145,3 +147,30 @@ def test_rows_without_a_date_are_written_and_read_back(spark, star):
     root = fresh_path(spark, "again")
     again = write_fact(star.fact, root)
     assert values(again, "fact_id", "Year", "Month") == values(star.fact, "fact_id", "Year", "Month")
+
+
+def test_a_hot_key_of_a_large_dimension_is_split(spark, curated, star):
+    """Without broadcasts, the partition of a tail number that half the flights have is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "5KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    hot = curated.withColumn("Tail_Number", F.when(F.col(ROW_SEQ) % 2 == 0, "T1").otherwise(F.col("Tail_Number")))
+    # several map tasks, as a partition is split between their outputs
+    hot = reduce(DataFrame.unionByName, [hot.where(F.col(ROW_SEQ) % 8 == i) for i in range(8)])
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        looked_up = look_up_key(hot.select(ROW_SEQ, "Tail_Number", "Operating_Airline"), star.dims, "dim_avion_id")
+        counts = dict(values(looked_up.groupBy("dim_avion_id").count()))
+        looked_up.collect()
+        assert "skew=true" in plan_of(looked_up)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sum(counts.values()) == curated.count()
+    assert max(counts.values()) >= curated.count() / 2
