@@ -450,7 +450,8 @@ def _(spark, sf_dir):
 @query("top_categories")
 def _(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    return categories.top_categories_of(train, categories.KEEP_COUNTS).select("name", "value", "count")
+    counts = categories.category_counts(train, categories.KEEP_COUNTS)
+    return categories.most_frequent(counts, categories.KEEP_COUNTS).select("name", "value", "count")
 
 
 @query("topn_other")
@@ -483,9 +484,8 @@ def _(spark, sf_dir):
 @query("string_index")
 def _(spark, sf_dir):
     train, valid = _split(spark, sf_dir)
-    reducer = categories.TopCategories().fit(train)
-    indexes = training.indexer().fit(reducer.transform(train))
-    return indexes.transform(reducer.transform(valid)).select(*frame.CATEGORICAL, *training.INDEXED)
+    indexed = categories.TopCategoryIndexer().fit(train).transform(valid)
+    return indexed.select(*frame.CATEGORICAL, *training.INDEXED)
 
 
 @query("feature_vectors")

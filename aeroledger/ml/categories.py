@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+
+from ..workspace import materialise
 
 # --- fixed values: how many categories each column keeps, and the name of the rest ---
 KEEP_COUNTS = {"Airline": 10, "Origin": 20, "Dest": 20, "DepTimeBlk": 12, "ArrTimeBlk": 12}
@@ -25,16 +28,19 @@ def top_categories(frame: DataFrame, column: str, n: int) -> DataFrame:
     )
 
 
-def top_categories_of(frame: DataFrame, counts: Mapping[str, int]) -> DataFrame:
-    """(name, value, count, rank) of the kept values of several columns, in one scan."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in counts])
-    seen = frame.select(F.inline(pairs)).where("value is not null")
-    totals = seen.groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+def category_counts(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(name, value, count) of all values of several columns, in one scan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
+    return frame.select(F.inline(pairs)).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def most_frequent(counts: DataFrame, keep: Mapping[str, int]) -> DataFrame:
+    """(name, value, count, rank) of the values each column keeps; nulls take no place, ties go by name."""
     by_frequency = Window.partitionBy("name").orderBy(F.desc("count"), "value")
-    ranked = totals.withColumn("rank", F.row_number().over(by_frequency))
-    keep = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    ranked = counts.where("value is not null").withColumn("rank", F.row_number().over(by_frequency))
+    bound = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])[F.col("name")]
     # The constant bound lets Spark drop values per task before the window's shuffle.
-    return ranked.where(F.col("rank") <= max(counts.values())).where(F.col("rank") <= keep[F.col("name")])
+    return ranked.where(F.col("rank") <= max(keep.values())).where(F.col("rank") <= bound)
 
 
 def or_other(column: str, kept: list[str]) -> Column:
@@ -75,9 +81,43 @@ class TopCategories(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._setDefault(counts=json.dumps(KEEP_COUNTS))
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> TopCategoriesModel:
-        counts = json.loads(self.getOrDefault(self.counts))
-        kept: dict[str, list[str]] = {c: [] for c in counts}
-        for row in top_categories_of(dataset, counts).orderBy("name", "rank").collect():  # sum of counts at most
+    def _kept_rows(self, counts: DataFrame) -> list[Row]:
+        """Kept values, most frequent first: at most the sum of the bounds."""
+        keep = json.loads(self.getOrDefault(self.counts))
+        return most_frequent(counts, keep).orderBy("name", "rank").collect()
+
+    def _reducer(self, kept_rows: Iterable[Row]) -> TopCategoriesModel:
+        kept: dict[str, list[str]] = {c: [] for c in json.loads(self.getOrDefault(self.counts))}
+        for row in kept_rows:
             kept[row["name"]].append(row["value"])
         return TopCategoriesModel(keep=json.dumps(kept, ensure_ascii=False))
+
+    def _fit(self, dataset: DataFrame) -> TopCategoriesModel:
+        columns = json.loads(self.getOrDefault(self.counts))
+        return self._reducer(self._kept_rows(category_counts(dataset, columns)))
+
+
+class TopCategoryIndexer(TopCategories):
+    """Reduces categories and numbers what is left by frequency, learning both in one scan.
+
+    OTHER has as many rows as the kept values do not account for, so the order
+    of the reduced values is known without counting them again. Ties go by
+    name; unseen values get one more number.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        columns = list(json.loads(self.getOrDefault(self.counts)))
+        counts = materialise(category_counts(dataset, columns), "category-counts")
+        rows = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("count").alias("n")).collect()}
+        kept_rows = self._kept_rows(counts)
+        indexers = []  # one per column: a model for several columns would pad its label lists to one length
+        for column in columns:
+            found = {r["value"]: r["count"] for r in kept_rows if r["name"] == column}
+            rest = rows.get(column, 0) - sum(found.values())
+            if rest:
+                found[OTHER] = found.get(OTHER, 0) + rest
+            labels = sorted(found, key=lambda value: (-found[value], value))
+            indexers.append(StringIndexerModel.from_labels(
+                labels, inputCol=column, outputCol=f"{column}_idx", handleInvalid="keep"
+            ))
+        return PipelineModel([self._reducer(kept_rows), *indexers])

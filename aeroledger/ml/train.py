@@ -8,10 +8,10 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from .categories import KEEP_COUNTS, TopCategories
+from .categories import KEEP_COUNTS, TopCategoryIndexer
 from .frame import CATEGORICAL, LABEL, NUMERIC, SEED
 
 INDEXED = tuple(f"{c}_idx" for c in CATEGORICAL)
@@ -25,17 +25,12 @@ BASELINE_RF_TREES = 100
 DEEPEST = 30  # the deepest tree Spark grows stands in for "no limit"
 
 
-def indexer() -> StringIndexer:
-    """Category -> rank by frequency, all columns in one pass; unseen and null get an extra index."""
-    return StringIndexer(inputCols=list(CATEGORICAL), outputCols=list(INDEXED), handleInvalid="keep")
-
-
 def index_features() -> Pipeline:
     """Reduced, indexed categories and numbers as a vector of ten features."""
     assembler = VectorAssembler(
         inputCols=[*NUMERIC, *INDEXED], outputCol="features", handleInvalid="keep"
     )
-    return Pipeline(stages=[TopCategories(), indexer(), assembler])
+    return Pipeline(stages=[TopCategoryIndexer(), assembler])
 
 
 def one_hot_features() -> Pipeline:
@@ -44,7 +39,7 @@ def one_hot_features() -> Pipeline:
     assembler = VectorAssembler(
         inputCols=[*NUMERIC, *ENCODED], outputCol="features", handleInvalid="keep"
     )
-    return Pipeline(stages=[TopCategories(), indexer(), encoder, assembler])
+    return Pipeline(stages=[TopCategoryIndexer(), encoder, assembler])
 
 
 def logistic_regression(iterations: int = LR_ITERATIONS, **params) -> LogisticRegression:

@@ -15,7 +15,7 @@ Plan = Callable[[Star, Any], DataFrame]
 
 # --- fixed values: names and their short aliases ---
 ENDPOINTS: dict[str, Plan] = {
-    "filters": options.filter_options,
+    "filters": options.all_options,
     "kpis": kpis.kpi_summary,
     "retraso-aerolinea": rankings.airline_arr_delay,
     "aeropuertos-criticos": rankings.critical_airports,

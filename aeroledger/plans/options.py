@@ -46,6 +46,19 @@ def filter_options(star: Star, request: Any = None) -> DataFrame:
     return options.join(present, ["list", "id"]).orderBy("list", "label", "id")
 
 
+def all_options(star: Star, request: Any = None) -> DataFrame:
+    """The option lists with the years (latest first) and months in front, in the order they are shown."""
+    years = year_options(star).select(
+        F.lit("years").alias("list"), F.col("year").cast("bigint").alias("id"), F.col("year").cast("string").alias("label"),
+        (-F.col("year")).alias("_order"),
+    )
+    months = month_options(star).select(
+        F.lit("months").alias("list"), F.col("month").cast("bigint").alias("id"), "label", F.col("month").alias("_order")
+    )
+    dims = filter_options(star, request).withColumn("_order", F.lit(0))
+    return years.unionByName(months).unionByName(dims).orderBy("list", "_order", "label", "id").drop("_order")
+
+
 def year_options(star: Star) -> DataFrame:
     """Years of the calendar, latest first; filters do not matter."""
     years = star.dims[DATE].select(F.col("Year").alias("year")).dropna().distinct()

@@ -79,6 +79,8 @@ def critical_routes(star: Star, request: Any = None) -> DataFrame:
     names = available_columns(star)
     origin = first_existing(names, ("Origin", "Origin_ruta"))
     dest = first_existing(names, ("Dest", "Dest_ruta"))
+    if origin is None or dest is None:
+        raise ValueError("the star has no route: neither origins and destinations nor a route dimension")
     label = route_label(F.col(origin).cast("string"), F.col(dest).cast("string"))
     totals = totals_by(star, request, {"ruta": label}, [origin, dest],
                        ["dep_sum", "arr_sum", "arr_n", "cancelled_sum", "n"])

@@ -60,5 +60,7 @@ def test_export(spark, base, star):
 def test_every_endpoint_answers(star):
     for name in ENDPOINTS:
         assert ask(star, name, {"anio": 1995, "limit": 3}).columns
+    years = [r["id"] for r in ask(star, "filters").where("list = 'years'").collect()]
+    assert years == sorted(years, reverse=True) and 1995 in years
     exact = rankings.airline_arr_delay(star).first()[1]
     assert ask(star, "airline-delay").first()[1] == pytest.approx(exact, abs=0.005)

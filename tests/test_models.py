@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def test_categories_are_learned_on_the_earlier_years_only(spark):
     assert values(fitted.transform(valid)) == [("OTHER",), ("OTHER",)]
 
 
+def test_indexes_equal_a_string_indexer_on_reduced_values(spark):
+    train = spark.createDataFrame([(v, "k") for v in [None] * 2 + list("ccbbaade")], "x string, y string")
+    valid = spark.createDataFrame([(v, "z") for v in [None, "a", "b", "c", "zzz"]], "x string, y string")
+    counts = json.dumps({"x": 2, "y": 3})
+    names = dict(inputCols=["x", "y"], outputCols=["x_idx", "y_idx"])
+    reducer = categories.TopCategories(counts=counts).fit(train)
+    plain = StringIndexer(**names, handleInvalid="keep").fit(reducer.transform(train))
+    wanted = plain.transform(reducer.transform(valid))
+    got = categories.TopCategoryIndexer(counts=counts).fit(train).transform(valid)
+    # y has no OTHER to learn: there it is an unseen value, and comes after the one that is known
+    assert values(got) == values(wanted) and {r["y_idx"] for r in got.collect()} == {1.0}
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5])
 def test_quota_is_exact_per_group_and_repeatable(spark, share):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7 == 0).cast("double").alias("label"))
@@ -74,7 +88,7 @@ def test_reloaded_model_scores_the_same(spark, split, model):
     path = fresh_path(spark, "model")
     training.save_model(model, path)
     loaded = training.load_model(path)
-    assert loaded.stages[0].kept() == model.stages[0].kept()
+    assert loaded.stages[0].stages[0].kept() == model.stages[0].stages[0].kept()
     columns = ["label", "prediction", vector_to_array("probability").alias("p")]
     assert values(loaded.transform(split[1]).select(*columns)) == values(model.transform(split[1]).select(*columns))
 
