@@ -103,18 +103,18 @@ def _write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFr
 
 
 def write_dims(landing: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Build and write the dimensions, a few at a time.
+    """Build and write the dimensions side by side.
 
     Each scans only its own columns of the landing table. The jobs are
-    independent and mostly small, so running some side by side fills the
-    cluster while the tail of another one finishes.
+    independent and end in small steps, so while one finishes its tail the
+    others keep the cluster busy.
     """
     curated = curate(landing)
 
     def build(name: str) -> tuple[str, DataFrame]:
         return name, _write(DIM_BUILDERS[name](curated), f"{root}/{name}")
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    with ThreadPoolExecutor(max_workers=len(DIM_BUILDERS)) as pool:
         return dict(pool.map(build, DIM_BUILDERS))
 
 
