@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -101,8 +102,6 @@ def number_or(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 def match_columns(df: DataFrame, patterns: Sequence[str]) -> str | None:
     """First column that a pattern matches (ignoring case), patterns in order."""
-    import re
-
     for pattern in patterns:
         found = [c for c in df.columns if re.search(pattern, c, re.IGNORECASE)]
         if found:
