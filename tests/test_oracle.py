@@ -5,14 +5,14 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+from aeroledger.catalog import oracle, queries as catalog
 
 from .conftest import SMALL
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not there")
 
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -36,12 +36,12 @@ def comparable(columns, rows):
 
 
 def test_sql_belongs_to_a_query():
-    assert set(SQL) <= set(entry.queries())
+    assert set(SQL) <= set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, tables, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = catalog.queries()[name](spark, SMALL)
     result = tables.execute(SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
