@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat import link_calls, turns_as_calls
+from .mixing import mix_sources
 from .secret_scan import BASE_KINDS, scan_secrets
 from .topk import exact_topk
 from .url_filter import judge_urls
@@ -37,6 +39,11 @@ def secret_digest(documents: DataFrame) -> DataFrame:
     )
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -50,10 +57,20 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+# The tool that a user turn calls, and its arguments.
+CHAT_SCHEMAS = {"respond": {"text": ("string", True), "turn": ("integer", True)}}
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(turns_as_calls(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
+
+
 QUERIES = {
+    "op4_source_mixing": op4_source_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op7_url_filters": op7_url_filters,
     "op8_exact_topk": op8_exact_topk,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 
@@ -93,7 +110,35 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_CHAT_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, role, text,
+         CASE WHEN role = 'user' THEN conv_id || ':' || turn END AS call_id,
+         CASE WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS result_of
+  FROM conversations),
+first AS (
+  SELECT conv_id, call_id, min(turn) AS call_turn FROM rows
+  WHERE call_id IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL),
+linked AS (
+  SELECT r.*, f.call_id IS NOT NULL AS is_result, f.call_turn
+  FROM rows r LEFT JOIN first f ON r.conv_id = f.conv_id AND r.result_of = f.call_id)
+SELECT conv_id, turn,
+       CASE WHEN call_id IS NOT NULL THEN 'call' WHEN is_result THEN 'result' ELSE 'message' END AS kind,
+       coalesce(call_id, CASE WHEN is_result THEN result_of END) AS call_id,
+       call_turn, CASE WHEN is_result THEN greatest(turn, call_turn) ELSE turn END AS order_turn,
+       CASE WHEN is_result THEN 1 ELSE 0 END AS order_step,
+       CASE WHEN call_id IS NOT NULL THEN text IS NOT NULL END AS valid,
+       CASE WHEN call_id IS NOT NULL THEN '{"arguments":{' || coalesce('"text":' || to_json(text)::VARCHAR || ',', '')
+                 || '"turn":' || turn || '},"id":"' || call_id || '","name":"respond","role":"user","turn":' || turn
+                 || ',"valid":' || (text IS NOT NULL) || '}'
+            ELSE '{' || coalesce('"content":' || to_json(text)::VARCHAR || ',', '')
+                 || CASE WHEN is_result THEN '"result_of":"' || result_of || '",' ELSE '' END
+                 || '"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' END AS json
+FROM linked
+"""
+
 ORACLE_SQL = {
+    "op10_chat_formatting": _CHAT_SQL,
     "op7_url_filters": _url_sql(),
     "op8_exact_topk": _TOPK_SQL,
 }
