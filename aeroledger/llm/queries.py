@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import link_calls, turns_as_calls
+from .language import fit, predict
 from .mixing import mix_sources
+from .quality import score_quality
 from .secret_scan import BASE_KINDS, scan_secrets
 from .topk import exact_topk
 from .url_filter import judge_urls
@@ -39,6 +41,20 @@ def secret_digest(documents: DataFrame) -> DataFrame:
     )
 
 
+def fold(id_col: str, folds: int):
+    """CRC-32 of an id as text, modulo the number of folds; a null id is in no fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = score_quality(table(spark, sf_dir, "documents"), learn)
+    return scored.select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -48,6 +64,14 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents.where(fold("doc_id", 4) != 2).select("text", "lang"))
+    return predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+    )
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
@@ -66,8 +90,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_exact_topk": op8_exact_topk,
     "op10_chat_formatting": op10_chat_formatting,
