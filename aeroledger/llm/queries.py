@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import link_calls, turns_as_calls
+from .decontaminate import find_leaks
 from .language import fit, predict
 from .mixing import mix_sources
 from .quality import score_quality
@@ -41,6 +42,10 @@ def secret_digest(documents: DataFrame) -> DataFrame:
     )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def fold(id_col: str, folds: int):
     """CRC-32 of an id as text, modulo the number of folds; a null id is in no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
@@ -90,6 +95,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
     "op5_secret_scans": op5_secret_scans,
