@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import link_calls, turns_as_calls
 from .decontaminate import find_leaks
+from .jaccard import jaccard_components
 from .language import fit, predict
 from .mixing import mix_sources
 from .quality import score_quality
@@ -60,6 +61,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -97,6 +102,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_source_mixing": op4_source_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
