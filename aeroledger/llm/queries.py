@@ -11,6 +11,7 @@ from .language import fit, predict
 from .mixing import mix_sources
 from .quality import score_quality
 from .secret_scan import BASE_KINDS, scan_secrets
+from .suffix_dedup import remove_repeats
 from .topk import exact_topk
 from .url_filter import judge_urls
 
@@ -91,6 +92,11 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # The tool that a user turn calls, and its arguments.
 CHAT_SCHEMAS = {"respond": {"text": ("string", True), "turn": ("integer", True)}}
 
@@ -108,6 +114,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_exact_topk": op8_exact_topk,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
