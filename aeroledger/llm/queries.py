@@ -182,7 +182,71 @@ SELECT conv_id, turn,
 FROM linked
 """
 
+_LEAK_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+shingles AS (
+  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM words, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT id AS item_id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k
+  FROM shingles d JOIN shingles i ON d.side = 'd' AND i.side = 'i' AND d.s = i.s GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INT) AS n_shingles, CAST(k AS INT) AS n_shared, k / n AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * k >= 4 * n
+"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM words, unnest(range(1, greatest(1, len(w) - 2) + 1)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+_REPEATS_SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS w FROM docs, unnest(range(0, n - 99)) t(p)),
+later AS (
+  SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1),
+marked AS (
+  SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+runs AS (
+  SELECT doc_id, min(p) AS b, max(p) + 100 AS e
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS g, b AS g_end FROM runs
+  UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * g + 1, 2 * (coalesce(g_end, n) - g)), '' ORDER BY g) AS k
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(e - b) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op1_decontamination": _LEAK_SQL,
+    "op3_ngram_jaccard": _JACCARD_SQL,
+    "op9_suffix_dedup": _REPEATS_SQL,
     "op10_chat_formatting": _CHAT_SQL,
     "op7_url_filters": _url_sql(),
     "op8_exact_topk": _TOPK_SQL,
