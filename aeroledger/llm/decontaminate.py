@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import hash_runs, runs, shingle_hashes
+from .text import hash_runs, runs, shingle_hashes, shingle_layout
 
 WORDS, THRESHOLD = 5, 0.8
 BINS_PER_SHINGLE = 8
@@ -61,8 +61,8 @@ def _hashes(words: list[str]) -> np.ndarray:
         return np.empty(0, np.uint64)
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends = runs(data != 0x20, np.array([0, len(data)]))
-    found, _ = shingle_hashes(hash_runs(data, starts, ends), np.zeros(len(starts), np.int64), WORDS, 1)
-    return np.unique(found)
+    begin, left, _ = shingle_layout(np.zeros(len(starts), np.int64), WORDS, 1)
+    return np.unique(shingle_hashes(hash_runs(data, starts, ends), begin, left))
 
 
 def size_class(n: int) -> int:

@@ -3,9 +3,10 @@
 Words are runs of characters other than ASCII space, A-Z lower-cased; a
 document is its set of distinct k-word shingles. Sets whose Jaccard similarity
 reaches the threshold share a shingle among the first few in any fixed order of
-all shingles, their prefixes. The order puts common shingles last: a count
-sketch of fixed size over all documents gives the level of a shingle, ties go by
-hash. A sketch only shapes the order, so its collisions cost time, never a link.
+all shingles, their prefixes. The order puts common shingles last: first by the
+level that a count sketch of fixed size over all documents gives a shingle, then
+longer ones before shorter ones, which chance repeats more often, then by hash.
+Neither has to be right: the order decides how much is compared, never a link.
 
 1. Equal sets become one set; sets with equal prefix and size become one group.
 2. Groups are posted under their prefix shingles; those under which only one
@@ -34,18 +35,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..workspace import materialise
 from .graph import components
-from .text import chunks, mix, shingle_hashes, word_hashes
+from .text import chunks, mix, shingle_hashes, shingle_layout, word_hashes
 
 #: The sketch has 2**SKETCH_BITS counters, sent as rows of ROW_COUNTERS.
 SKETCH_BITS, ROW_COUNTERS = 18, 64
+#: Longer shingles are rarer; bytes beyond this make no difference to the order.
+LONGEST = 127
 STAR_ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, k: int):
-    """(hashes, offsets) of the distinct shingles of successive texts, ascending within a text; part by part."""
+    """(numbers, offsets) of the distinct shingles of successive texts, ascending within a text; part by part.
+
+    A number is the length of the shingle, the longest first, above 56 bits of its hash.
+    """
     for _, data, at in chunks(column):
-        words, row = word_hashes(data, at)
-        found, ends = shingle_hashes(words, row, k, len(at) - 1)
+        words, row, size = word_hashes(data, at)
+        begin, left, ends = shingle_layout(row, k, len(at) - 1)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        length = np.minimum(upto[begin + left] - upto[begin], LONGEST)
+        found = ((LONGEST - length).astype(np.uint64) << np.uint64(56)) | (shingle_hashes(words, begin, left) >> np.uint64(8))
         for a, b in zip(ends[:-1], ends[1:]):
             found[a:b].sort()
         keep = np.ones(len(found), bool)
@@ -55,7 +64,7 @@ def shingle_sets(column: pa.Array, k: int):
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
 def shingle_levels(texts: DataFrame, k: int) -> np.ndarray:
@@ -129,7 +138,8 @@ def _contents(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["set", "shingles"])
 
-    wanted = texts.join(sets.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").select("text")
+    ids = materialise(sets.select(F.col("doc").alias("id")).distinct(), "jaccard-ids")
+    wanted = texts.join(ids, "id", "left_semi").select("text")
     read_again = wanted.mapInArrow(read, "set binary, shingles array<bigint>")
     return read_again.join(sets.select("set"), "set", "left_semi").dropDuplicates(["set"])
 

@@ -103,28 +103,33 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) << np.uint64(40)))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word of the texts, in order; A-Z count as a-z."""
+def word_hashes(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, bytes) of every word of the texts, in order; A-Z count as a-z."""
     starts, ends = runs(is_word[data], at)
     row = np.searchsorted(at, starts, "right") - 1
-    return hash_runs(LOWER[data], starts, ends), row
+    return hash_runs(LOWER[data], starts, ends), row, ends - starts
 
 
-def shingle_hashes(words: np.ndarray, row: np.ndarray, k: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, offsets by row) of every k-word shingle in order; 1 to k - 1 words are one shingle."""
-    if not 1 <= k <= len(_STEPS):
-        raise ValueError(f"shingles of 1 to {len(_STEPS)} words")
+def shingle_layout(row: np.ndarray, k: int, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, offsets by row) of every k-word shingle in order; 1 to k - 1 words are one shingle."""
     count = np.bincount(row, minlength=n_rows)
     first = np.cumsum(count) - count
     sizes = np.where(count >= k, count - k + 1, (count > 0).astype(count.dtype))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    out = np.zeros(at[-1], np.uint64)
     begin = np.repeat(first, sizes) + (np.arange(at[-1]) - np.repeat(at[:-1], sizes))
-    left = np.repeat(np.minimum(count, k), sizes)
-    for j in range(k):
+    return begin, np.repeat(np.minimum(count, k), sizes), at
+
+
+def shingle_hashes(words: np.ndarray, begin: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hash of each shingle of a layout."""
+    most = int(left.max()) if len(left) else 0
+    if most > len(_STEPS):
+        raise ValueError(f"shingles of 1 to {len(_STEPS)} words")
+    out = np.zeros(len(begin), np.uint64)
+    for j in range(most):
         here = left > j
         if here.all():
             out += mix(words[begin + j] + _STEPS[j])
         else:
             out[here] += mix(words[begin[here] + j] + _STEPS[j])
-    return mix(out), at
+    return mix(out)
