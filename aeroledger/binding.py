@@ -95,8 +95,15 @@ def dirty_flights(raw: DataFrame) -> DataFrame:
     """Raw flights as CSV-like text, with unreadable values injected by a rule on keys."""
     junk = (F.col("l_orderkey") + F.col("l_partkey")) % 23
 
+    line, day = F.col("l_linenumber"), F.col("FlightDate")
+    written = (
+        F.when(line == 1, F.date_format(day, "M/d/yyyy")).when(line == 2, F.date_format(day, "M/d/yyyy '12:00:00 AM'"))
+        .when(line == 3, F.date_format(day, "yyyyMMdd")).when(line == 4, F.date_format(day, "dd-MMM-yyyy"))
+        .when(line == 5, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(day.cast("string"))
+    )
+
     def spoil(name: str):
-        text = F.col(name).cast("string")
+        text = written if name == "FlightDate" else F.col(name).cast("string")
         return (
             F.when(junk == 0, "abc").when(junk == 1, "").when(junk == 2, "NA")
             .when(junk == 3, "NaN").when(junk == 4, F.lit(None).cast("string"))

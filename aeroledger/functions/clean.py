@@ -50,13 +50,35 @@ def flag(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(whole(c, dtype), F.lit(0).cast("bigint"))
 
 
+# --- fixed values: how dates are written, besides ISO; the first shape that fits decides the pattern ---
+DATE_SHAPES = (
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-yyyy"),
+    (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", "d-MMM-yyyy"),
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
+)
+_TIME_OF_DAY = r"[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?( *[AaPp][Mm])?$"
+
+
 def calendar_date(c: Column, dtype: T.DataType) -> Column:
-    """Any column -> date, unparseable -> null."""
+    """Any column -> date, unparseable -> null; a time of day is dropped, month comes before day."""
     if isinstance(dtype, T.DateType):
         return c
-    if isinstance(dtype, (T.StringType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.try_cast("date")
-    return F.lit(None).cast("date")
+    if isinstance(dtype, T.IntegralType):  # 20210301
+        c, dtype = c.cast("string"), T.StringType()
+    if not isinstance(dtype, T.StringType):
+        return F.lit(None).cast("date")
+    day = F.regexp_replace(F.trim(c), _TIME_OF_DAY, "")
+    parsed = F.when(~day.rlike("^[0-9]+$"), day.try_cast("date"))
+    for shape, pattern in reversed(DATE_SHAPES):
+        text = F.initcap(day) if "MMM" in pattern else day
+        parsed = F.when(day.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("date")).otherwise(parsed)
+    return parsed
 
 
 def hhmm_parts(hhmm: Column) -> tuple[Column, Column]:

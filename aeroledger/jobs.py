@@ -2,6 +2,7 @@
 
 spark-submit aeroledger/jobs.py datamart INBOX BASE
 spark-submit aeroledger/jobs.py train DATAMART MODEL
+spark-submit aeroledger/jobs.py search BASE MODEL
 spark-submit aeroledger/jobs.py score MODEL RECORDS OUT
 spark-submit aeroledger/jobs.py export DATAMART TABLE OUT
 """
@@ -13,27 +14,35 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroledger.ml import evaluate, frame, score, train as training
+from aeroledger.ml import evaluate, frame, score, search, train as training
 from aeroledger.operators.canonical import curate
 from aeroledger.schema import FACT, FACT_COLUMNS
 from aeroledger.session import build_session
 from aeroledger.sources import layers
-from aeroledger.sources.datamart import Star, build_star, load_star, read_table
-from aeroledger.sources.ingest import ingest
+from aeroledger.sources.datamart import Star, load_star, read_table, star_of_curated
+from aeroledger.sources.ingest import ingest_with_report
+from aeroledger.workspace import materialise
 
 # --- fixed values: folders of the layers below the base path ---
 LANDING = "landing/flights/flights_raw_parquet"
+INGEST_REPORT = "landing/flights/ingest_report"
 CURATED = "curated/flights/flights_curated_parquet"
 DATAMART = "functional/datamart/parquet"
 ORC = "functional/datamart/orc"
 
 
 def build_datamart(spark: SparkSession, inbox: str, base: str) -> Star:
-    """Raw files -> landing, curated and star tables below ``base``; the fact in ORC as well."""
-    landed = layers.land(ingest(spark, inbox), f"{base}/{LANDING}")
-    layers.write_curated(curate(landed), f"{base}/{CURATED}")
-    star = build_star(landed, f"{base}/{DATAMART}")
-    layers.write_orc(star.fact.select(*FACT_COLUMNS), f"{base}/{ORC}/{FACT}")
+    """Raw files -> landing, curated and star tables below ``base``; the fact in ORC as well, if that can be written.
+
+    What became of each input file is written beside the landing table.
+    """
+    read = ingest_with_report(spark, inbox)
+    landed = layers.land(read.rows, f"{base}/{LANDING}")
+    read.report.write.mode("overwrite").parquet(f"{base}/{INGEST_REPORT}")
+    typed = materialise(curate(landed), "typed")
+    layers.write_curated(typed, f"{base}/{CURATED}")
+    star = star_of_curated(typed, f"{base}/{DATAMART}")
+    layers.try_write_orc(star.fact.select(*FACT_COLUMNS), f"{base}/{ORC}/{FACT}")
     return star
 
 
@@ -56,6 +65,28 @@ def score_records(spark: SparkSession, model_path: str, records: str, out: str)
     score.score_labels(scored).write.mode("overwrite").parquet(out)
 
 
+def train_curated(
+    spark: SparkSession, base: str, model_path: str, forest_space=search.RF_SPACE, draws: int = search.RF_DRAWS,
+    regression_space=search.LR_SPACE, baseline_trees: int = training.BASELINE_RF_TREES,
+) -> DataFrame:
+    """Baselines and both searches over the curated table; saves the best forest, returns the report on held-out rows.
+
+    At most ``frame.MOST_TRAINING_ROWS`` rows are fitted with; every held-out row counts.
+    """
+    rows = layers.read_curated(spark, f"{base}/{CURATED}")
+    train_rows, test = frame.stratified_split(frame.curated_frame(rows))
+    train_rows = materialise(frame.ml_sample(train_rows), "training-rows")
+    features = training.one_hot_features()
+    models = training.fit_models(
+        train_rows, features,
+        {"baseline_lr": training.baseline_lr(train_rows.count()), "baseline_rf": training.deep_forest(baseline_trees)},
+    )
+    models["best_lr"] = search.search_lr(train_rows, features, regression_space).model
+    models["best_rf"] = search.search_rf(train_rows, features, forest_space, draws).model
+    training.save_model(models["best_rf"], model_path)
+    return evaluate.report(models, test)
+
+
 def export_csv(spark: SparkSession, datamart: str, table: str, out: str) -> None:
     layers.write_csv(read_table(spark, datamart, table), out)
 
@@ -65,7 +96,7 @@ def main() -> None:
     commands = parser.add_subparsers(dest="job", required=True)
     for name, arguments in (
         ("datamart", ("inbox", "base")), ("train", ("datamart", "model")),
-        ("score", ("model", "records", "out")), ("export", ("datamart", "table", "out")),
+        ("search", ("base", "model")), ("score", ("model", "records", "out")), ("export", ("datamart", "table", "out")),
     ):
         command = commands.add_parser(name)
         for argument in arguments:
@@ -76,6 +107,8 @@ def main() -> None:
         build_datamart(spark, args.inbox, args.base)
     elif args.job == "train":
         train(spark, args.datamart, args.model).show(truncate=False)
+    elif args.job == "search":
+        train_curated(spark, args.base, args.model).show(truncate=False)
     elif args.job == "score":
         score_records(spark, args.model, args.records, args.out)
     else:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 # Position of a row in landing order; written once, see sources/layers.py.
 ROW_SEQ = "ingest_seq"
+# Where an ingested row was read: file name, start of its block, row in the block.
+FILE_PLACE = "_file_place"
 
 # --- fixed values: the 39 canonical columns and their types after cleaning ---
 CANONICAL_TYPES = {
@@ -53,7 +55,7 @@ FLAG_COLUMNS = ("Cancelled", "Diverted", "DepDel15", "ArrDel15")
 CALENDAR_COLUMNS = ("Year", "Quarter", "Month", "DayofMonth")
 
 # --- fixed values: star tables, their key and their attributes ---
-FACT = "fact_vuelos"
+FACT = "fact_flights"
 DATE, HOUR, AIRLINE = "dim_fecha", "dim_hora", "dim_aerolinea"
 ORIGIN, DEST, ROUTE = "dim_origen", "dim_destino", "dim_ruta"
 AIRCRAFT, FLIGHT_NO = "dim_avion", "dim_vuelo"

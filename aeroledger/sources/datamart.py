@@ -75,25 +75,22 @@ def conform(df: DataFrame, keys: Sequence[str], numbers: Sequence[str] = (), int
     return df.select(*columns)
 
 
-def one_row_per_key(dim: DataFrame, key: str) -> DataFrame:
-    """The dimension itself if its key is unique, else one row per key (the smallest)."""
-    if dim.groupBy(key).count().where("count > 1").isEmpty():
-        return dim
-    attributes = [c for c in dim.columns if c != key]
-    smallest = dim.groupBy(key).agg(F.min(F.struct(*attributes)).alias("_row"))
-    return materialise(smallest.select(key, "_row.*"), f"{key}-unique")
+def read_first_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A dimension with one row per key: the first one by file name and row."""
+    key = key_of(name)
+    placed = read_table(spark, root, name).select(
+        "*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
+    dim = conform(placed, (key,), integers=INTEGER_DIM_COLUMNS)
+    attributes = F.struct(*[c for c in dim.columns if c not in (key, "_place")])
+    return dim.groupBy(key).agg(F.min_by(attributes, "_place").alias("_row")).select(key, "_row.*")
 
 
-def load_star(spark: SparkSession, root: str) -> Star:
+def load_star(spark: SparkSession, root: str, fact_name: str = FACT) -> Star:
     """Lazy scans of nine star tables that any tool may have written below ``root``."""
     fact = conform(
-        read_table(spark, root, FACT), ("fact_id", *FACT_KEYS), NUMERIC_FACT_COLUMNS, FACT_LAYOUT
+        read_table(spark, root, fact_name), ("fact_id", *FACT_KEYS), NUMERIC_FACT_COLUMNS, FACT_LAYOUT
     )
-    dims = {}
-    for name in DIM_ATTRIBUTES:
-        dim = conform(read_table(spark, root, name), (key_of(name),), integers=INTEGER_DIM_COLUMNS)
-        dims[name] = one_row_per_key(dim, key_of(name))
-    return Star(fact, dims)
+    return Star(fact, {name: read_first_rows(spark, root, name) for name in DIM_ATTRIBUTES})
 
 
 def _write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -102,14 +99,13 @@ def _write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_dims(landing: DataFrame, root: str) -> dict[str, DataFrame]:
+def write_dims(curated: DataFrame, root: str) -> dict[str, DataFrame]:
     """Build and write the dimensions side by side.
 
-    Each scans only its own columns of the landing table. The jobs are
+    Each scans only its own columns of the curated rows. The jobs are
     independent and end in small steps, so while one finishes its tail the
     others keep the cluster busy.
     """
-    curated = curate(landing)
 
     def build(name: str) -> tuple[str, DataFrame]:
         return name, _write(DIM_BUILDERS[name](curated), f"{root}/{name}")
@@ -124,6 +120,14 @@ def write_fact(fact: DataFrame, root: str) -> DataFrame:
 
 
 def build_star(landing: DataFrame, root: str) -> Star:
-    """Landing table -> the nine written star tables, whose keys are unique by construction."""
-    dims = write_dims(landing, root)
-    return Star(write_fact(build_fact(curate(landing), dims), root), dims)
+    """Landing table -> the nine written star tables, whose keys are unique by construction.
+
+    The typed rows are written once, so nothing is parsed again for a dimension or the fact.
+    """
+    return star_of_curated(materialise(curate(landing), "typed"), root)
+
+
+def star_of_curated(curated: DataFrame, root: str) -> Star:
+    """The star of curated rows that are already stored; rows without a calendar date included."""
+    dims = write_dims(curated, root)
+    return Star(write_fact(build_fact(curated, dims), root), dims)

@@ -1,22 +1,27 @@
-"""Raw files of a folder -> one table.
+"""Raw files of a folder -> one table that has all rows of every readable file, and where each was read.
 
-The driver only handles file names and headers; rows are read by one scan per
-distinct CSV header and one scan for all Parquet files.
+A file is taken whole or not at all. One scan per kind of file finds out which
+ones can be read to their end; the rest are left out by their path and listed
+in a report. The driver holds what Spark's own listing holds, an entry for each
+file: its path, and for CSV its header line, which one job collects.
 """
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.clean import null_words_to_null
+from ..schema import FILE_PLACE
 
 log = logging.getLogger(__name__)
 
@@ -25,6 +30,14 @@ CSV_FILES = "*.[cC][sS][vV]"
 PARQUET_FILES = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 
 
+@dataclass(frozen=True)
+class Ingested:
+    """``rows`` of the files that were read, and ``report``: (path, length, n_rows, skipped) of all of them."""
+
+    rows: DataFrame
+    report: DataFrame
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, length) of the matching files or table folders directly in ``folder``."""
     scan = spark.read.format("binaryFile")
@@ -36,53 +49,103 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
         return spark.createDataFrame([], "path string, length bigint")
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of a CSV file; empty when it cannot be read."""
-    try:
-        return tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
-    except PySparkException as error:
-        log.warning("skipped %s: %s", path, error.getCondition())
-        return ()
+def same_path(c: Column) -> Column:
+    """A path in one form; listings and scans write the file scheme differently."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def place() -> Column:
+    """Sort key of a scanned row: file, block, and order within the block."""
+    return F.struct(
+        same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def _paths(files: DataFrame) -> list[str]:
+    return sorted(r["path"] for r in files.select("path").collect())  # an entry for each file, as in Spark's listing
+
+
+def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """(column names, whether a quoted value breaks a line) -> files, from one scan of their lines."""
+    lines = spark.read.text(list(files)).select(
+        F.col("_metadata.file_path").alias("path"), place().alias("place"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'))) ).alias("quotes"),
+    )
+    heads = lines.groupBy("path").agg(
+        F.min_by("value", "place").alias("head"), F.max(F.col("quotes") % 2 == 1).alias("breaks"),
+    )
+    found: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for r in heads.collect():  # an entry for each file
+        if r["head"].strip():
+            names = next(csv.reader([r["head"].lstrip("﻿")]))
+            found[tuple(names), bool(r["breaks"])].append(r["path"])
+    return found
 
 
 def read_csv_files(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """One all-text table per distinct header, missing-value words as null."""
-    paths = sorted(r["path"] for r in list_files(spark, folder, CSV_FILES).collect())
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), paths))
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
-        if header:
-            by_header[header].append(path)
+    """One all-text table per distinct header, missing-value words as null.
+
+    Files in which a quoted value holds a line break are not split, all others are.
+    """
+    files = _paths(list_files(spark, folder, CSV_FILES))
     tables = []
-    for header, group in by_header.items():
+    for (header, breaks), group in (csv_headers(spark, files) if files else {}).items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        text = spark.read.schema(schema).option("header", True).option("escape", '"').csv(group)
-        tables.append(text.select(*[null_words_to_null(F.col(f"`{c}`")).alias(c) for c in header]))
+        scan = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", breaks)
+        rows = scan.csv(sorted(group))
+        tables.append(rows.select(*[null_words_to_null(F.col(f"`{c}`")).alias(c) for c in header], place().alias(FILE_PLACE)))
     return tables
 
 
-def read_parquet_files(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """All Parquet files as one table, columns merged by name; unreadable files are skipped.
+def _parquet_schemas(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[T.StructType, list[str]]]:
+    """Files or table folders by their schema; those without a readable footer are in none."""
 
-    Only if two files disagree on the type of a column is each read by itself.
-    """
-    scan = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True)
-    try:
-        return [scan.parquet(f"{folder.rstrip('/')}/{PARQUET_FILES}")]
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return []
-        raise
-    except (PySparkException, Py4JJavaError):  # the schemas cannot be merged
-        log.warning("column types differ between the Parquet files of %s", folder)
-    tables = []
-    for row in list_files(spark, folder, PARQUET_FILES).collect():
+    def schema_of(path: str) -> T.StructType | None:
         try:
-            tables.append(spark.read.parquet(row["path"]))
-        except PySparkException as error:
-            log.warning("skipped %s: %s", row["path"], error.getCondition())
-    return tables
+            return spark.read.parquet(path).schema
+        except (PySparkException, Py4JJavaError) as error:
+            log.warning("no footer in %s: %s", path, type(error).__name__)
+            return None
+
+    found: dict[str, tuple[T.StructType, list[str]]] = {}
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        for path, schema in zip(files, pool.map(schema_of, files)):
+            if schema is not None and schema.fields:
+                found.setdefault(schema.json(), (schema, []))[1].append(path)
+    return found
+
+
+def _parquet_counts(spark: SparkSession, schema: T.StructType, files: Sequence[str]) -> DataFrame:
+    """(path, n_rows, n_read): rows that the footers promise, and rows that can be decoded in all columns."""
+    path = same_path(F.col("_metadata.file_path")).alias("path")
+    promised = spark.read.schema(T.StructType([])).parquet(*files).groupBy(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    scan = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*files)  # a damaged file ends early
+    whole = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in schema.names])
+    decoded = scan.select(path, whole.alias("h")).groupBy("path").agg(F.count(F.lit(1)).alias("n_read"), F.max("h").alias("h"))
+    return promised.join(decoded.drop("h") if not schema.names else decoded, "path", "left").select(
+        "path", "n_rows", F.when(F.col("h").isNotNull() | (F.col("n_rows") == 0), F.coalesce("n_read", F.lit(0))).alias("n_read"))
+
+
+def read_parquet_files(spark: SparkSession, folder: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(a table per distinct schema, with the rows of whole files only; the counts of their files)."""
+    files = _paths(spark.createDataFrame([(p,) for p in _entries(spark, folder, PARQUET_FILES)], "path string"))
+    tables, counts = [], []
+    for schema, group in _parquet_schemas(spark, files).values():
+        count = _parquet_counts(spark, schema, group)
+        damaged = count.where("n_read IS NULL OR n_read <> n_rows").select(F.col("path").alias("_damaged"))
+        scan = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*group)
+        rows = scan.select("*", place().alias(FILE_PLACE))
+        tables.append(rows.join(damaged, F.col(f"{FILE_PLACE}.file") == F.col("_damaged"), "left_anti"))
+        counts.append(count)
+    return tables, counts
+
+
+def _entries(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Files and table folders directly in a folder whose name fits; nothing is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(status.getPath()) for status in found or ()]
 
 
 def align_types(tables: Sequence[DataFrame]) -> list[DataFrame]:
@@ -93,7 +156,7 @@ def align_types(tables: Sequence[DataFrame]) -> list[DataFrame]:
             types[field.name].add(field.dataType)
     mixed = {
         name for name, kinds in types.items()
-        if len(kinds) > 1 and not all(isinstance(k, T.NumericType) for k in kinds)
+        if len(kinds) > 1 and name != FILE_PLACE and not all(isinstance(k, T.NumericType) for k in kinds)
     }
     return [
         df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in df.columns])
@@ -101,33 +164,27 @@ def align_types(tables: Sequence[DataFrame]) -> list[DataFrame]:
     ]
 
 
-def ingest(spark: SparkSession, folder: str) -> DataFrame:
+def ingest_with_report(spark: SparkSession, folder: str) -> Ingested:
     """Every CSV and Parquet file of a folder, united by column name; absent columns are null."""
-    tables = read_csv_files(spark, folder) + read_parquet_files(spark, folder)
-    if not tables:
+    parquet, counts = read_parquet_files(spark, folder)
+    texts = read_csv_files(spark, folder)
+    if not texts and not parquet:
         raise FileNotFoundError(f"no readable .csv or .parquet file in {folder}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), align_types(tables))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), align_types(texts + parquet))
+    read = [t.groupBy(F.col(f"{FILE_PLACE}.file").alias("read_path")).agg(F.count(F.lit(1)).alias("n_rows")) for t in texts]
+    read += [c.where("n_read = n_rows").select(F.col("path").alias("read_path"), "n_rows") for c in counts]
+    files = list_files(spark, folder, CSV_FILES).unionByName(list_files(spark, folder, PARQUET_FILES))
+    joined = files.join(reduce(DataFrame.unionByName, read), same_path(F.col("path")) == F.col("read_path"), "left")
+    report = joined.select(
+        "path", "length", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.col("read_path").isNull().alias("skipped"))
+    return Ingested(rows, report)
+
+
+def ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``ingest_with_report``."""
+    return ingest_with_report(spark, folder).rows
 
 
 def ingest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, n_rows) per input file with any bytes; a skipped one has 0 rows."""
-    files = list_files(spark, folder, CSV_FILES).unionByName(list_files(spark, folder, PARQUET_FILES))
-    base = folder.rstrip("/")
-    scans = []
-    for reader, pattern in (
-        (spark.read.schema("any string").option("header", True).csv, CSV_FILES),
-        (spark.read.schema("any string").option("ignoreCorruptFiles", True).parquet, PARQUET_FILES),
-    ):
-        try:
-            scans.append(reader(f"{base}/{pattern}").select(F.col("_metadata.file_path").alias("read_path")))
-        except AnalysisException as error:
-            log.warning("nothing to count for %s: %s", pattern, error.getCondition())
-    if not scans:
-        return files.withColumn("n_rows", F.lit(0).cast("bigint"))
-    rows = reduce(DataFrame.unionByName, scans).groupBy("read_path").agg(F.count(F.lit(1)).alias("n_rows"))
-
-    def same_path(c):
-        return F.regexp_replace(c, "^file:/+", "/")
-
-    joined = files.join(rows, same_path(F.col("path")) == same_path(F.col("read_path")), "left")
-    return joined.select("path", "length", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"))
+    """(path, length, n_rows, skipped) per input file with any bytes."""
+    return ingest_with_report(spark, folder).report

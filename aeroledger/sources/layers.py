@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ids import PARTITION_BIT, first_rows
-from ..schema import ROW_SEQ
+from ..schema import FILE_PLACE, ROW_SEQ
+
+log = logging.getLogger(__name__)
 
 
 def sorted_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,11 +23,14 @@ def sorted_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def land(raw: DataFrame, path: str, row_key: Sequence[str] = ()) -> DataFrame:
     """Write raw rows once, with the position of every row fixed in ``ingest_seq``.
 
-    Rows keep the order in which the files are scanned, unless ``row_key``
-    names columns that define it. Every later rule on "first row" or "row
-    number" reads the stored position, so no later step sorts the fact again.
+    Rows of ingested files are sorted by file and place in it, others by the
+    columns of ``row_key``; without either they keep the order of the scan.
+    Every later rule on "first row" or "row number" reads the stored position,
+    so no later step sorts the fact again.
     """
-    if row_key:
+    if FILE_PLACE in raw.columns:
+        raw = sorted_by(raw, [FILE_PLACE]).drop(FILE_PLACE)
+    elif row_key:
         raw = sorted_by(raw, row_key)
     numbered = raw.withColumn(ROW_SEQ, F.monotonically_increasing_id())
     numbered.write.mode("overwrite").option("compression", "snappy").parquet(path)
@@ -60,6 +68,16 @@ def write_orc(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").orc(path)
 
 
+def try_write_orc(df: DataFrame, path: str) -> bool:
+    """Write ORC where it can be written; the Parquet table stands without it."""
+    try:
+        write_orc(df, path)
+    except (PySparkException, Py4JJavaError) as error:
+        log.warning("no ORC copy at %s: %s", path, error)
+        return False
+    return True
+
+
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.orc(path)
 

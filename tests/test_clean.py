@@ -48,6 +48,15 @@ def test_dates(spark):
     assert got == [date(2021, 3, 1), None, None, None, None, None, date(2021, 3, 1)]
 
 
+def test_other_ways_to_write_a_date(spark):
+    same = ["3/1/2021", "3/1/2021 12:00:00 AM", "20210301", "01-Mar-2021", "1 MAR 2021", "Mar 1, 2021", "2021/3/1", "03-01-2021",
+            " 2021-03-01T10:00:00.5 ", "20210301 09:30"]
+    df = column(spark, [*same, "13/13/2021", "20211301", "1/2", "31-Foo-2021", "99999999"])
+    got = evaluate(df, clean.calendar_date(F.col("c"), T.StringType()))
+    assert got == [date(2021, 3, 1)] * len(same) + [None] * 5
+    assert evaluate(column(spark, [20210301, 7, None], "int"), clean.calendar_date(F.col("c"), T.IntegerType())) == [date(2021, 3, 1), None, None]
+
+
 def test_hhmm(spark):
     df = column(spark, [0, 5, 59, 100, 1530, 2400, None], "int")
     hour, minute = clean.hhmm_parts(F.col("c"))

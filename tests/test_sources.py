@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from aeroledger.operators.canonical import curate
+from aeroledger.operators.ids import number_stored_rows
 from aeroledger.schema import ROW_SEQ
 from aeroledger.sources import ingest as ingestion, layers, sizes
+from aeroledger.sources.datamart import read_first_rows
 from aeroledger.sources.layers import land
 from aeroledger.workspace import fresh_path, scratch_root
 
@@ -38,6 +40,51 @@ def test_ingest_report_shows_what_was_skipped(spark, tmp_path):
     assert rows["a.csv"] == 2 and rows["b.CSV"] == 1 and rows["broken"] == 0 and rows["part-0"] == 1
 
 
+def test_a_file_damaged_half_way_is_left_out_whole(spark, tmp_path):
+    rows = spark.range(200_000).select("id", (F.col("id") * 7919 % 104729).cast("string").alias("Airline"))
+    for name in ("a", "b"):
+        rows.coalesce(1).write.option("parquet.block.size", 200_000).parquet(f"{tmp_path}/{name}")
+    inside = tmp_path / "in"
+    inside.mkdir()
+    for name in ("a", "b"):
+        part = next((tmp_path / name).glob("*.parquet")).read_bytes()
+        (inside / f"{name}.parquet").write_bytes(part if name == "a" else part[:len(part) // 2] + b"\xff" * 4000 + part[len(part) // 2 + 4000:])
+    found = ingestion.ingest_with_report(spark, str(inside))
+    assert found.rows.count() == 200_000
+    report = {r["path"][-9:]: (r["n_rows"], r["skipped"]) for r in found.report.collect()}
+    assert report == {"a.parquet": (200_000, False), "b.parquet": (0, True)}
+
+
+def test_quoted_line_breaks_stay_in_their_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,Note\n1,"two\nlines"\n2,"a ""word"""\n')
+    (tmp_path / "b.csv").write_text("x,Note\n3,plain\n")
+    assert values(ingestion.ingest(spark, str(tmp_path)), "x", "Note") == [("1", "two\nlines"), ("2", 'a "word"'), ("3", "plain")]
+
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 30_000), ("c", 200)):
+        (tmp_path / f"{name}.csv").write_text("k\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        stored = land(ingestion.ingest(spark, str(tmp_path)), fresh_path(spark, "ordered"))
+        got = [r["k"] for r in number_stored_rows(stored, "n").orderBy("n").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{name}{i}" for name, n in (("a", 10), ("b", 30_000), ("c", 200)) for i in range(n)]
+
+
+def test_first_row_of_a_repeated_key_stays(spark, tmp_path):
+    rows = [(1, "Z"), (1, None), (1, "A"), (2, None), (2, "B")]
+    spark.createDataFrame(rows, "dim_aerolinea_id int, Airline string").coalesce(1).write.parquet(f"{tmp_path}/dim_aerolinea")
+    assert values(read_first_rows(spark, str(tmp_path), "dim_aerolinea"), "dim_aerolinea_id", "Airline") == [(1, "Z"), (2, None)]
+
+
+def test_a_failed_orc_copy_is_not_the_end(spark, tmp_path):
+    (tmp_path / "file").write_text("in the way")
+    assert layers.try_write_orc(spark.range(3), f"{tmp_path}/ok")
+    assert not layers.try_write_orc(spark.range(3), f"{tmp_path}/file/orc")
+
+
 def test_parquet_files_that_disagree_on_a_type(spark, tmp_path):
     for name, kind in (("a", "int"), ("b", "string")):
         spark.range(1).select(F.col("id").cast(kind).alias("v")).write.parquet(f"{tmp_path}/{name}.parquet")
