@@ -2,13 +2,16 @@
 
 No join carries a broadcast hint: every lookup side is a plain scan of a written
 table, so Spark knows its size and broadcasts it below its threshold. A larger
-one (tail numbers, say) becomes a sort-merge join, whose hot or null keys AQE
-splits; it can do so because nothing stands between the scan and the shuffle.
+one (tail numbers, say) becomes a sort-merge join, whose hot keys AQE splits; it
+can do so because nothing stands between the scan and the shuffle. Null keys are
+salted, whatever the settings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +35,9 @@ LOOKUPS: tuple[tuple[str, tuple[str, ...], tuple[str, ...], str], ...] = (
 )
 
 
+# Rows without a key are dealt to this many.
+SALTS = 1024
+
 # Dimensions with several rows per lookup key.
 REPEATED = (ORIGIN, DEST, ROUTE)
 
@@ -43,16 +49,22 @@ def last_per_key(dim: DataFrame, dim_id: str, keys: Sequence[str]) -> DataFrame:
 
 def look_up(
     facts: DataFrame, dim: DataFrame, dim_id: str, on: Sequence[tuple[str, str]], as_name: str,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), spread: str = "fact_id",
 ) -> DataFrame:
     """Add the id (and ``carry`` columns) of the matching dimension row, null on a miss.
 
     ``dim`` has one row per key, so a lookup never fans out. A null in the key
-    never matches.
+    never matches; rows that have one get a spread-out second key, so that a
+    shuffle does not send all of them to one task.
     """
     keys = {f"_{as_name}_{dim_col}": dim_col for _, dim_col in on}
     narrow = dim.select(F.col(dim_id).alias(as_name), *carry, *[F.col(c).alias(k) for k, c in keys.items()])
     condition = [F.col(fact_col) == F.col(k) for (fact_col, _), k in zip(on, keys)]
+    if spread in facts.columns:
+        no_key = reduce(or_, [F.col(fact_col).isNull() for fact_col, _ in on])
+        no_match = reduce(or_, [F.col(k).isNull() for k in keys])
+        salt = F.when(no_key, 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0))
+        condition.append(salt == F.when(no_match, F.lit(-1)).otherwise(F.lit(0)))
     return facts.join(narrow, condition, "left").drop(*keys)
 
 

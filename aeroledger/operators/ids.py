@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import ROW_SEQ
 from ..workspace import materialise
 
-# Up to this many rows one task numbers them faster than a range sort does.
-ONE_TASK_ROWS = 1_000_000
-
 # monotonically_increasing_id keeps the partition above this bit, the row below it.
 PARTITION_BIT = 33
 
@@ -62,18 +59,8 @@ def number_stored_rows(df: DataFrame, id_col: str, seq: str = ROW_SEQ) -> DataFr
     )
 
 
-def number_sorted(
-    df: DataFrame, id_col: str, order: Sequence[str], one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """1..n in the order of ``order`` (ascending, nulls last).
-
-    The rows are written first, so their number is known: few rows are
-    numbered in one task, more are range-sorted and numbered by partition.
-    """
-    staged = materialise(df, f"{id_col}-rows")
-    if staged.count() <= one_task_rows:
-        rank = F.row_number().over(Window.orderBy(*nulls_last(order)))
-        return staged.select(rank.cast("bigint").alias(id_col), "*")
-    ranges = staged.repartitionByRange(*nulls_last(order)).sortWithinPartitions(*nulls_last(order))
+def number_sorted(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
+    """1..n in the order of ``order`` (ascending, nulls last): sorted by ranges, then numbered by partition."""
+    ranges = df.repartitionByRange(*nulls_last(order)).sortWithinPartitions(*nulls_last(order))
     stored = materialise(ranges.withColumn("_seq", F.monotonically_increasing_id()), f"{id_col}-sorted")
     return number_stored_rows(stored, id_col, "_seq").select(id_col, *df.columns)

@@ -6,29 +6,29 @@ size Spark can check before it decides to broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_folders: dict[str, str] = {}
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """Name the shared folder of an application whose session does not set ``spark.checkpoint.dir``."""
+    _folders[spark.sparkContext.applicationId] = folder
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that ``spark.checkpoint.dir`` or ``use_folder`` names."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors would each write to their own disk.
-    """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/aeroledger/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="aeroledger-")
-    return _local_roots[app]
+    """Folder of this application below the shared folder."""
+    folder = shared_folder(spark)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir, or call use_folder, to a folder every executor can reach")
+    return f"{folder.rstrip('/')}/aeroledger/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,3 +42,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table this application has written between stages; no DataFrame may read them afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

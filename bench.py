@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from aeroledger.binding import flights_raw
@@ -50,6 +51,7 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.sql.shuffle.partitions": CPUS,
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
