@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -19,15 +19,6 @@ KEEP_COUNTS = {"Airline": 10, "Origin": 20, "Dest": 20, "DepTimeBlk": 12, "ArrTi
 OTHER = "OTHER"
 
 
-def top_categories(frame: DataFrame, column: str, n: int) -> DataFrame:
-    """(column, count) of the n most frequent values; nulls take no place, ties go by name."""
-    return (
-        frame.where(F.col(column).isNotNull())
-        .groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), column).limit(n)
-    )
-
-
 def category_counts(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(name, value, count) of all values of several columns, in one scan."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
@@ -102,14 +93,33 @@ class TopCategoryIndexer(TopCategories):
 
     OTHER has as many rows as the kept values do not account for, so the order
     of the reduced values is known without counting them again. Ties go by
-    name; unseen values get one more number.
+    name; unseen values get one more number. With ``one_hot`` every column also
+    gets a vector with an entry for each level but the last; the last level
+    and unseen values are all zeros.
     """
 
+    one_hot = Param(Params._dummy(), "one_hot", "whether to add one-hot vectors", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, counts: str = json.dumps(KEEP_COUNTS), one_hot: bool = False) -> None:
+        given = self._input_kwargs  # the constructor above sets its own
+        super().__init__()
+        self._setDefault(one_hot=False)
+        self._set(**given)
+
+    def _encoders(self, levels: Mapping[str, int]) -> list:
+        """One projection for the entries of all columns, and an assembler for each vector."""
+        entries = {c: [f"{c}_is_{i}" for i in range(n - 1)] for c, n in levels.items()}
+        flags = [f"CAST({c}_idx = {i} AS DOUBLE) AS {name}" for c, names in entries.items() for i, name in enumerate(names)]
+        vectors = [VectorAssembler(inputCols=names, outputCol=f"{c}_vec") for c, names in entries.items() if names]
+        return [SQLTransformer(statement=", ".join(["SELECT *", *flags]) + " FROM __THIS__"), *vectors]
+
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         columns = list(json.loads(self.getOrDefault(self.counts)))
         counts = materialise(category_counts(dataset, columns), "category-counts")
         rows = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("count").alias("n")).collect()}
         kept_rows = self._kept_rows(counts)
+        levels = {}
         indexers = []  # one per column: a model for several columns would pad its label lists to one length
         for column in columns:
             found = {r["value"]: r["count"] for r in kept_rows if r["name"] == column}
@@ -117,7 +127,9 @@ class TopCategoryIndexer(TopCategories):
             if rest:
                 found[OTHER] = found.get(OTHER, 0) + rest
             labels = sorted(found, key=lambda value: (-found[value], value))
+            levels[column] = len(labels)
             indexers.append(StringIndexerModel.from_labels(
                 labels, inputCol=column, outputCol=f"{column}_idx", handleInvalid="keep"
             ))
-        return PipelineModel([self._reducer(kept_rows), *indexers])
+        encoders = self._encoders(levels) if self.getOrDefault(self.one_hot) else []
+        return PipelineModel([self._reducer(kept_rows), *indexers, *encoders])

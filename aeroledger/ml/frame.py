@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import hour_bucket
@@ -13,12 +15,13 @@ CATEGORICAL = ("Airline", "Origin", "Dest", "DepTimeBlk", "ArrTimeBlk")
 NUMERIC = ("Distance", "DayOfWeek", "Month", "DepHour", "ArrHour")
 LABEL = "label"
 SEED = 42
+# Bound of the rows a model of the curated table is fitted with; held-out rows are never cut.
 MOST_TRAINING_ROWS = 1_000_000
 TEST_SHARE = 0.2
 
-# A hash is cut into this many bits of slices; ranks are only computed inside
-# the one slice in which a quota falls.
-SLICE_BITS = 16
+# Rows are counted by this many more bits of their hash at a time, until at
+# most this many rows of a class share all bits with the one that fills a quota.
+SLICE_BITS, FEW_ROWS = 16, 10_000
 
 
 def star_join_inner(star: Star) -> DataFrame:
@@ -46,20 +49,19 @@ def star_join_inner(star: Star) -> DataFrame:
     )
 
 
+# --- fixed values: types of the model's inputs in the star ---
+WHOLE_INPUTS = ("CRSDepTime", "CRSArrTime", "DayOfWeek", "Month", "Year")
+
+
 def ml_frame(star: Star) -> DataFrame:
-    """Model rows of the star: typed features, hours and label, none of them null."""
-    whole = {c: F.col(c).try_cast("int") for c in ("CRSDepTime", "CRSArrTime", "DayOfWeek", "Month", "Year")}
-    return (
-        star_join_inner(star)
-        .dropna(subset=["DepDel15", "Year"])
-        .withColumns({**whole, "Distance": F.col("Distance").try_cast("double")})
-        .withColumns({
-            "DepHour": hour_bucket(F.col("CRSDepTime")),
-            "ArrHour": hour_bucket(F.col("CRSArrTime")),
-            LABEL: F.col("DepDel15").try_cast("double"),
-        })
-        .dropna(subset=["Distance", "DayOfWeek", "Month", "Year", "DepHour", "ArrHour", LABEL])
-    )
+    """Model rows of the star: typed inputs, hours of day and label; a row with an unusable number is left out."""
+    joined = star_join_inner(star)
+    given = {
+        **{c: F.col(c).try_cast("int") for c in WHOLE_INPUTS},
+        "Distance": F.col("Distance").try_cast("double"), LABEL: F.col("DepDel15").try_cast("double"),
+    }
+    derived = {"DepHour": hour_bucket(given["CRSDepTime"]), "ArrHour": hour_bucket(given["CRSArrTime"])}
+    return joined.withColumns({**given, **derived}).dropna(subset=[*WHOLE_INPUTS, "Distance", LABEL])
 
 
 def curated_frame(curated: DataFrame) -> DataFrame:
@@ -94,37 +96,57 @@ def class_distribution(frame: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(classes)).orderBy(LABEL)
 
 
+def _narrowed(hashed: DataFrame, cuts: dict, bits: int) -> dict:
+    """Group -> (leading bits of the hash that fills the quota, rows still to take among them, rows that have them)."""
+    prefix = F.shiftright(F.col("hash"), 64 - bits + SLICE_BITS)
+    inside = F.lit(False)
+    for group, (lead, _, _) in cuts.items():
+        here = F.col("group").eqNullSafe(F.lit(group))
+        inside = inside | (here if bits == SLICE_BITS else here & (prefix == lead))
+    counts = hashed.where(inside).groupBy("group", F.shiftright(F.col("hash"), 64 - bits).alias("slice")).agg(
+        F.count(F.lit(1)).alias("n"))
+    need = F.lit(None).cast("bigint")
+    for group, (_, take, _) in cuts.items():
+        need = F.when(F.col("group").eqNullSafe(F.lit(group)), take).otherwise(need)
+    up_to = Window.partitionBy("group").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        counts.select("group", "slice", "n", F.sum("n").over(up_to).alias("up_to"), need.alias("need"))
+        .where("up_to >= need and up_to - n < need").collect()  # one row per group
+    )
+    return {r["group"]: (r["slice"], r["need"] - (r["up_to"] - r["n"]), r["n"]) for r in rows}
+
+
 def quota_condition(df: DataFrame, by: Column, share: float | None = None, rows: int | None = None,
-                    key: str = ROW_SEQ, seed: int = SEED) -> Column:
+                    key: str = ROW_SEQ, seed: int = SEED, few: int = FEW_ROWS) -> Column:
     """Condition that holds for exactly a share (rounded) or a number of rows of each group of ``by``.
 
-    Rows are taken in the order of a seeded hash of their key, so the choice
-    does not depend on partitioning, and it ends up as a plain comparison with
-    one hash value per group. That value is found without sorting a group: rows
-    are counted per hash slice, and only the slice the quota falls in is ranked.
-    ``by`` must have few values, such as the classes of a label.
+    Rows are taken in the order of (seeded hash of their key, key), so the
+    choice does not depend on partitioning, and it ends up as a comparison with
+    one such pair per group. The pair is found without sorting a group: rows of
+    all groups are counted by the leading bits of the hash, then, where a quota
+    falls, by more of them, until at most ``few`` rows are left to rank.
+    ``by`` must have few values, such as the classes of a label, and ``key``
+    must be unique: rows that share it are taken together.
     """
-    hashed = df.select(by.alias("group"), F.xxhash64(F.col(key), F.lit(seed)).alias("hash"))
-    slice_of = F.shiftright(F.col("hash"), 64 - SLICE_BITS)
-    counts = hashed.groupBy("group", slice_of.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("group")
-    total = F.sum("n").over(group)
-    quota = F.round(total * share) if rows is None else F.least(total, F.lit(rows))
-    below = F.sum("n").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = (
-        counts.select("group", "slice", "n", F.coalesce(below, F.lit(0)).alias("below"), quota.alias("quota"))
-        .where("below < quota and quota <= below + n")
-        .select("group", "slice", (F.col("quota") - F.col("below")).cast("bigint").alias("take"))
-        .collect()  # one row per group
-    )
+    hashed = df.select(by.alias("group"), F.col(key).alias("key"), F.xxhash64(F.col(key), F.lit(seed)).alias("hash"))
+    cuts = {}
+    for r in hashed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per group
+        take = int(Decimal(r["n"] * share).quantize(Decimal(1), ROUND_HALF_UP)) if rows is None else min(r["n"], rows)
+        if take:
+            cuts[r["group"]] = (0, take, r["n"])
+    bits = 0
+    while cuts and bits < 64 and max(n for _, _, n in cuts.values()) > few:
+        bits += SLICE_BITS
+        cuts = _narrowed(hashed, cuts, bits)
     chosen = F.lit(False)
-    for cut in cuts:
-        in_slice = F.col("group").eqNullSafe(F.lit(cut["group"])) & (slice_of == cut["slice"])
-        rank = F.row_number().over(Window.orderBy("hash"))
-        last = hashed.where(in_slice).select("hash", rank.alias("rank")).where(F.col("rank") == cut["take"]).first()
-        chosen = chosen | (
-            by.eqNullSafe(F.lit(cut["group"])) & (F.xxhash64(F.col(key), F.lit(seed)) <= F.lit(last["hash"]))
-        )
+    for group, (lead, take, _) in cuts.items():
+        here = F.col("group").eqNullSafe(F.lit(group))
+        if bits:
+            here = here & (F.shiftright(F.col("hash"), 64 - bits) == lead)
+        last = hashed.where(here).orderBy("hash", "key").limit(take).orderBy(F.desc("hash"), F.desc("key")).first()
+        pair = F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+        bound = F.struct(F.lit(last["hash"]).cast("bigint"), F.lit(last["key"]).cast(df.schema[key].dataType))
+        chosen = chosen | (by.eqNullSafe(F.lit(group)) & (pair <= bound))
     return chosen
 
 

@@ -8,7 +8,8 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from .categories import KEEP_COUNTS, TopCategoryIndexer
@@ -34,12 +35,19 @@ def index_features() -> Pipeline:
 
 
 def one_hot_features() -> Pipeline:
-    """Reduced categories as one-hot vectors without their last level, after the numbers."""
-    encoder = OneHotEncoder(inputCols=list(INDEXED), outputCols=list(ENCODED), dropLast=True)
-    assembler = VectorAssembler(
-        inputCols=[*NUMERIC, *ENCODED], outputCol="features", handleInvalid="keep"
-    )
-    return Pipeline(stages=[TopCategoryIndexer(), encoder, assembler])
+    """The numbers, then reduced categories as one-hot vectors without one level each.
+
+    A column with a single level has no entry.
+    """
+    return Pipeline(stages=[TopCategoryIndexer(one_hot=True), EncodedAssembler()])
+
+
+class EncodedAssembler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Assembles the numbers and those one-hot vectors that the columns have."""
+
+    def _fit(self, dataset: DataFrame) -> VectorAssembler:
+        encoded = [c for c in ENCODED if c in dataset.columns]
+        return VectorAssembler(inputCols=[*NUMERIC, *encoded], outputCol="features", handleInvalid="keep")
 
 
 def logistic_regression(iterations: int = LR_ITERATIONS, **params) -> LogisticRegression:

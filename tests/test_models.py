@@ -31,7 +31,6 @@ def test_split_is_disjoint_and_complete(star, split):
 
 def test_nulls_take_no_place_and_ties_go_by_name(spark):
     df = spark.createDataFrame([(v,) for v in [None] * 5 + list("ccbbaad")], "x string")
-    assert values(categories.top_categories(df, "x", 2)) == [("a", 2), ("b", 2)]
     fitted = categories.TopCategories(counts=json.dumps({"x": 2})).fit(df)
     assert fitted.kept() == {"x": ["a", "b"]}
     assert values(fitted.transform(df).groupBy("x").count()) == [("OTHER", 8), ("a", 2), ("b", 2)]
@@ -67,6 +66,14 @@ def test_quota_is_exact_per_group_and_repeatable(spark, share):
     assert values(again.where(frame.quota_condition(again, F.col("label"), share=share, key="k"))) == values(chosen)
 
 
+def test_quota_is_exact_when_hashes_tie_or_slices_are_ranked_early(spark):
+    df = spark.range(500).select((F.col("id") % 500).alias("k"), F.lit(1.0).alias("label"))
+    for few in (1, 3, 10_000):
+        assert df.where(frame.quota_condition(df, F.col("label"), rows=125, key="k", few=few)).count() == 125
+    words = df.select(F.concat(F.lit("k"), "k").alias("k"), "label")
+    assert words.where(frame.quota_condition(words, F.col("label"), share=0.25, key="k", few=2)).count() == 125
+
+
 def test_sample_is_whole_when_the_table_is_small(spark):
     df = spark.range(100).select(F.col("id").alias("ingest_seq"))
     assert frame.ml_sample(df, rows=1000).count() == 100
@@ -80,8 +87,15 @@ def test_one_hot_drops_a_level(curated):
     length = len(vectors.select(vector_to_array("features")).first()[0])
     kept = categories.TopCategories().fit(rows).transform(rows)
     levels = sum(kept.select(c).distinct().count() for c in frame.CATEGORICAL)
-    # the indexer adds one level for unseen values, the encoder drops the last one
-    assert length == len(frame.NUMERIC) + levels
+    assert length == len(frame.NUMERIC) + levels - len(frame.CATEGORICAL)
+
+
+def test_one_hot_of_the_last_level_and_of_unseen_values_is_zero(spark):
+    train = spark.createDataFrame([("a", "k")] * 3 + [("b", "k")] * 2 + [("c", "k")], "x string, y string")
+    fitted = categories.TopCategoryIndexer(counts=json.dumps({"x": 3, "y": 1}), one_hot=True).fit(train)
+    got = fitted.transform(spark.createDataFrame([(v, "k") for v in "abcz"], "x string, y string"))
+    assert [list(r["x_vec"].toArray()) for r in got.orderBy("x").collect()] == [[0, 0], [1, 0], [0, 1], [0, 0]]  # z is OTHER
+    assert "y_vec" not in got.columns
 
 
 def test_reloaded_model_scores_the_same(spark, split, model):
@@ -157,4 +171,6 @@ def test_searches(split):
     regression = search.search_lr(train, training.index_features(), {"C": (1.0,), "class_weight": (None, "balanced")},
                                   iterations=5, folds=2)
     assert regression.candidates.count() == 2
+    final = regression.model.stages[-1]
+    assert final.getOrDefault("regParam") == pytest.approx(1 / train.count())
     assert "prediction" in regression.model.transform(split[1]).columns
