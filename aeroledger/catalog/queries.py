@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..binding import ROW_KEY, dirty_flights, flights_raw
@@ -27,7 +27,7 @@ from ..plans import kpis, options, rankings, tables
 from ..plans.rollup import top_n
 from ..schema import FACT, FACT_COLUMNS, ROW_SEQ, key_of
 from ..sources import ingest as ingestion, layers, sizes
-from ..sources.datamart import Star, build_star, load_star, read_table
+from ..sources.datamart import Star, build_star, read_first_rows, read_table
 from ..workspace import fresh_path
 from .oracle import DIM_FILTERS, PARSE_WORDS, RESOLVE_CASES
 
@@ -38,7 +38,7 @@ QUERIES: dict[str, Query] = {}
 # (application, data directory) -> what has been built there
 _landings: dict[tuple[str, str], DataFrame] = {}
 _stars: dict[tuple[str, str], tuple[Star, str]] = {}
-_models: dict[tuple[str, str], dict[str, PipelineModel]] = {}
+_models: dict[tuple[str, ...], dict[str, PipelineModel]] = {}
 
 CALENDAR_REQUEST = {"anio": 1995, "mes_inicio": 3, "mes_fin": 9}
 SEVERAL_REQUEST = {"anio": "1996", "mes_inicio": 2, "dim_aerolinea_id": 5, "cancelado": "no"}
@@ -112,6 +112,31 @@ def _(spark, sf_dir):
     )
 
 
+def _inbox(spark, sf_dir):
+    """Files of unequal size in both formats, and one that cannot be read; each sorted by the row key."""
+    raw, folder = raw_flights(spark, sf_dir), fresh_path(spark, "ordered-inbox")
+    parts = {"a.csv": "l_linenumber = 2", "b.parquet": "l_linenumber IN (1, 3)", "c.csv": "l_linenumber = 4", "d.parquet": "l_linenumber > 4"}
+    for name, condition in parts.items():
+        rows = layers.sorted_by(raw.where(condition).select(*ROW_KEY, "Airline", "FlightDate"), ROW_KEY)
+        layers.write_csv(rows, f"{folder}/{name}") if name.endswith(".csv") else rows.write.parquet(f"{folder}/{name}")
+    raw.select(F.lit("not a parquet file")).limit(1).write.text(f"{folder}/broken.parquet")
+    return folder
+
+
+@query("ingest_order")
+def _(spark, sf_dir):
+    landed = layers.land(ingestion.ingest(spark, _inbox(spark, sf_dir)), fresh_path(spark, "ordered"))
+    keys = {c: ("double" if c in ("l_quantity", "l_extendedprice") else "bigint") for c in ROW_KEY}
+    return number_stored_rows(landed, "fact_id").select("fact_id", *[F.col(c).try_cast(kind).alias(c) for c, kind in keys.items()])
+
+
+@query("ingest_report")
+def _(spark, sf_dir):
+    report = ingestion.ingest_report(spark, _inbox(spark, sf_dir))
+    name = F.regexp_extract("path", r"/([a-z]+\.(csv|parquet))/", 1).alias("name")
+    return report.groupBy(name).agg(F.sum("n_rows").alias("n_rows"), F.max("skipped").alias("skipped"))
+
+
 @query("landing_roundtrip")
 def _(spark, sf_dir):
     return landing(spark, sf_dir).drop(ROW_SEQ)
@@ -177,11 +202,6 @@ def _(spark, sf_dir):
     return sizes.format_size_report(spark, fact_formats(spark, sf_dir))
 
 
-@query("bench_read_agg")
-def _(spark, sf_dir):
-    return sizes.time_read_aggregate(spark, fact_formats(spark, sf_dir))
-
-
 # --- projections, cleaning, scalar functions ---
 
 
@@ -382,6 +402,18 @@ def _(spark, sf_dir):
     return build_fact(curated(spark, sf_dir), star(spark, sf_dir).dims).select(*FACT_COLUMNS)
 
 
+@query("first_row_per_key")
+def _(spark, sf_dir):
+    """A dimension in whose later files every key comes again with other attributes."""
+    _, root = stored_star(spark, sf_dir)
+    base, dim = fresh_path(spark, "repeated"), read_table(spark, root, "dim_origen")
+    first = dim.withColumn("_n", F.lit(0)).repartitionByRange(1, "dim_origen_id")
+    other = dim.withColumns({"OriginCityName": F.lit(None).cast("string"), "OriginState": F.lit("A"), "_n": F.lit(1)})
+    both = first.unionByName(other.repartitionByRange(1, "dim_origen_id"))
+    both.drop("_n").write.parquet(f"{base}/dim_origen")
+    return read_first_rows(spark, base, "dim_origen")
+
+
 on_star("enriched_fact", enriched)
 on_star("star_join_inner", frame.star_join_inner)
 
@@ -472,6 +504,16 @@ def _(spark, sf_dir):
     return frame.ml_sample(frame.curated_frame(curated(spark, sf_dir))).drop(ROW_SEQ)
 
 
+@query("ml_sample_bounded")
+def _(spark, sf_dir):
+    rows = frame.curated_frame(curated(spark, sf_dir))
+    sample, late = frame.ml_sample(rows, rows=2000), F.avg("label")
+    near = F.abs(F.col("share") - F.lit(rows.agg(late).first()[0])) < 0.05
+    return sample.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(ROW_SEQ).alias("n_keys"), late.alias("share"),
+    ).select("n_rows", "n_keys", near.alias("fair"))
+
+
 @query("stratified_split")
 def _(spark, sf_dir):
     train, test = frame.stratified_split(frame.curated_frame(curated(spark, sf_dir)))
@@ -540,16 +582,40 @@ def _(spark, sf_dir):
     return _metrics(*cluster_models(spark, sf_dir, "lr", "rf"))
 
 
+def _ruled(spark, sf_dir):
+    """Predictions by a rule on columns, as a model would return them."""
+    _, valid = _split(spark, sf_dir)
+    given = valid.withColumn("score", (F.col("DepHour") * 7 + F.col("DayOfWeek") * 3 + F.col("Month")) % 10 / 10.0)
+    return given.withColumns({
+        "prediction": F.when(F.col("score") >= 0.5, 1.0).otherwise(0.0), "probability": F.array(1 - F.col("score"), "score"),
+    })
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 @query("confusion_matrix")
 def _(spark, sf_dir):
-    models, valid = cluster_models(spark, sf_dir, "rf")
-    return evaluate.confusion_matrix(models["rf"].transform(valid))
+    return evaluate.confusion_matrix(_ruled(spark, sf_dir))
 
 
 @query("classification_report")
 def _(spark, sf_dir):
-    models, valid = cluster_models(spark, sf_dir, "rf")
-    return evaluate.classification_report(models["rf"].transform(valid))
+    return _rounded(evaluate.classification_report(_ruled(spark, sf_dir)), "precision", "recall", "f1")
+
+
+@query("evaluate_rule")
+def _(spark, sf_dir):
+    scored = _ruled(spark, sf_dir).withColumn("rawPrediction", array_to_vector("probability"))
+    return _rounded(evaluate.evaluate_predictions(scored), "value")
+
+
+@query("score_labels")
+def _(spark, sf_dir):
+    return _rounded(score.score_labels(_ruled(spark, sf_dir)).select(
+        "CRSDepTime", "CRSArrTime", "Distance", "DayOfWeek", "Month", "prediction", "delay_pct", "on_time_pct", "verdict",
+    ), "delay_pct", "on_time_pct")
 
 
 def _saved_model(spark, sf_dir):
@@ -561,11 +627,16 @@ def _saved_model(spark, sf_dir):
 
 @query("model_roundtrip")
 def _(spark, sf_dir):
+    """Rows that a model and its stored copy score differently."""
     model, loaded, valid = _saved_model(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [
-        evaluate.confusion_matrix(m.transform(valid)).select(F.lit(name).alias("model"), "*")
-        for name, m in (("fitted", model), ("loaded", loaded))
-    ])
+
+    def scores(m, name):
+        return F.struct("prediction", vector_to_array("probability")).alias(name), m
+
+    first, second = scores(model, "first"), scores(loaded, "second")
+    kept = first[1].transform(valid.withColumn("_given", F.struct(*valid.columns))).select("_given", first[0])
+    both = second[1].transform(kept.select("_given.*", "first")).select("first", second[0])
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("first") != F.col("second")).alias("n_differing"))
 
 
 def _records(valid: DataFrame) -> DataFrame:
@@ -577,44 +648,50 @@ def _records(valid: DataFrame) -> DataFrame:
 
 @query("batch_score")
 def _(spark, sf_dir):
+    """How many records got each default, and how many were scored."""
     _, loaded, valid = _saved_model(spark, sf_dir)
-    return score.batch_score(loaded, _records(valid))
+    scored = score.batch_score(loaded, _records(valid))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("ArrHour") == 11).alias("n_hour_filled"),
+        F.count_if((F.col("ArrTimeBlk") == "1100-1159") & (F.col("DayOfWeek") >= 6)).alias("n_block_filled"),
+        F.count_if(F.abs(F.aggregate("probability", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9).alias("n_scored"),
+    )
 
 
-@query("score_labels")
-def _(spark, sf_dir):
-    _, loaded, valid = _saved_model(spark, sf_dir)
-    return score.score_labels(score.batch_score(loaded, _records(valid)))
+def _curated_split(spark, sf_dir):
+    """(train, test) of the curated table; only the rows to fit with are bounded."""
+    train, test = frame.stratified_split(frame.curated_frame(curated(spark, sf_dir)))
+    return frame.ml_sample(train), test
 
 
-def _curated_split(spark, sf_dir):
-    rows = frame.ml_sample(frame.curated_frame(curated(spark, sf_dir)))
-    return frame.stratified_split(rows)
+def _curated_models(spark, sf_dir, *names):
+    """Models of the curated table and the search behind the last one, each fitted once."""
+    train, test = _curated_split(spark, sf_dir)
+    fitted = _models.setdefault((spark.sparkContext.applicationId, sf_dir, "curated"), {})
+    if "baseline_lr" in names and "baseline_lr" not in fitted:
+        classifiers = {"baseline_lr": training.baseline_lr(train.count()), "baseline_rf": training.deep_forest()}
+        fitted.update(training.fit_models(train, training.one_hot_features(), classifiers))
+    if "best_lr" in names and "best_lr" not in fitted:
+        found = search.search_lr(train, training.one_hot_features())
+        fitted.update(best_lr=found.model, candidates=found.candidates)
+    return fitted, test
 
 
 @query("search_lr")
 def _(spark, sf_dir):
-    train, _ = _curated_split(spark, sf_dir)
-    return search.search_lr(train, training.one_hot_features()).candidates
-
-
-# A smaller forest space than search.RF_SPACE: sixty fits of up to 300 unlimited
-# trees take hours on one machine. The rows are the same.
-SMALL_RF_SPACE = {**search.RF_SPACE, "n_estimators": (10, 20), "max_depth": (5, 10)}
-SMALL_RF_DRAWS = 3
+    return _curated_models(spark, sf_dir, "best_lr")[0]["candidates"]
 
 
-@query("search_rf")
+@query("train_baselines")
 def _(spark, sf_dir):
-    train, _ = _curated_split(spark, sf_dir)
-    return search.search_rf(train, training.one_hot_features(), SMALL_RF_SPACE, SMALL_RF_DRAWS).candidates
+    fitted, test = _curated_models(spark, sf_dir, "baseline_lr")
+    return _metrics({"lr": fitted["baseline_lr"], "rf": fitted["baseline_rf"]}, test)
 
 
-@query("train_baselines")
+@query("held_out_report")
 def _(spark, sf_dir):
-    train, test = _curated_split(spark, sf_dir)
-    classifiers = {"lr": training.baseline_lr(train.count()), "rf": training.deep_forest()}
-    return _metrics(training.fit_models(train, training.one_hot_features(), classifiers), test)
+    fitted, test = _curated_models(spark, sf_dir, "baseline_lr", "best_lr")
+    return evaluate.report({name: fitted[name] for name in ("baseline_lr", "baseline_rf", "best_lr")}, test)
 
 
 def queries() -> dict[str, Query]:

@@ -35,12 +35,12 @@ def kpi_summary(star: Star, request: Any = None) -> DataFrame:
     diverted = F.coalesce(number_or(facts, "Diverted"), F.lit(0.0))
     affected = (arr > LATE_MINUTES) | (cancelled == 1) | (diverted == 1)
     return facts.agg(
-        F.count(F.lit(1)).alias("total_vuelos"),
+        F.count(F.lit(1)).alias("total_flights"),
         _or_zero(F.avg(dep)).alias("retraso_salida_promedio"),
         _or_zero(F.avg(arr)).alias("retraso_llegada_promedio"),
         _or_zero(_share(arr <= LATE_MINUTES) * 100).alias("otp"),
         _or_zero(F.avg(cancelled) * 100).alias("cancelaciones_pct"),
-        _or_zero(_share(affected) * 100).alias("vuelos_afectados_pct"),
+        _or_zero(_share(affected) * 100).alias("affected_pct"),
         (_or_zero(F.sum(dep)) / 60).alias("retraso_salida_acumulado_horas"),
         (_or_zero(F.sum(arr)) / 60).alias("retraso_llegada_acumulado_horas"),
     )
@@ -49,13 +49,13 @@ def kpi_summary(star: Star, request: Any = None) -> DataFrame:
 def kpi_status(kpis: DataFrame) -> DataFrame:
     """The key figures with a status band each; null is neutral. Bands see rounded values."""
     otp, cancelled, affected = (
-        F.round(c, 2) for c in ("otp", "cancelaciones_pct", "vuelos_afectados_pct")
+        F.round(c, 2) for c in ("otp", "cancelaciones_pct", "affected_pct")
     )
     return kpis.select(
         "*",
         F.when(otp >= OTP_GOOD, "good").otherwise("warn").alias("otp_status"),
         F.when(cancelled > CANCELLED_BAD, "bad").alias("cancelaciones_status"),
-        F.when(affected > AFFECTED_BAD, "bad").otherwise("warn").alias("vuelos_afectados_status"),
+        F.when(affected > AFFECTED_BAD, "bad").otherwise("warn").alias("affected_status"),
     )
 
 
@@ -98,6 +98,6 @@ def status_distribution(star: Star, request: Any = None) -> DataFrame:
     total = sum((F.col(f"`{b}`") for b in buckets), F.lit(0))
     return (
         counts.withColumn("_total", F.greatest(total, F.lit(1)))
-        .unpivot(["_total"], buckets, "categoria", "vuelos")
-        .select("categoria", "vuelos", (F.col("vuelos") / F.col("_total") * 100).alias("porcentaje"))
+        .unpivot(["_total"], buckets, "categoria", "flights")
+        .select("categoria", "flights", (F.col("flights") / F.col("_total") * 100).alias("porcentaje"))
     )

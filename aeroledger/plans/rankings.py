@@ -90,7 +90,7 @@ def critical_routes(star: Star, request: Any = None) -> DataFrame:
             F.col("dep_sum").alias("retraso_salida_minutos"),
             ratio("arr_sum", "arr_n").alias("retraso_llegada_promedio"),
             (ratio("cancelled_sum", "n") * 100).alias("cancelaciones_pct"),
-            F.col("n").alias("total_vuelos"),
+            F.col("n").alias("total_flights"),
             (F.col("dep_sum") / 60).alias("retraso_salida_horas"),
         )
         .orderBy(F.col("retraso_salida_minutos").desc(), "ruta")
@@ -109,6 +109,6 @@ def monthly_delay(star: Star, request: Any = None) -> DataFrame:
             month_label(F.col("Month")).alias("mes"),
             ratio("dep_sum", "dep_n").alias("retraso_salida_promedio"),
             ratio("arr_sum", "arr_n").alias("retraso_llegada_promedio"),
-            F.col("n").alias("total_vuelos"),
+            F.col("n").alias("total_flights"),
         )
     )

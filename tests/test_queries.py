@@ -27,10 +27,10 @@ def few(spark):
 
 def test_kpis_count_an_unknown_delay_as_late(few):
     row = kpis.kpi_summary(few).first().asDict()
-    assert row["total_vuelos"] == 6
+    assert row["total_flights"] == 6
     assert row["otp"] == pytest.approx(100 / 6)
     assert row["cancelaciones_pct"] == pytest.approx(200 / 6)
-    assert row["vuelos_afectados_pct"] == pytest.approx(400 / 6)
+    assert row["affected_pct"] == pytest.approx(400 / 6)
     assert row["retraso_salida_promedio"] == pytest.approx(86 / 4)
     assert row["retraso_salida_acumulado_horas"] == pytest.approx(86 / 60)
 
@@ -48,14 +48,14 @@ def test_kpis_of_nothing_are_zero(few):
 
 def test_status_bands(spark):
     kpi = spark.createDataFrame(
-        [(79.999, 5.0, 25.0), (79.99, 5.01, 25.01)], "otp double, cancelaciones_pct double, vuelos_afectados_pct double"
+        [(79.999, 5.0, 25.0), (79.99, 5.01, 25.01)], "otp double, cancelaciones_pct double, affected_pct double"
     )
-    bands = kpis.kpi_status(kpi).select("otp_status", "cancelaciones_status", "vuelos_afectados_status").collect()
+    bands = kpis.kpi_status(kpi).select("otp_status", "cancelaciones_status", "affected_status").collect()
     assert [tuple(b) for b in bands] == [("good", None, "warn"), ("warn", "bad", "bad")]
 
 
 def test_status_buckets_may_overlap_or_miss(few):
-    counts = {r["categoria"]: (r["vuelos"], r["porcentaje"]) for r in kpis.status_distribution(few).collect()}
+    counts = {r["categoria"]: (r["flights"], r["porcentaje"]) for r in kpis.status_distribution(few).collect()}
     assert {c: n for c, (n, _) in counts.items()} == {
         "Puntuales": 1, "Retrasados > 15 min": 2, "Cancelados": 2, "Desviados": 1
     }
@@ -63,7 +63,7 @@ def test_status_buckets_may_overlap_or_miss(few):
 
 
 def test_status_counts_add_up(star):
-    total = kpis.status_distribution(star).agg(F.sum("vuelos")).first()[0]
+    total = kpis.status_distribution(star).agg(F.sum("flights")).first()[0]
     odd = star.fact.selectExpr(
         "count_if(ArrDelayMinutes is null and Cancelled = 0 and Diverted = 0)", "count_if(Cancelled = 1 and Diverted = 1)"
     ).first()
@@ -90,7 +90,7 @@ def test_months_merge_years_and_keep_calendar_order(spark):
         spark, {"FlightDate": "2020-09-01"}, {"FlightDate": "2021-09-05", "DepDelayMinutes": 4.0},
         {"FlightDate": "2021-01-05"}, {"FlightDate": None},
     )
-    got = [(r["mes"], r["retraso_salida_promedio"], r["total_vuelos"]) for r in rankings.monthly_delay(star).collect()]
+    got = [(r["mes"], r["retraso_salida_promedio"], r["total_flights"]) for r in rankings.monthly_delay(star).collect()]
     assert got == [("Enero", 0.0, 1), ("Setiembre", 2.0, 2)]
     assert [r[0] for r in options.year_options(star).collect()] == [2021, 2020]
     assert [tuple(r) for r in options.month_options(star).collect()] == [(1, "Enero"), (9, "Setiembre")]
@@ -197,4 +197,4 @@ def test_metric_rows(few):
 
 
 def test_row_counts(few):
-    assert dict(values(tables.star_row_counts(few)))["fact_vuelos"] == 6
+    assert dict(values(tables.star_row_counts(few)))["fact_flights"] == 6
