@@ -31,21 +31,26 @@ BATCH = 1 << 17
 #: Strings of at most so many names are sorted in memory.
 BASE = 1 << 21
 _BUCKETS = 512
+NAMED_AT_ONCE = 1 << 16
+
+
+def _number(n: int) -> type:
+    """A type for keys and positions below n."""
+    return np.int32 if n < 1 << 30 else np.int64
 
 
 class TupleQueue:
     """Tuples (key, position, common prefix) by key, then in the order in which they were put in."""
 
-    def __init__(self, edges: np.ndarray, single: bool, folder: str, name: str, limit: int) -> None:
+    def __init__(self, edges: np.ndarray, single: bool, folder: str, name: str, limit: int, number: type) -> None:
         self.edges, self.single, self.limit = edges, single, limit
+        self._row = np.dtype([("key", number), ("pos", number), ("lcp", np.int16)])
         self.path = os.path.join(folder, name)
         self.held: list[list[tuple]] = [[] for _ in edges]
         self.n_held, self.files = 0, [0] * len(edges)
         self.read = [0] * len(edges)
         self.now, self.current = 0, None
 
-    _row = np.dtype([("key", np.int64), ("pos", np.int64), ("lcp", np.int16)])
-
     def put(self, key: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         if not len(key):
             return
@@ -151,7 +156,7 @@ class _Scan:
         keys = 2 * (most + 1)
         self.single = keys <= 2 * _BUCKETS
         edges = np.arange(keys) if self.single else np.linspace(0, keys, _BUCKETS, endpoint=False).astype(np.int64)
-        self.queue = TupleQueue(edges, self.single, folder, name, limit)
+        self.queue = TupleQueue(edges, self.single, folder, name, limit, _number(max(len(text), keys)))
         self.since = np.full(most + 1, -1, np.int64) if cap else None
         self.last: tuple[int, int] | None = None  # key and position of the tuple before the batch
 
@@ -166,7 +171,7 @@ class _Scan:
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(positions, common prefixes with the tuple before, whether the scan put it in)."""
         while len(rows := self.queue.peek(BATCH)):
-            key, pos = rows["key"], rows["pos"]
+            key, pos = rows["key"].astype(np.int64), rows["pos"].astype(np.int64)
             before = np.maximum(pos - 1, 0)
             put = (pos > 0) & (self.types[before] == self.want)
             char = np.asarray(self.text[before])
@@ -233,19 +238,20 @@ def _induce(text, types, start, lcp, most, cap, folder, name, limit) -> Iterator
     for i in range(0, len(start), BATCH):
         up.start(start[i:i + BATCH], lcp[i:i + BATCH])
     log = os.path.join(folder, f"{name}-sorted")
+    row = np.dtype([("pos", _number(len(text))), ("lcp", np.int16)])
     n = 0
     with open(log, "wb") as out:
         for pos, shared, is_new in up.batches():
-            rows = np.empty(int(is_new.sum()), TupleQueue._row)
+            rows = np.empty(int(is_new.sum()), row)
             # Within a character the scan starts with what it puts in, so these neighbours were neighbours in it.
-            rows["key"], rows["pos"], rows["lcp"] = 0, pos[is_new], shared[is_new]
+            rows["pos"], rows["lcp"] = pos[is_new], shared[is_new]
             rows.tofile(out)
             n += len(rows)
     down = _Scan(text, types, True, True, most, cap, folder, f"{name}-down", limit)
     following = np.zeros(1, np.int16)
     for end in range(n, 0, -BATCH):
         begin = max(0, end - BATCH)
-        rows = np.fromfile(log, TupleQueue._row, end - begin, offset=begin * TupleQueue._row.itemsize)
+        rows = np.fromfile(log, row, end - begin, offset=begin * row.itemsize)
         # Downwards the neighbour is the next larger one, whose common prefix was noted with that one.
         down.start(rows["pos"][::-1], np.concatenate((rows["lcp"][1:], following))[::-1])
         following = rows["lcp"][:1]
@@ -272,16 +278,17 @@ def _names(text, sorted_starts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Name of each left-most substring, in text order; equal substrings have equal names."""
     ends = np.append(starts[1:], len(text) - 1) + 1
     one, two = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-    piece = 1 << 16
+    piece = NAMED_AT_ONCE
     for i in range(0, len(starts), piece):
         begin, end = starts[i:i + piece], ends[i:i + piece]
-        # Neighbours overlap in one character, which the sum leaves to the second hash.
+        # Neighbours overlap in one character, which the first hash leaves to the second.
         base = int(begin[0])
         part = np.asarray(text[base:int(end[-1])]).astype(np.uint64) + np.uint64(1)
         inside = np.arange(len(part)) - np.repeat(begin - base, np.append(np.diff(begin), len(part) - (begin[-1] - base)))
         power = np.full(int(inside.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
         power[0] = 1
         scaled = part * np.multiply.accumulate(power)[inside]
+        scaled[-1] = 0
         one[i:i + piece] = np.add.reduceat(scaled, begin - base)
         two[i:i + piece] = part[end - 1 - base] * np.uint64(0xD6E8FEB86659FD93) + (end - begin).astype(np.uint64)
     where = np.searchsorted(starts, sorted_starts)

@@ -12,14 +12,19 @@ Neither has to be right: the order decides how much is compared, never a link.
 2. Groups are posted under their prefix shingles; those under which only one
    group stands are dropped.
 3. Star rounds: under each shingle the group with the most common content (the
-   one that has the shingle first) is compared with the members of all others,
-   one comparison a member. Found links join components.
-4. Under each shingle groups of different components are paired, filtered by
-   size and by what the positions of the shared shingles leave possible, and
+   one that has the shingle first) is paired with all others. Group pairs are
+   filtered, then expanded to members, one comparison a member. Found links join
+   components.
+4. Under each shingle groups of different components are paired, filtered, and
    expanded to members, which are compared. Within a component nothing is left
    to find, so a large family of near copies is not compared pair by pair.
 
-Every comparison counts the shared shingles of the whole sets.
+Pairs are filtered by size, by what the positions of the shared shingles leave
+possible, and by a parity sketch: each shingle flips one of 256 bits, so at
+least as many shingles are in one of two sets only as bits differ. All three are
+bounds, so no link is lost. Every comparison that remains counts the shared
+shingles of the whole sets, which are read again from the documents for just the
+sets that are compared.
 
 Defined cases: a text that is null or has no words has an empty set and links
 with nothing; fewer than k words are one shingle; every row gets a row, rows
@@ -29,11 +34,15 @@ with nothing and has a null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..workspace import materialise
+from .bloom import filter_of, in_filter
 from .graph import components
 from .text import chunks, mix, shingle_hashes, shingle_layout, word_hashes
 
@@ -42,6 +51,8 @@ SKETCH_BITS, ROW_COUNTERS = 18, 64
 #: Longer shingles are rarer; bytes beyond this make no difference to the order.
 LONGEST = 127
 STAR_ROUNDS = 3
+#: Columns of the parity sketch, 64 bits each.
+PARITY = ("k1", "k2", "k3", "k4")
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -95,106 +106,158 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def _digests(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(128-bit digest, parity sketch) of each set, as rows of two and four numbers."""
+    n = len(at) - 1
+    digest, parity = np.zeros((n, 2), np.uint64), np.zeros((n, len(PARITY)), np.uint64)
+    here = np.flatnonzero(np.diff(at))
+    if len(here):
+        heads = at[:-1][here]
+        one, two = mix(found), mix(found ^ np.uint64(0x5851F42D4C957F2D))
+        digest[here, 0], digest[here, 1] = np.add.reduceat(one, heads), np.add.reduceat(two, heads)
+        bit = np.uint64(1) << (one >> np.uint64(58))
+        column = (two >> np.uint64(62)).astype(np.int64)
+        for i in range(len(PARITY)):
+            parity[here, i] = np.bitwise_xor.reduceat(np.where(column == i, bit, np.uint64(0)), heads)
+    return digest, parity
+
+
 def _described(texts: DataFrame, k: int, percent: int, levels: np.ndarray, id_type: str) -> DataFrame:
-    """(id, n, set, grp, prefix) of every document that has words; ``set`` is a 128-bit digest."""
+    """(id, n, set, grp, prefix, parity sketch) of every document; ``set`` is a 128-bit digest."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def describe(batches):
         levels = shared.value
         for batch in batches:
-            sizes, sets, groups, prefixes = [], [], [], []
+            sizes, sets, groups, prefixes, sketches = [], [], [], [], []
             for found, at in shingle_sets(batch.column(1), k):
                 level = levels[_slot(found)]
-                one, two = mix(found), mix(found ^ np.uint64(0x5851F42D4C957F2D))
+                digest, parity = _digests(found, at)
+                sets += [d.tobytes() for d in digest]
+                sketches.append(parity)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    n, own = b - a, found[a:b]
-                    first = own[:0]
+                    n, first = b - a, found[a:a]
                     if n:
-                        first = own[np.argsort(level[a:b], kind="stable")[:prefix_length(n, percent)]]
+                        first = found[a:b][np.argsort(level[a:b], kind="stable")[:prefix_length(n, percent)]]
                     sizes.append(n)
-                    sets.append(np.array([one[a:b].sum(), two[a:b].sum()], np.uint64).tobytes())
                     prefixes.append(first.view(np.int64))
                     groups.append(int(mix(np.array([n], np.uint64) + mix(first + np.uint64(1)).sum())[0].view(np.int64)))
+            parity = np.concatenate([*sketches, np.empty((0, len(PARITY)), np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()),
-                pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-            ], ["id", "n", "set", "grp", "prefix"])
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()),
+                pa.array(prefixes, pa.list_(pa.int64())), *[pa.array(parity[:, i]) for i in range(len(PARITY))],
+            ], ["id", "n", "set", "grp", "prefix", *PARITY])
 
+    columns = ", ".join(f"{c} bigint" for c in PARITY)
     return texts.select("id", "text").mapInArrow(
-        describe, f"id {id_type}, n bigint, set binary, grp bigint, prefix array<bigint>")
+        describe, f"id {id_type}, n bigint, set binary, grp bigint, prefix array<bigint>, {columns}")
 
 
 def _contents(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(set, shingles) of the sets listed with their ``doc``, read from the documents again."""
+    """(set, shingles) of the sets listed, from one more scan of the documents."""
+
+    def key(batches):
+        for batch in batches:
+            names = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0])], ["key"])
+
+    shared = texts.sparkSession.sparkContext.broadcast(filter_of(sets.select("set").mapInArrow(key, "key bigint")))
 
     def read(batches):
         for batch in batches:
-            names, values = [], []
             for found, at in shingle_sets(batch.column(0), k):
-                one, two = mix(found), mix(found ^ np.uint64(0x5851F42D4C957F2D))
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    names.append(np.array([one[a:b].sum(), two[a:b].sum()], np.uint64).tobytes())
-                    values.append(found[a:b].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["set", "shingles"])
+                digest, _ = _digests(found, at)
+                here = np.flatnonzero(in_filter(shared.value, np.ascontiguousarray(digest[:, 0]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([digest[i].tobytes() for i in here], pa.binary()),
+                    pa.array([found[at[i]:at[i + 1]].view(np.int64) for i in here], pa.list_(pa.int64())),
+                ], ["set", "shingles"])
 
-    ids = materialise(sets.select(F.col("doc").alias("id")).distinct(), "jaccard-ids")
-    wanted = texts.join(ids, "id", "left_semi").select("text")
-    read_again = wanted.mapInArrow(read, "set binary, shingles array<bigint>")
-    return read_again.join(sets.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    found = texts.select("text").mapInArrow(read, "set binary, shingles array<bigint>")
+    return found.join(sets.select("set"), "set", "left_semi").dropDuplicates(["set"])
 
 
 class _Join:
-    """State of one join: candidate sets with their components, postings, contents, and what has been compared."""
+    """State of one join: candidate sets with their components, postings, contents read so far, pairs compared so far."""
 
-    def __init__(self, sets: DataFrame, postings: DataFrame, contents: DataFrame, percent: int) -> None:
-        self.sets, self.postings, self.contents, self.percent = sets, postings, contents, percent
+    def __init__(self, texts: DataFrame, sets: DataFrame, postings: DataFrame, k: int, percent: int) -> None:
+        self.texts, self.sets, self.postings, self.k, self.percent = texts, sets, postings, k, percent
         self.done: DataFrame | None = None
+        self.contents: DataFrame | None = None
 
-    def fits(self, a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+    def fits(self, a: str, b: str, one, two):
+        """Whether sizes ``a`` and ``b`` and the parity sketches allow a link; a missing sketch does."""
+        differ = reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, two)])
+        most = (F.col(a) + F.col(b)) * (100 - self.percent)
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent) & (
+            F.coalesce(differ * (100 + self.percent) <= most, F.lit(True)))
 
     def posted(self) -> tuple[DataFrame, DataFrame]:
-        """Postings with the components of their groups, and the shingles under which there is more than one."""
-        entries = self.sets.select("grp", "n", "comp").distinct()
-        rows = self.postings.join(entries, ["grp", "n"])
+        """Postings with the components of their groups, and the shingles under which there is more than one.
+
+        A group has a sketch where a single set stands for it.
+        """
+        alone = F.count(F.lit(1)) == 1
+        entries = self.sets.groupBy("grp", "n", "comp").agg(*[F.when(alone, F.first(c)).alias(c) for c in PARITY])
+        rows = materialise(self.postings.join(entries, ["grp", "n"]), "jaccard-posted")
         shingles = rows.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "grp", "n", "comp")).alias("star"),
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "grp", "n", "comp", *PARITY)).alias("star"),
         ).where("lo <> hi").select("token", "star")
         return rows, materialise(shingles, "jaccard-shingles")
 
+    def expanded(self, pairs: DataFrame, *sides: tuple[int, str, DataFrame]) -> DataFrame:
+        """Group pairs (g1, n1, c1, g2, n2, c2) as pairs of member sets (a, b) that their sketches allow."""
+        for i, name, members in sides:
+            member = members.select(
+                F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}"), F.col("set").alias(name),
+                *[F.col(c).alias(f"{c}_{i}") for c in PARITY])
+            pairs = pairs.join(member, [f"g{i}", f"n{i}", f"c{i}"])
+        one, two = ([F.col(f"{c}_{i}") for c in PARITY] for i in (1, 2))
+        return pairs.where(self.fits("n1", "n2", one, two)).select("a", "b")
+
     def star_pairs(self) -> DataFrame:
         rows, shingles = self.posted()
+        one, two = [F.col(f"star.{c}") for c in PARITY], [F.col(c) for c in PARITY]
         pairs = (
             rows.join(shingles, "token")
-            .where((F.col("comp") != F.col("star.comp")) & self.fits("n", "star.n"))
-            .select(F.col("star.grp").alias("g1"), F.col("star.n").alias("n1"), F.col("star.comp").alias("c1"), "grp", "n", "comp")
-            .distinct()
+            .where((F.col("comp") != F.col("star.comp")) & self.fits("n", "star.n", one, two))
+            .select(
+                F.col("star.grp").alias("g1"), F.col("star.n").alias("n1"), F.col("star.comp").alias("c1"),
+                F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("comp").alias("c2"),
+            ).distinct()
         )
-        heads = self.sets.groupBy(F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("comp").alias("c1")).agg(F.min("set").alias("a"))
-        members = self.sets.select("grp", "n", "comp", F.col("set").alias("b"))
-        return pairs.join(heads, ["g1", "n1", "c1"]).join(members, ["grp", "n", "comp"]).select("a", "b")
+        heads = self.sets.groupBy("grp", "n", "comp").agg(F.min_by(F.struct("set", *PARITY), "set").alias("h")).select("grp", "n", "comp", "h.*")
+        return self.expanded(pairs, (1, "a", heads), (2, "b", self.sets))
 
     def all_pairs(self) -> DataFrame:
         """Members of groups of different components that share enough of their prefixes."""
         rows, shingles = self.posted()
-        rows = materialise(rows.join(shingles.select("token"), "token", "left_semi"), "jaccard-posted")
+        rows = materialise(rows.join(shingles.select("token"), "token", "left_semi"), "jaccard-mixed")
         ends = rows.select("token", "comp").distinct()
         met = ends.select("token", F.col("comp").alias("c1")).join(ends.select("token", F.col("comp").alias("c2")), "token").where("c1 < c2")
         one, two = (rows.select(
             "token", F.col("comp").alias(f"c{i}"), F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"),
+            *[F.col(c).alias(f"{c}_{i}") for c in PARITY],
         ) for i in (1, 2))
+        sketches = ([F.col(f"{c}_{i}") for c in PARITY] for i in (1, 2))
         pairs = (
-            met.join(one, ["token", "c1"]).join(two, ["token", "c2"]).where(self.fits("n1", "n2"))
+            met.join(one, ["token", "c1"]).join(two, ["token", "c2"]).where(self.fits("n1", "n2", *sketches))
             .groupBy("g1", "n1", "c1", "g2", "n2", "c2")
             .agg(F.count(F.lit(1)).alias("k"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
         )
         possible = F.col("k") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
         pairs = pairs.where(self.enough(possible, F.col("n1") + F.col("n2"))).drop("k", "p1", "p2")
-        for i, name in ((1, "a"), (2, "b")):
-            member = self.sets.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}"), F.col("set").alias(name))
-            pairs = pairs.join(member, [f"g{i}", f"n{i}", f"c{i}"])
-        return pairs.select("a", "b")
+        return self.expanded(pairs, (1, "a", self.sets), (2, "b", self.sets))
+
+    def read(self, pairs: DataFrame) -> None:
+        """Reads the contents of those sets of ``pairs`` that were not read before."""
+        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        if self.contents is not None:
+            wanted = wanted.join(self.contents.select("set"), "set", "left_anti")
+        wanted = materialise(wanted, "jaccard-wanted")
+        if self.contents is None or not wanted.isEmpty():
+            more = materialise(_contents(self.texts, wanted, self.k), "jaccard-contents")
+            self.contents = more if self.contents is None else self.contents.unionByName(more)
 
     def enough(self, shared, both):
         """Whether ``shared`` of ``both`` sizes together reach the threshold: shared / (both - shared) >= percent / 100."""
@@ -206,6 +269,7 @@ class _Join:
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
+        self.read(pairs)
         one = self.contents.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
         two = self.contents.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
@@ -231,7 +295,7 @@ def jaccard_components(
     levels = shingle_levels(texts.select("text"), k)
     described = materialise(_described(texts, k, percent, levels, dict(documents.dtypes)[id_col]), "jaccard-documents")
     sets = materialise(
-        described.where("n > 0 AND id IS NOT NULL").groupBy("set", "n", "grp").agg(F.min("id").alias("doc")), "jaccard-distinct")
+        described.where("n > 0 AND id IS NOT NULL").groupBy("set", "n", "grp", *PARITY).agg(F.min("id").alias("doc")), "jaccard-distinct")
     groups = described.where("n > 0 AND id IS NOT NULL").select("grp", "n", "prefix").dropDuplicates(["grp", "n"])
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # A group with several sets has candidates within itself, whoever else shares its shingles.
@@ -240,7 +304,7 @@ def jaccard_components(
     postings = materialise(posted.join(materialise(common.select("token"), "jaccard-common"), "token"), "jaccard-postings")
     near = sets.join(postings.select("grp", "n").distinct(), ["grp", "n"], "left_semi").withColumn("comp", F.col("doc"))
     near = materialise(near, "jaccard-near")
-    join = _Join(near, postings, materialise(_contents(texts, near, k), "jaccard-contents"), percent)
+    join = _Join(texts, near, postings, k, percent)
     for _ in range(STAR_ROUNDS):
         if not join.compare(join.star_pairs()):
             break

@@ -5,16 +5,20 @@ earlier (in a smaller document, or earlier in the same one) is removed.
 
 Equal strings must meet in one shard. Each window of ``LENGTH`` bytes has an
 anchor, the least hashed ``GRAM``-gram in it, so equal windows have equal
-anchors and anchors deal windows to shards. Successive windows with one anchor
+anchors, and anchors deal windows to shards. Successive windows with one anchor
 form a segment. Anchors that occur once are left out, by a Bloom filter of
 fixed size over those that do not; what it lets through wrongly costs time only.
 Equal segments become one class with its earliest occurrence, so a passage that
-a third of all documents share is one entry. A shard's classes are laid end to
-end and suffix-sorted with common prefixes (see ``induced_sort``); a run of
+a third of all documents share is one entry. The classes of a shard are laid end
+to end and suffix-sorted with common prefixes (see ``induced_sort``); a run of
 neighbours that agree in ``LENGTH`` bytes is one window, kept only at its
 earliest occurrence. An anchor of more than ``CROWDED`` classes is dealt to
 several shards by the hash of each window.
 
+Occurrences are never stored: a document finds its segments again when it is
+cut, and loses those that are not the earliest of their class. So only classes
+are shuffled back to documents.
+
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing;
 rows with the same id and text are one document and each gets its result; with
 the same id, documents are ordered by a hash of their text; a null id comes
@@ -31,9 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..workspace import materialise
+from .bloom import filter_of, in_filter
 from .induced_sort import sorted_with_prefixes
 from .text import bytes_of, mix
 
@@ -41,8 +48,7 @@ LENGTH, GRAM = 100, 24
 #: Windows are taken in pieces of so many bytes.
 PIECE = 1 << 20
 #: Bytes of classes in a shard, and classes of an anchor from which on it is split.
-SHARD_BYTES, CROWDED = 4 << 20, 50_000
-FILTER_BITS, FILTER_HASHES = 1 << 26, 3
+SHARD_BYTES, CROWDED = 1 << 20, 50_000
 _LAST_ID = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -55,21 +61,22 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position on."""
-    a = data.astype(np.uint64) + np.uint64(1)
-    widths, size = {1: a}, 1
+    """Hash of the GRAM bytes from each position on: a polynomial, put together from runs of doubled length."""
+    # A value times the factor of a width makes room for that many more bytes.
+    widths, size, factor = {1: data.astype(np.uint64) + np.uint64(1)}, 1, {1: int(_P)}
     while 2 * size <= GRAM:
         half = widths[size]
-        widths[2 * size] = mix(half[:len(half) - size] * _P + half[size:])
+        widths[2 * size] = half[:len(half) - size] * np.uint64(factor[size]) + half[size:]
+        factor[2 * size] = factor[size] ** 2 % (1 << 64)
         size *= 2
     out, done = widths[size], size
     while done < GRAM:
         step = max(w for w in widths if w <= GRAM - done)
         more = widths[step][done:]
         n = min(len(out), len(more))
-        out = mix(out[:n] * _P + more[:n])
+        out = out[:n] * np.uint64(factor[step]) + more[:n]
         done += step
-    return out
+    return mix(out)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -138,72 +145,94 @@ def _anchors(texts: DataFrame) -> DataFrame:
     def find(batches):
         for batch in batches:
             for data, starts, _, _ in pieces(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(segments(data, starts)[0].view(np.int64))], ["anchor"])
+                # Shorter numbers pass the shuffle in fewer bytes; the filter allows for wrong matches anyway.
+                short = segments(data, starts)[0] >> np.uint64(24)
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64))], ["anchor"])
 
     return texts.select("text").mapInArrow(find, "anchor bigint")
 
 
-def _filter_slots(anchor: np.ndarray) -> np.ndarray:
-    h = mix(anchor.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-    return np.stack([(h >> np.uint64(20 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(38) for i in range(FILTER_HASHES)])
-
-
 def repeated_anchors(texts: DataFrame) -> np.ndarray:
-    """Bloom filter of the anchors that occur more than once."""
-    twice = _anchors(texts).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    """Filter of the anchors that occur more than once, by their high bits."""
+    return filter_of(_anchors(texts).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
 
-    def bits(batches):
-        for batch in batches:
-            slot = _filter_slots(batch.column(0).to_numpy(zero_copy_only=False)).ravel().astype(np.int64)
-            bit = np.uint64(1) << (slot & 63).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(bit.view(np.int64))], ["word", "bit"])
 
-    words = twice.mapInArrow(bits, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    held = np.zeros(FILTER_BITS >> 6, np.int64)
-    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return held.view(np.uint8)
+def _kept_segments(column: pa.Array, repeated: np.ndarray):
+    """(bytes, row, place in the row's text, anchor, first byte, windows, hash) of segments whose anchor is in the filter."""
+    for data, starts, rows, places in pieces(column):
+        anchor, part, first, count, own = segments(data, starts)
+        kept = np.flatnonzero(in_filter(repeated, (anchor >> np.uint64(24)).view(np.int64)))
+        part, first = part[kept], first[kept]
+        yield data, rows[part], first - starts[part] + places[part], anchor[kept], first, count[kept], own[kept]
 
 
-def _occurrences(texts: DataFrame, held: np.ndarray) -> DataFrame:
-    """(anchor, segment, doc, tie, first, windows, bytes) of segments whose anchor is in the filter."""
-    shared = texts.sparkSession.sparkContext.broadcast(held)
+def _occurrences(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(anchor, segment, doc, tie, first, windows) of segments whose anchor occurs more than once."""
+    shared = texts.sparkSession.sparkContext.broadcast(repeated)
 
     def find(batches):
-        held = shared.value
         for batch in batches:
             doc, tie = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            for data, starts, rows, places in pieces(batch.column(0)):
-                anchor, part, first, count, own = segments(data, starts)
-                slot = _filter_slots(anchor.view(np.int64))
-                kept = np.flatnonzero(((held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
-                end = first + count + LENGTH - 1
-                raw = data.tobytes()
+            for _, row, place, anchor, _, count, own in _kept_segments(batch.column(0), shared.value):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor[kept].view(np.int64)), pa.array(own[kept].view(np.int64)),
-                    pa.array(doc[rows[part[kept]]]), pa.array(tie[rows[part[kept]]]),
-                    pa.array(first[kept] - starts[part[kept]] + places[part[kept]]), pa.array(count[kept].astype(np.int32)),
-                    pa.array([raw[a:b] for a, b in zip(first[kept].tolist(), end[kept].tolist())], pa.binary()),
-                ], ["anchor", "segment", "doc", "tie", "first", "windows", "bytes"])
+                    pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
+                    pa.array(place), pa.array(count.astype(np.int32)),
+                ], ["anchor", "segment", "doc", "tie", "first", "windows"])
 
     return texts.select("text", "doc", "tie").mapInArrow(
-        find, "anchor bigint, segment bigint, doc bigint, tie bigint, first bigint, windows int, bytes binary")
+        find, "anchor bigint, segment bigint, doc bigint, tie bigint, first bigint, windows int")
+
+
+def _at(doc: np.ndarray, tie: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for a place in a document."""
+    return mix(mix(doc.astype(np.uint64) + np.uint64(1)) + mix(tie.astype(np.uint64)) + first.astype(np.uint64)).view(np.int64)
+
+
+def _with_bytes(texts: DataFrame, repeated: np.ndarray, classes: DataFrame) -> DataFrame:
+    """``classes`` with the bytes of each, read from the text of its earliest occurrence."""
+    context = texts.sparkSession.sparkContext
+
+    def number(batches):
+        for batch in batches:
+            places = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(_at(*places))], ["key"])
+
+    wanted = filter_of(classes.select("doc", "tie", "first").mapInArrow(number, "key bigint"))
+    shared = context.broadcast((repeated, wanted))
+
+    def read(batches):
+        repeated, wanted = shared.value
+        for batch in batches:
+            doc, tie = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for data, row, place, anchor, first, count, own in _kept_segments(batch.column(0), repeated):
+                here = np.flatnonzero(in_filter(wanted, _at(doc[row], tie[row], place)))
+                row, begin = row[here], first[here]
+                raw = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + count[here] + LENGTH - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(anchor[here].view(np.int64)), pa.array(own[here].view(np.int64)), pa.array(doc[row]),
+                    pa.array(tie[row]), pa.array(place[here]), pa.array(raw, pa.binary()),
+                ], ["anchor", "segment", "doc", "tie", "first", "bytes"])
+
+    found = texts.select("text", "doc", "tie").mapInArrow(
+        read, "anchor bigint, segment bigint, doc bigint, tie bigint, first bigint, bytes binary")
+    return classes.join(found, ["anchor", "segment", "doc", "tie", "first"])
 
 
 def _shards(classes: DataFrame, n_shards: int) -> DataFrame:
     """Classes with a shard: one for the anchor, or for crowded anchors one for each window's hash, as classes of one window."""
-    crowds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > CROWDED)
-    columns = ["anchor", "segment", "doc", "tie", "first", "windows", "bytes"]
-    plain = classes.join(crowds, "anchor", "left_anti").select(*columns, F.lit(0).alias("skipped"), F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"))
-    crowded = classes.join(crowds, "anchor").withColumn("skipped", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    columns = ["anchor", "doc", "tie", "first", "windows", "bytes"]
+    by_anchor = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard")
+    plain = classes.where(F.col("crowd") <= CROWDED).select(*columns, F.lit(0).alias("skipped"), by_anchor)
+    crowded = classes.where(F.col("crowd") > CROWDED).withColumn("skipped", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
     window = F.expr(f"substring(bytes, skipped + 1, {LENGTH})")
     split = crowded.select(
-        "anchor", "segment", "doc", "tie", (F.col("first") + F.col("skipped")).alias("first"), F.lit(1).alias("windows"), window.alias("bytes"), "skipped",
+        "anchor", "doc", "tie", "first", F.lit(1).alias("windows"), window.alias("bytes"), "skipped",
     ).withColumn("shard", F.pmod(F.xxhash64("anchor", "bytes"), F.lit(n_shards)))
     return plain.unionByName(split)
 
 
 def _later_windows(shards: DataFrame, n_shards: int) -> DataFrame:
-    """(anchor, segment, later): windows of each class whose string another class has earlier."""
+    """(doc, tie, first, again): windows of a class, by the byte where they start, whose string another class has earlier."""
 
     def sort(batches):
         folder = tempfile.mkdtemp(prefix="shard-")
@@ -212,9 +241,8 @@ def _later_windows(shards: DataFrame, n_shards: int) -> DataFrame:
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return shards.repartition(n_shards, "shard").select(
-        "anchor", "segment", "doc", "tie", "first", "windows", "skipped", "bytes",
-    ).mapInArrow(sort, "anchor bigint, segment bigint, later array<int>")
+    return shards.repartition(n_shards, "shard").select("doc", "tie", "first", "windows", "skipped", "bytes").mapInArrow(
+        sort, "doc bigint, tie bigint, again array<bigint>")
 
 
 def _sorted_shard(batches, folder: str):
@@ -223,21 +251,23 @@ def _sorted_shard(batches, folder: str):
     path = os.path.join(folder, "text")
     with open(path, "wb") as out:
         for batch in batches:
-            data, at = _raw(batch.column(7))
+            data, at = _raw(batch.column(5))
             size = np.diff(at)
             text = np.ones(len(data) + len(size), np.uint16)  # a 1 ends a class
             text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
             text.tofile(out)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
             tables.append(np.stack([*columns, size + 1]))
         np.zeros(1, np.uint16).tofile(out)
     if not tables or not sum(t.shape[1] for t in tables):
         return
-    anchor, segment, doc, tie, first, windows, skipped, size = np.concatenate(tables, axis=1)
+    doc, tie, first, windows, skipped, size = np.concatenate(tables, axis=1)
+    first = first + skipped
     begin = np.cumsum(size) - size
     text = np.memmap(path, np.uint16, "r")
     log = os.path.join(folder, "windows")
-    entry = np.dtype([("run", np.int64), ("pos", np.int64)])
+    number = np.int32 if len(text) < 1 << 31 else np.int64
+    entry = np.dtype([("run", number), ("pos", number)])
     run, n = 0, 0
     with open(log, "wb") as out:
         for pos, lcp in sorted_with_prefixes(text, LENGTH, folder):
@@ -264,21 +294,25 @@ def _sorted_shard(batches, folder: str):
         owner = np.searchsorted(begin, rows["pos"], "right") - 1
         place = first[owner] + rows["pos"] - begin[owner]
         order = np.lexsort((place, tie[owner], doc[owner], rows["run"]))
-        again = np.flatnonzero(np.diff(rows["run"][order]) == 0) + 1
-        later.append(rows["pos"][order[again]])
+        run_of = rows["run"][order]
+        heads = np.flatnonzero(np.diff(run_of, prepend=-1))
+        head = order[np.repeat(heads, np.diff(np.append(heads, len(order))))]
+        # A repeated row of the table brings the earliest place itself again.
+        again = (place[order] != place[head]) | (doc[owner[order]] != doc[owner[head]]) | (tie[owner[order]] != tie[owner[head]])
+        later.append(rows["pos"][order[again]].astype(np.int64))
     found = np.sort(np.concatenate([*later, np.empty(0, np.int64)]))
     del text
     owner = np.searchsorted(begin, found, "right") - 1
-    offset = found - begin[owner] + skipped[owner]
+    start = found - begin[owner] + first[owner]
     heads = np.flatnonzero(np.diff(owner, prepend=-1))
+    ends = np.append(heads[1:], len(owner))
     for i in range(0, len(heads), 10_000):
-        part = heads[i:i + 10_000]
-        ends = np.append(heads[i + 1:i + 10_000], heads[i + 10_000] if i + 10_000 < len(heads) else len(owner))
-        who = owner[part]
+        part = slice(i, i + 10_000)
+        who = owner[heads[part]]
         yield pa.RecordBatch.from_arrays([
-            pa.array(anchor[who]), pa.array(segment[who]),
-            pa.array([offset[a:b].astype(np.int32) for a, b in zip(part, ends)], pa.list_(pa.int32())),
-        ], ["anchor", "segment", "later"])
+            pa.array(doc[who]), pa.array(tie[who]),
+            pa.array([start[a:b] for a, b in zip(heads[part].tolist(), ends[part].tolist())], pa.list_(pa.int64())),
+        ], ["doc", "tie", "again"])
 
 
 def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -289,30 +323,20 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tie, spans): byte spans (start, end) of repeated strings, unordered and overlapping, of documents that have any."""
-    texts = _keyed(documents, id_col, text_col)
-    found = materialise(_occurrences(texts, repeated_anchors(texts)), "repeat-segments")
-    earliest = F.min(F.struct("doc", "tie", "first"))
-    classes = materialise(
-        found.groupBy("anchor", "segment").agg(
-            earliest.alias("e"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"),
-        ).select("anchor", "segment", "e.doc", "e.tie", "e.first", "n", "windows", "bytes"), "repeat-classes")
-    size = classes.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+def earliest_places(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(doc, tie, firsts, again) by document: segments that are the earliest of their class, and windows of these that go all the same."""
+    found = _occurrences(texts, repeated).groupBy("anchor", "segment").agg(
+        F.min(F.struct("doc", "tie", "first")).alias("e"), F.first("windows").alias("windows"))
+    classes = materialise(found.select("anchor", "segment", "e.doc", "e.tie", "e.first", "windows"), "repeat-classes")
+    # A class alone under its anchor has nothing to be compared with.
+    crowds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    rivals = materialise(classes.join(crowds, "anchor"), "repeat-rivals")
+    size = rivals.agg(F.coalesce(F.sum(F.col("windows") + LENGTH), F.lit(0))).first()[0]
     n_shards = max(1, math.ceil(size / SHARD_BYTES))
-    later = materialise(
-        _later_windows(_shards(classes, n_shards), n_shards)
-        .groupBy("anchor", "segment").agg(F.flatten(F.collect_list("later")).alias("later")), "repeat-windows")
-    wanted = classes.select(
-        "anchor", "segment", F.struct("doc", "tie", "first").alias("e"), "n",
-    ).join(later, ["anchor", "segment"], "left").where("n > 1 OR later IS NOT NULL").drop("n")
-    wanted = materialise(wanted, "repeat-wanted")
-    hits = found.select("anchor", "segment", "doc", "tie", "first", "windows").join(wanted, ["anchor", "segment"])
-    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("end")))
-    some = F.transform(F.coalesce("later", F.array().cast("array<int>")), lambda w: F.struct(
-        (F.col("first") + w).alias("start"), (F.col("first") + w + LENGTH).alias("end")))
-    spans = F.when(F.struct("doc", "tie", "first") == F.col("e"), some).otherwise(whole)
-    return hits.select("doc", "tie", spans.alias("s")).where(F.size("s") > 0).groupBy("doc", "tie").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    again = _later_windows(_shards(_with_bytes(texts, repeated, rivals), n_shards), n_shards)
+    firsts = classes.select("doc", "tie", "first", F.lit(None).cast("array<bigint>").alias("again"))
+    both = firsts.unionByName(again.withColumn("first", F.lit(None).cast("bigint")))
+    return both.groupBy("doc", "tie").agg(F.collect_list("first").alias("firsts"), F.flatten(F.collect_list("again")).alias("again"))
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -330,24 +354,56 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(starts) - 1)]
 
 
+def _spans(column: pa.Array, repeated: np.ndarray, firsts: pa.Array, again: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, start, end) of byte strings to remove from a batch of texts."""
+
+    def flat(lists):
+        lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+
+    kept_rows, kept = flat(firsts)
+    known = np.sort(kept + (kept_rows << 40))  # texts are shorter than 2**31
+    row, start = flat(again)
+    parts = [(row, start, start + LENGTH)]
+    for _, row, place, _, _, count, _ in _kept_segments(column, repeated):
+        key = place + (row << 40)
+        at = np.searchsorted(known, key)
+        later = np.ones(len(key), bool)
+        later[at < len(known)] = known[at[at < len(known)]] != key[at < len(known)]
+        parts.append((row[later], place[later], (place + count + LENGTH - 1)[later]))
+    return tuple(np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row; ``kept`` is the bytes that stay."""
-    spans = repeated_spans(documents, id_col, text_col)
-    joined = _keyed(documents, id_col, text_col).join(spans, ["doc", "tie"], "left").select("id", "text", "spans.start", "spans.end")
+    texts = _keyed(documents, id_col, text_col)
+    repeated = repeated_anchors(texts)
     kind = dict(documents.dtypes)[id_col]
+    shared = texts.sparkSession.sparkContext.broadcast(repeated)
+
+    def pack(batches):  # half the bytes in the shuffle
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [packer.compress((t.as_py() or "").encode()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *batch.columns[1:]], batch.schema.names)
+
+    packed = texts.mapInArrow(pack, f"text binary, doc bigint, tie bigint, id {kind}")
+    joined = packed.join(earliest_places(texts, repeated), ["doc", "tie"], "left").select("id", "text", "firsts", "again")
 
     def cut(batches):
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
+            raws = [unpacker.decompress(t.as_py()) for t in batch.column(1)]
+            row, start, end = _spans(pa.array(raws, pa.large_binary()).cast(pa.large_string()), shared.value, batch.column(2), batch.column(3))
+            order = np.argsort(row, kind="stable")
+            upto = np.searchsorted(row[order], np.arange(len(raws) + 1))
             rows = []
-            for i in range(batch.num_rows):
-                raw = (batch.column(1)[i].as_py() or "").encode()
-                kept, removed, n = raw, 0, 0
-                if batch.column(2)[i].is_valid:
-                    starts, ends = merged(*(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3)))
-                    edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    removed, n = len(raw) - len(kept), len(starts)
-                rows.append((len(raw), removed, n, kept))
+            for i, raw in enumerate(raws):
+                mine = order[upto[i]:upto[i + 1]]
+                starts, ends = merged(start[mine], end[mine]) if len(mine) else (start[mine], end[mine])
+                edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                rows.append((len(raw), len(raw) - len(kept), len(starts), kept))
             numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *numbers, pa.array([r[3] for r in rows], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])

@@ -4,7 +4,7 @@ import tempfile
 import numpy as np
 import pytest
 
-from aeroledger.llm import suffix_dedup
+from aeroledger.llm import induced_sort, suffix_dedup
 from aeroledger.llm.induced_sort import sort_suffixes, sorted_with_prefixes
 from aeroledger.llm.suffix_dedup import LENGTH, merged, remove_repeats
 
@@ -16,8 +16,16 @@ def strings(n):
         yield np.array(text + text[:r.randint(0, 60)] + [1] * r.randint(0, 9) + text[5:40] + [0], np.uint16)
 
 
+@pytest.fixture(params=[None, 3])
+def pieces(request, monkeypatch):
+    """Batches and pieces as they are, or so small that every string takes many."""
+    if request.param:
+        monkeypatch.setattr(induced_sort, "BATCH", request.param)
+        monkeypatch.setattr(induced_sort, "NAMED_AT_ONCE", request.param)
+
+
 @pytest.mark.parametrize("limit, base", [(5, 1), (64, 3), (1 << 20, 1 << 20)])
-def test_suffixes_are_sorted_whatever_is_held_in_memory(limit, base):
+def test_suffixes_are_sorted_whatever_is_held_in_memory(limit, base, pieces):
     for text in strings(25):
         t = text.tolist()
         with tempfile.TemporaryDirectory() as folder:
@@ -25,7 +33,7 @@ def test_suffixes_are_sorted_whatever_is_held_in_memory(limit, base):
 
 
 @pytest.mark.parametrize("cap, limit, base", [(4, 5, 1), (100, 64, 2), (100, 1 << 20, 1 << 20)])
-def test_common_prefixes(cap, limit, base):
+def test_common_prefixes(cap, limit, base, pieces):
     for text in strings(25):
         t = text.tolist()
         with tempfile.TemporaryDirectory() as folder:
