@@ -192,14 +192,21 @@ class _Join:
         return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent) & (
             F.coalesce(differ * (100 + self.percent) <= most, F.lit(True)))
 
-    def posted(self) -> tuple[DataFrame, DataFrame]:
+    def grown_shingles(self) -> DataFrame:
+        """Shingles of groups whose component has more than one set: only there can another star join more."""
+        grown = self.sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        groups = self.sets.join(grown, "comp", "left_semi").select("grp", "n").distinct()
+        return materialise(self.postings.join(groups, ["grp", "n"], "left_semi").select("token").distinct(), "jaccard-grown")
+
+    def posted(self, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Postings with the components of their groups, and the shingles under which there is more than one.
 
-        A group has a sketch where a single set stands for it.
+        ``only`` limits the shingles. A group has a sketch where a single set stands for it.
         """
+        postings = self.postings if only is None else self.postings.join(only, "token", "left_semi")
         alone = F.count(F.lit(1)) == 1
         entries = self.sets.groupBy("grp", "n", "comp").agg(*[F.when(alone, F.first(c)).alias(c) for c in PARITY])
-        rows = materialise(self.postings.join(entries, ["grp", "n"]), "jaccard-posted")
+        rows = materialise(postings.join(entries, ["grp", "n"]), "jaccard-posted")
         shingles = rows.groupBy("token").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "grp", "n", "comp", *PARITY)).alias("star"),
         ).where("lo <> hi").select("token", "star")
@@ -215,8 +222,8 @@ class _Join:
         one, two = ([F.col(f"{c}_{i}") for c in PARITY] for i in (1, 2))
         return pairs.where(self.fits("n1", "n2", one, two)).select("a", "b")
 
-    def star_pairs(self) -> DataFrame:
-        rows, shingles = self.posted()
+    def star_pairs(self, only: DataFrame | None = None) -> DataFrame:
+        rows, shingles = self.posted(only)
         one, two = [F.col(f"star.{c}") for c in PARITY], [F.col(c) for c in PARITY]
         pairs = (
             rows.join(shingles, "token")
@@ -231,8 +238,7 @@ class _Join:
 
     def all_pairs(self) -> DataFrame:
         """Members of groups of different components that share enough of their prefixes."""
-        rows, shingles = self.posted()
-        rows = materialise(rows.join(shingles.select("token"), "token", "left_semi"), "jaccard-mixed")
+        rows, _ = self.posted()
         ends = rows.select("token", "comp").distinct()
         met = ends.select("token", F.col("comp").alias("c1")).join(ends.select("token", F.col("comp").alias("c2")), "token").where("c1 < c2")
         one, two = (rows.select(
@@ -305,9 +311,10 @@ def jaccard_components(
     near = sets.join(postings.select("grp", "n").distinct(), ["grp", "n"], "left_semi").withColumn("comp", F.col("doc"))
     near = materialise(near, "jaccard-near")
     join = _Join(texts, near, postings, k, percent)
-    for _ in range(STAR_ROUNDS):
-        if not join.compare(join.star_pairs()):
-            break
+    links = join.compare(join.star_pairs())
+    for _ in range(STAR_ROUNDS - 1):
+        if links:
+            links = join.compare(join.star_pairs(join.grown_shingles()))
     join.compare(join.all_pairs())
     of_set = sets.select("set", "doc").join(join.sets.select("set", "comp"), "set", "left").select(
         "set", F.coalesce("comp", "doc").alias("component_id"))
