@@ -46,7 +46,7 @@ from .text import bytes_of, mix
 
 LENGTH, GRAM = 100, 24
 #: Windows are taken in pieces of so many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of classes in a shard, and classes of an anchor from which on it is split.
 SHARD_BYTES, CROWDED = 1 << 20, 50_000
 _LAST_ID = (1 << 63) - 1
