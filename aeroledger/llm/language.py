@@ -10,8 +10,9 @@ language, all solved at once, weighs the landmarks. Texts are scored in batches:
 presence rows times the landmarks' presence rows times the weights.
 
 Training rows are at most ``SAMPLE`` per language, those whose texts hash
-lowest; only their presence bits come to the driver, 2 KB each whatever the
-length of the text. A text that occurs more than once counts once.
+lowest, and all of a language with fewer distinct texts; only their presence
+bits come to the driver, 2 KB each whatever the length of the text. A text that
+occurs more than once counts once.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no labelled row is there to learn from; with one language,
@@ -72,8 +73,10 @@ def _sample(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(presence rows, languages) of at most SAMPLE texts of each language, in a fixed order."""
     hashed = labelled.where("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").select(
         "lang", "text", F.xxhash64("text").alias("h"))
-    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    # A hash below this cut leaves some 1.5 times the sample, so no task ranks a whole language.
+    # Distinct texts, so copies do not lower the cut.
+    sizes = hashed.groupBy("lang").agg(F.count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    # A hash below this cut leaves some 1.5 times the sample, so no task ranks a whole language; fewer than the sample
+    # would be 13 standard deviations off.
     few = hashed.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(1.5 * SAMPLE * (1 << 30)) / F.col("n"))
     ranked = few.dropDuplicates(["lang", "h"]).withColumn(
         "r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")))

@@ -1,4 +1,6 @@
-from aeroledger.llm.language import SAMPLE, fit, predict
+from collections import Counter
+
+from aeroledger.llm.language import SAMPLE, _sample, fit, predict
 
 EN, DE = "the of and ing tion that with this was from".split(), "der die und ung heit mit ist nicht auch schon".split()
 
@@ -30,3 +32,10 @@ def test_nothing_to_learn(spark, documents):
     one = fit(documents((1, "text here", "en"), (2, "text here", "en")))
     assert [(r["lang_pred"], r["lang_score"]) for r in predict(documents((1, "was")), one).collect()] == [("en", 1.0)]
     assert predict(documents(), one).count() == 0 and SAMPLE >= 1000
+
+
+def test_copies_do_not_thin_the_sample(spark, documents):
+    few = [(i, f"wort {i} nicht auch", "de") for i in range(20)] + [(i, "der die und", "de") for i in range(100, 30_100)]
+    many = [(i, f"word {i} and was", "en") for i in range(SAMPLE + 200)] + [(i, "the of and", "en") for i in range(9000)]
+    packed, names = _sample(documents(*few, *many))
+    assert Counter(names) == {"de": 21, "en": SAMPLE} and len(packed) == len(names)
