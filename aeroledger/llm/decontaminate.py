@@ -10,9 +10,11 @@ every partition, with that partition's bins. A document is a candidate of an
 item if they agree in one bin. With this ratio a shingle that both share
 survives in both signatures with probability (1 - e^-x) / x, x the reciprocal
 of the ratio, 0.94 or more, so an item of which n shingles are in the document
-is missed with a probability of about 0.06^n. Candidates are verified: an item
-is found if at least ``THRESHOLD`` of its distinct shingles, compared as
-words, occur in the document.
+is missed with a probability of about 0.06^n. That is too much for few shingles,
+so of an item of up to ``FEW`` every shingle hash is looked up among all of the
+document's, and none is missed. Candidates are verified: an item is found if at
+least ``THRESHOLD`` of its distinct shingles, compared as words, occur in the
+document.
 
 Documents are read once for every block of items; a block holds items of at
 most some ``BLOCK_CHARS`` characters, so what is broadcast is bounded and more
@@ -40,6 +42,8 @@ from .text import hash_runs, runs, shingle_hashes, shingle_layout
 
 WORDS, THRESHOLD = 5, 0.8
 BINS_PER_SHINGLE = 8
+#: Items of up to so many shingles are looked up whole; of longer ones THRESHOLD asks for 8 or more, missed with 0.06^8.
+FEW = 8
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -81,33 +85,38 @@ def signature(hashes: np.ndarray, partition: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Signature values of a block of items for every partition."""
+    """Shingle hashes of the items with few, and signature values of the others for every partition."""
 
     def __init__(self, items: list[tuple]) -> None:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.sets = [_hashes(w) for w in self.words]
+        self.few = self._sorted([s if len(s) <= FEW else s[:0] for s in self.sets])
         self._tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    @staticmethod
+    def _sorted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all items in order, and the item of each."""
+        values = np.concatenate([*parts, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order]
+
     def table(self, partition: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted signature values of all items in a partition, and the item of each."""
+        """Sorted signature values of the longer items in a partition, and the item of each."""
         if partition not in self._tables:
-            parts = [signature(s, partition) for s in self.sets]
-            values = np.concatenate([*parts, np.empty(0, np.uint64)])
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.argsort(values, kind="stable")
-            self._tables[partition] = values[order], owner[order]
+            self._tables[partition] = self._sorted([signature(s, partition) if len(s) > FEW else s[:0] for s in self.sets])
         return self._tables[partition]
 
     def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Items that agree with a document's signature in a bin."""
+        """Items with few shingles that share one with a document, others that agree with its signature in a bin."""
         partition = size_class(len(hashes))
-        values, owner = self.table(partition)
-        mine = signature(hashes, partition)
-        if not len(values) or not len(mine):
-            return np.empty(0, np.int64)
-        at = np.searchsorted(mine, values)
-        return np.unique(owner[mine[np.minimum(at, len(mine) - 1)] == values])
+        found = [np.empty(0, np.int64)]
+        for (values, owner), mine in ((self.few, hashes), (self.table(partition), signature(hashes, partition))):
+            if len(values) and len(mine):
+                at = np.searchsorted(mine, values)
+                found.append(owner[mine[np.minimum(at, len(mine) - 1)] == values])
+        return np.unique(np.concatenate(found))
 
 
 def contained(item: list[str], document: list[str]) -> tuple[int, int]:

@@ -49,6 +49,29 @@ def test_short_items_are_found_in_long_documents():
     assert missed == 0
 
 
+def test_items_of_few_shingles_are_found_in_long_documents(spark, documents):
+    random.seed(5)
+    docs = [(n, " ".join(f"v{random.randrange(10**6)}" for _ in range(size))) for n, size in enumerate((1029, 2052, 20_000))]
+    items = []
+    for _, text in docs:
+        words = text.split()
+        for length in (5, 6, 8, 12, 13):
+            for at in random.sample(range(len(words) - length), 100 if length == 5 else 15):
+                item = words[at:at + length]
+                items.append((len(items), " ".join(item if length < 9 else [*item[:-1], "other"])))
+    short = [" ".join(docs[0][1].split()[:3]), "not there at all anywhere"]
+    items += list(enumerate(short, len(items)))
+    index = ItemIndex(items)
+    sets = [(d, set(_hashes(words_of(t)).tolist())) for d, t in docs]
+    missed = {(d, i) for d, found in sets for i, s in enumerate(index.sets)
+              if len(found.intersection(s.tolist())) >= 0.8 * len(s)} - {
+        (d, int(i)) for d, t in docs for i in index.candidates(_hashes(words_of(t)))}
+    assert not missed, len(missed)
+    few = [i for i in items if len(i[1].split()) < 13][::7]
+    got = find_leaks(documents(*docs), spark.createDataFrame([(*i, 1.0) for i in few], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_shingles"], r["n_shared"]) for r in got} == brute(docs, few)
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], ITEMS)
     assert find_leaks(documents((1, "a b c d e f")), none).count() == 0
