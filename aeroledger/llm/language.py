@@ -4,8 +4,8 @@ The kernel of two texts is the number of byte n-grams (n of 1 to 4) that both
 have, over the root of the product of their numbers: a blended-spectrum kernel
 on presence, so repeating a passage changes nothing. N-grams are hashed to
 ``DIMENSIONS`` columns. A bounded sample of labelled texts gives the training
-rows; ``LANDMARKS`` of them are the Nystrom landmarks, whose kernel columns
-stand for the whole kernel matrix. One kernel ridge regression for each
+rows; ``LANDMARKS`` of them, or one for each language if these are more, are the
+Nystrom landmarks, whose kernel columns stand for the whole kernel matrix. One kernel ridge regression for each
 language, all solved at once, weighs the landmarks. Texts are scored in batches:
 presence rows times the landmarks' presence rows times the weights.
 
@@ -32,7 +32,7 @@ from .text import chunks
 LONGEST = 4
 DIMENSIONS = 1 << 14
 LANDMARKS = 256
-#: Bound of the training rows of a language, and on the languages that are learned.
+#: Bound of the training rows of a language, and on the languages; more are refused.
 SAMPLE, MOST_LANGUAGES = 1000, 500
 RIDGE = 1e-3
 UNDETERMINED = "und"
@@ -74,7 +74,11 @@ def _sample(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     hashed = labelled.where("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").select(
         "lang", "text", F.xxhash64("text").alias("h"))
     # Distinct texts, so copies do not lower the cut.
-    sizes = hashed.groupBy("lang").agg(F.count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counted = hashed.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    found = counted.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = labelled.sparkSession.createDataFrame(found, counted.schema)
     # A hash below this cut leaves some 1.5 times the sample, so no task ranks a whole language; fewer than the sample
     # would be 13 standard deviations off.
     few = hashed.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(1.5 * SAMPLE * (1 << 30)) / F.col("n"))
@@ -119,8 +123,8 @@ def fit(labelled: DataFrame) -> LanguageModel | None:
     languages = sorted(set(names))
     truth = np.array([languages.index(n) for n in names])
     signs = np.where(truth[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    # The sample is ordered by rank and language, so its head has all languages alike.
-    landmarks = _normal(np.unpackbits(packed[:LANDMARKS], axis=1).astype(np.float32))
+    # The sample is ordered by rank and language, so its head has all languages alike, and each of them at least once.
+    landmarks = _normal(np.unpackbits(packed[:max(LANDMARKS, len(languages))], axis=1).astype(np.float32))
     gram = (landmarks @ landmarks.T).astype(np.float64)
     parts = [
         _normal(np.unpackbits(packed[i:i + 512], axis=1).astype(np.float32)) @ landmarks.T for i in range(0, len(packed), 512)

@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pytest
+
+from aeroledger.llm import language
 from aeroledger.llm.language import SAMPLE, _sample, fit, predict
 
 EN, DE = "the of and ing tion that with this was from".split(), "der die und ung heit mit ist nicht auch schon".split()
@@ -39,3 +42,18 @@ def test_copies_do_not_thin_the_sample(spark, documents):
     many = [(i, f"word {i} and was", "en") for i in range(SAMPLE + 200)] + [(i, "the of and", "en") for i in range(9000)]
     packed, names = _sample(documents(*few, *many))
     assert Counter(names) == {"de": 21, "en": SAMPLE} and len(packed) == len(names)
+
+
+def test_every_language_has_a_landmark(spark, documents, monkeypatch):
+    monkeypatch.setattr(language, "LANDMARKS", 1)
+    words = {"a": "the of and was", "b": "και του της που", "c": "что это как его", "d": "այդ մեր նրա են"}
+    docs = [(i, f"{text} {text.split()[i % 4]}", lang) for lang, text in words.items() for i in range(4)]
+    found = predict(documents(*docs), fit(documents(*docs))).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_more_languages_than_the_bound_are_refused(spark, documents, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    assert fit(documents((1, "one", "a"), (2, "two", "b"))).languages == ["a", "b"]
+    with pytest.raises(ValueError):
+        fit(documents((1, "one", "a"), (2, "two", "b"), (3, "three", "c")))
