@@ -148,7 +148,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> QualityModel:
     ]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
-    for _ in range(max(20, min(ROUNDS, 3_000_000 // len(t)))):
+    for _ in range(ROUNDS):
         for part in np.array_split(random.permutation(len(t)), max(1, len(t) // 256)):
             w1, b1, w2, b2 = weights
             hidden = np.tanh(z[part] @ w1 + b1)
@@ -189,7 +189,8 @@ def score_quality(
         "quality-features",
     )
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    known = made.join(marked, "id").select("y", "features", F.xxhash64("features").alias("h"))
+    # Hashed with the id, so that of many copies as large a part is learned as of other rows.
+    known = made.join(marked, "id").select("y", "features", F.xxhash64("id", "features", "y").alias("h"))
     n = known.count()
     few = known.where(F.pmod("h", F.lit(1 << 30)) < F.lit(1.2 * MOST_TRAINING * (1 << 30) / max(n, 1)))
     rows = few.orderBy("h", "y").limit(MOST_TRAINING).collect()

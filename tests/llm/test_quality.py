@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from aeroledger.llm import quality
 from aeroledger.llm.quality import N_FEATURES, QualityModel, pooled, score_quality, tokens, train
 
 
@@ -47,3 +48,25 @@ def test_temperature_calibrates():
         here = (p >= low) & (p < low + 0.2)
         assert abs(p[here].mean() - y[here].mean()) < 0.1
     assert isinstance(model, QualityModel) and train(x, y).scores(x).tolist() == p.tolist()
+
+
+def test_copies_are_sampled_in_proportion(spark, documents, sentences, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_TRAINING", 300)
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append((x, y)) or train(x, y))
+    copied, others = sentences(6, 30, seed=9), sentences(600, 30)
+    docs = [*enumerate(others), *((1000 + i, copied[i % 6]) for i in range(600))]
+    score_quality(documents(*docs), labels(spark, [(i, i % 2, 0, 0.0) for i, _ in docs]))
+    _, copies = np.unique(seen[0][0], axis=0, return_counts=True)
+    # A quarter of 100 copies of each of six texts; all or none of a group before.
+    assert len(seen[0][0]) == 300 and all(5 < n < 60 for n in sorted(copies)[-6:]) and (copies > 1).sum() == 6
+
+
+def test_rounds_do_not_depend_on_the_number_of_rows(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 200)
+    rounds, split = [], np.array_split
+    monkeypatch.setattr(np, "array_split", lambda *a: rounds.append(1) or split(*a))
+    for n in (100, 20_000):
+        rounds.clear()
+        train(np.random.default_rng(1).normal(size=(n, 2)), np.arange(n) % 3 % 2)
+        assert len(rounds) == 200
