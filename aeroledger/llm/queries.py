@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import link_calls, turns_as_calls
+from .collocations import collocations
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language import fit, predict
+from .lexical import ranked_search
 from .mixing import mix_sources
 from .quality import score_quality
 from .secret_scan import BASE_KINDS, scan_secrets
+from .sharding import shard_rows
 from .suffix_dedup import remove_repeats
 from .topk import exact_topk
 from .url_filter import judge_urls
@@ -105,6 +108,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(turns_as_calls(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_rows(table(spark, sf_dir, "documents"), shards=24, grown=25)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
@@ -116,6 +132,9 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_sharding": op13_sharding,
 }
 
 
@@ -243,6 +262,94 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
+_LEXICAL_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS place, text FROM documents
+  UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+terms AS (
+  SELECT side, id, place, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+docs AS (SELECT id AS doc_id, place, len(w) AS n, w FROM terms WHERE side = 'd' AND len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM docs),
+asked AS (
+  SELECT id AS item_id, place AS item, w, count(*) AS m
+  FROM (SELECT id, place, unnest(w) AS w FROM terms WHERE side = 'i') GROUP BY ALL),
+postings AS (
+  SELECT doc_id, place, w, n, count(*) AS tf
+  FROM (SELECT doc_id, place, n, unnest(w) AS w FROM docs) SEMI JOIN asked USING (w) GROUP BY ALL),
+weights AS (
+  SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM postings, totals GROUP BY w, n_docs),
+scored AS (
+  SELECT item_id, item, doc_id, place, CAST(sum(m * weight
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (w) JOIN postings USING (w), totals GROUP BY item_id, item, doc_id, place),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_COLLOCATION_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM docs),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p
+  FROM pieces, (VALUES (1), (2), (3), (4), (5)) ks(k), unnest(range(1, len(w) - k + 2)) t(i)),
+f AS (SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, p, a, string_split(p, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, t.cut, l.a AS l, r.a AS r, totals.n,
+         (CAST(1000 AS HUGEINT) * c.a * totals.n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM candidates c, unnest(range(1, c.k)) t(cut), f l, f r, totals
+  WHERE totals.lang = c.lang AND l.lang = c.lang AND l.p = array_to_string(c.w[1:t.cut], ' ')
+    AND r.lang = c.lang AND r.p = array_to_string(c.w[t.cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+held AS (
+  SELECT DISTINCT s.lang, s.p FROM candidates x, unnest(range(2, x.k)) a(m), unnest(range(1, x.k - a.m + 2)) b(i), candidates s
+  WHERE s.lang = x.lang AND s.p = array_to_string(x.w[b.i:b.i + a.m - 1], ' ') AND 100 * x.a >= 100 * s.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank
+  FROM best ANTI JOIN held USING (lang, p))
+SELECT lang, rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+_SHARD_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+steps AS (
+  SELECT list(CAST(c AS BIGINT) ORDER BY i) AS step FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))),
+crc AS (
+  SELECT r, 4294967295 AS c, 0 AS pos FROM texts
+  UNION ALL
+  SELECT r, list_reduce(
+           [c] || list_transform(range(pos, least(pos + 4096, n)), lambda p: CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT)),
+           lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), pos + 4096
+  FROM crc JOIN texts USING (r), steps WHERE pos < n),
+sums AS (SELECT r, xor(arg_max(c, pos), 4294967295) AS text_crc32 FROM crc GROUP BY r),
+jumps AS (
+  SELECT r, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UHUGEINT) AS key, -1 AS shard, 0 AS next
+  FROM texts
+  UNION ALL
+  SELECT r, k, next, CAST(floor((next + 1) * (2147483648.0::DOUBLE / CAST((k // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT r, next, (key * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS k FROM jumps WHERE next < 25)),
+placed AS (
+  SELECT r, CAST(max(shard) FILTER (shard < 24) AS INT) AS shard, CAST(max(shard) AS INT) AS grown_shard FROM jumps GROUP BY r)
+SELECT doc_id, n + 8 AS size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, n) - 1 AS slot
+FROM texts JOIN sums USING (r) JOIN placed USING (r)
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": _LEAK_SQL,
     "op3_ngram_jaccard": _JACCARD_SQL,
@@ -250,4 +357,7 @@ ORACLE_SQL = {
     "op10_chat_formatting": _CHAT_SQL,
     "op7_url_filters": _url_sql(),
     "op8_exact_topk": _TOPK_SQL,
+    "op11_ranked_lexical_search": _LEXICAL_SQL,
+    "op12_phrase_collocations": _COLLOCATION_SQL,
+    "op13_sharding": _SHARD_SQL,
 }
