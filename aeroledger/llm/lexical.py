@@ -7,9 +7,12 @@ yet met can add at most its weight times the impact read down to. Lists of terms
 whole at the first level, so only long lists stay open.
 
 After each level the k-th highest lower bound of an item is known. Documents whose upper bound is below it go, and once
-even a document met in no list so far cannot reach it, the item takes no new ones and reads on only for the documents
-it holds. An item is done when each of these has equal bounds; at the last impact, 0, they are equal for all. Ties with the
-k-th bound are never dropped, and equal scores are ordered by id, so the result is exact.
+even a document met in no list so far cannot reach it, the item takes no new ones; when no item does, only what the held
+documents have in a level is read. The search ends when all held documents have equal bounds; at the last impact, 0,
+they have. Ties with the k-th bound are never dropped, and equal scores are ordered by id, so the result is exact.
+
+The intervals of a document are one row, and so are its postings of a level. A level and the intervals are joined by
+document, sums for all items are made inside a task, and only intervals that can still matter are written.
 
 Impacts are integers of 64 bits and sums of them are exact; lengths that would overflow are multiplied as Python's.
 Items are searched in groups whose texts are of bounded size, since their terms are sent to all tasks.
@@ -29,12 +32,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..workspace import materialise
-from .scratch import write_table
+from .scratch import drop_table, write_table
 
 #: Everything in ASCII that is no digit or letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,7 +51,9 @@ SHORT_LIST = 64
 BIN = 1000
 #: Characters of item texts, or of document texts, that are handled at a time.
 ITEM_CHARS, TEXT_BYTES = 4_000_000, 4 << 20
-#: Parts of an item's candidates that are ranked apart before they are ranked together.
+#: Sums of (document, item) that a task makes at a time.
+SUMS = 1 << 20
+#: Groups of tasks whose best documents are ranked apart before they are ranked together.
 PARTS = 64
 
 
@@ -115,17 +121,14 @@ def impacts(tf: np.ndarray, length: np.ndarray, row: np.ndarray, n_docs: int, n_
 
 
 def _postings(counted: DataFrame, n_docs: int, n_terms: int, short: np.ndarray, cuts: np.ndarray | None):
-    """Rows (level, doc, place, terms, impacts), or without cuts rows (bin, n) for a histogram of impacts."""
-    schema = _schema(counted, "level int, doc, place bigint, terms array<int>, impacts array<bigint>")
-    arrow = to_arrow_schema(schema)
+    """Rows (level, place, terms, impacts), or without cuts rows (bin, n) for a histogram of impacts."""
     sent = counted.sparkSession.sparkContext.broadcast(short)
 
     def read(batch):
-        lists = batch.column(3)
-        tf, length = batch.column(4).flatten().to_numpy(), batch.column(2).to_numpy()
+        lists = batch.column(2)
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-        term = lists.flatten().to_numpy()
-        return row, term, impacts(tf, length, row, n_docs, n_terms)
+        return row, lists.flatten().to_numpy(), impacts(
+            batch.column(3).flatten().to_numpy(), batch.column(1).to_numpy(), row, n_docs, n_terms)
 
     def histogram(batches):
         total = np.zeros(MOST_IMPACT // BIN + 1, np.int64)
@@ -145,68 +148,121 @@ def _postings(counted: DataFrame, n_docs: int, n_terms: int, short: np.ndarray,
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(rows), at), pa.int32()), batch.column(0).take(pa.array(rows)),
-                        batch.column(1).take(pa.array(rows)), _lists(term[here], inside, len(rows), pa.int32()),
-                        _lists(impact[here], inside, len(rows), pa.int64()),
-                    ], schema=arrow)
+                        _lists(term[here], inside, len(rows), pa.int32()), _lists(impact[here], inside, len(rows), pa.int32()),
+                    ], ["level", "place", "terms", "impacts"])
 
-    held = counted.where(F.size("terms") > 0)
-    return held.mapInArrow(histogram, "bin bigint, n bigint") if cuts is None else held.mapInArrow(levels, schema)
+    held = counted.where(F.size("terms") > 0).select("place", "length", "terms", "tfs")
+    if cuts is None:
+        return held.mapInArrow(histogram, "bin bigint, n bigint")
+    return held.mapInArrow(levels, "level int, place bigint, terms array<int>, impacts array<int>")
 
 
-class Items:
-    """Terms of a group of items: for each term the items that hold it, and its weight in them."""
+class Bounds:
+    """What a task needs to bound scores: the items of each term with its weight in them, and the state of each item."""
 
-    def __init__(self, counts: list[Counter], numbers: dict[str, int], weight: np.ndarray) -> None:
+    def __init__(self, counts: list[Counter], numbers: dict[str, int], weight: np.ndarray, short: np.ndarray) -> None:
         pairs = sorted((numbers[t], i, n * int(weight[numbers[t]])) for i, c in enumerate(counts) for t, n in c.items())
-        self.item = np.array([p[1] for p in pairs], np.int64)
-        self.weight = np.array([p[2] for p in pairs], np.int64)
-        self.term = np.array([p[0] for p in pairs], np.int64)
-        self.n_terms, self.n_items = len(numbers), len(counts)
-
-    def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offsets by term, items, weights) of the chosen items."""
-        here = chosen[self.item] & (self.weight > 0)
-        return np.concatenate(([0], np.cumsum(np.bincount(self.term[here], minlength=self.n_terms)))), self.item[here], self.weight[here]
-
-
-def _read(level: DataFrame, items: Items, chosen: np.ndarray, short: np.ndarray) -> DataFrame:
-    """(item, doc, place, score, met) that a level adds: scores, and the weights of the long lists met, of the chosen items."""
-    schema = _schema(level, "item int, doc, place bigint, score bigint, met bigint")
-    arrow = to_arrow_schema(schema)
-    sent = level.sparkSession.sparkContext.broadcast((*items.of(chosen), short, items.n_items))
-
-    def add(batches):
-        at, item, weight, short, n_items = sent.value
+        pairs = np.array([p for p in pairs if p[2]], np.int64).reshape(-1, 3)
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(numbers)))))
+        self.item, self.weight = pairs[:, 1], pairs[:, 2]
+        # Weight of the lists that are not read whole at once, of each pair and in all of each item.
+        self.long = np.where(short[pairs[:, 0]], 0, self.weight)
+        self.open = np.zeros(len(counts), np.int64)
+        np.add.at(self.open, self.item, self.long)
+        self.least = np.zeros(len(counts), np.int64)
+        self.n_items = len(counts)
+
+    def sums(self, row, term, impact, held_row, held_item, held_score, held_met):
+        """(row, item, score, met) after a level: what was held of some documents, and what their postings add."""
+        n = self.at[term + 1] - self.at[term]
+        which = np.repeat(self.at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.concatenate([held_row * self.n_items + held_item, np.repeat(row, n) * self.n_items + self.item[which]])
+        score = np.concatenate([held_score, self.weight[which] * np.repeat(impact, n)])
+        met = np.concatenate([held_met, self.long[which]])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        if not len(first):
+            return (np.empty(0, np.int64),) * 4
+        return *np.divmod(key[first], self.n_items), np.add.reduceat(score[order], first), np.add.reduceat(met[order], first)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists; null lists are empty."""
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), length), column.flatten().to_numpy().astype(np.int64)
+
+
+def _summed(batches, bounds: Bounds):
+    """(places, row, item, score, met) for slices of batches (place, terms, impacts, items, scores, mets)."""
+    for batch in batches:
+        row, term = _flat(batch.column(1))
+        sums = np.bincount(row, bounds.at[term + 1] - bounds.at[term], batch.num_rows).astype(np.int64)
+        part = np.cumsum(sums + 1) // SUMS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            piece = batch.slice(a, b - a)
+            row, term = _flat(piece.column(1))
+            held_row, held_item = _flat(piece.column(3))
+            yield piece.column(0), *bounds.sums(
+                row, term, _flat(piece.column(2))[1], held_row, held_item, _flat(piece.column(4))[1], _flat(piece.column(5))[1])
+
+
+_INTERVALS = "place bigint, items array<int>, scores array<bigint>, mets array<bigint>"
+
+
+def _hold(rows: DataFrame, bounds: Broadcast, depth: int) -> DataFrame:
+    """The intervals that can still reach the k-th lower bound when lists are read down to an impact."""
+
+    def work(batches):
+        b = bounds.value
+        for places, row, item, score, met in _summed(batches, b):
+            can = score + (b.open[item] - met) * depth >= b.least[item]
+            rows, inside = np.unique(row[can], return_inverse=True)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([
+                    places.take(pa.array(rows)), _lists(item[can], inside, len(rows), pa.int32()),
+                    _lists(score[can], inside, len(rows), pa.int64()), _lists(met[can], inside, len(rows), pa.int64()),
+                ], ["place", "items", "scores", "mets"])
+
+    return rows.mapInArrow(work, _INTERVALS)
+
+
+def _lowest(rows: DataFrame, bounds: Broadcast, k: int) -> list:
+    """(item, score): the k-th highest lower bound of the items that have so many; a task sends its k best of an item."""
+
+    def work(batches):
+        items, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, _, item, score, _ in _summed(batches, bounds.value):
+            items, scores = np.concatenate([items, item]), np.concatenate([scores, score])
+            order = np.lexsort((-scores, items))
+            items, scores = items[order], scores[order]
+            begin = np.searchsorted(items, items)
+            best = np.arange(len(items)) - begin < k
+            items, scores = items[best], scores[best]
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int32()), pa.array(scores)], ["item", "score"])
+
+    few = rows.mapInArrow(work, "item int, score bigint")
+    return _best(few, k, [F.desc("score")]).where(F.col("rank") == k).select("item", "score").collect()
+
+
+def _best(scored: DataFrame, k: int, order: list) -> DataFrame:
+    """The first k rows of each item; those of some tasks are ranked before all are."""
+    parts = scored.withColumn("part", F.spark_partition_id() % PARTS)
+    some = parts.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _unsettled(held: DataFrame, bounds: Broadcast) -> bool:
+    """Whether an interval has unequal bounds."""
+
+    def work(batches):
         for batch in batches:
-            term, impact = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(3)).to_numpy())
-            n = at[term + 1] - at[term]
-            total = int(n.sum())
-            if not total:
-                continue
-            which = np.repeat(at[term], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            key = np.repeat(row, n) * n_items + item[which]
-            order = np.argsort(key, kind="stable")
-            key, which = key[order], which[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            score = np.add.reduceat(weight[which] * np.repeat(impact, n)[order], first)
-            met = np.add.reduceat(weight[which] * ~np.repeat(short[term], n)[order], first)
-            rows, found = np.divmod(key[first], n_items)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(found, pa.int32()), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)),
-                pa.array(score), pa.array(met),
-            ], schema=arrow)
-
-    return level.select("level", "doc", "place", "terms", "impacts").mapInArrow(add, schema)
-
-
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    """The k rows of each item with the highest scores, equal ones by id; parts of an item are ranked first."""
-    order = [F.col("score").desc(), F.col("doc").asc_nulls_last(), F.col("place")]
-    part = Window.partitionBy("item", F.pmod(F.xxhash64("place"), F.lit(PARTS))).orderBy(*order)
-    whole = Window.partitionBy("item").orderBy(*order)
-    some = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
-    return some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+            open_left = bounds.value.open[_flat(batch.column(1))[1]] > _flat(batch.column(3))[1]
+            if open_left.any():
+                yield pa.RecordBatch.from_arrays([pa.array([True])], ["open"])
+
+    return not held.mapInArrow(work, "open boolean").isEmpty()
 
 
 def _level_cuts(counted: DataFrame, n_docs: int, n_terms: int, short: np.ndarray) -> np.ndarray:
@@ -232,40 +288,35 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], k: int) -> DataF
         df[term] = n
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(n) + 1))) for n in df], np.int64)
     short = df * SHORT_LIST <= n_docs
-    lists = Items(counts, numbers, weight)
+    bounds = Bounds(counts, numbers, weight, short)
     cuts = _level_cuts(counted, n_docs, n_terms, short)
     postings, _ = write_table(_postings(counted, n_docs, n_terms, short, cuts), "postings", by="level")
+    sc, columns = spark.sparkContext, ["place", "terms", "impacts", "items", "scores", "mets"]
 
-    # What a document can get at most from lists not read whole at once; the k-th lower bound; whether new ones are taken.
-    open_weight = np.zeros(len(items), np.int64)
-    np.add.at(open_weight, lists.item, lists.weight * ~short[lists.term])
-    least, taking, held = np.zeros(len(items), np.int64), np.ones(len(items), bool), None
-
-    def state() -> DataFrame:
-        rows = [(i, int(open_weight[i]), int(least[i]), bool(taking[i])) for i in range(len(items))]
-        return F.broadcast(spark.createDataFrame(rows, "item int, open bigint, least bigint, taking boolean"))
-
+    held, path = write_table(spark.createDataFrame([], _INTERVALS), "intervals")
+    taking = np.ones(len(items), bool)
     for at, depth in enumerate([*(int(c) for c in cuts), 0]):
         level = postings.where(F.col("level") == at)
-        parts = [] if held is None else [held]
-        if taking.any():
-            parts.append(_read(level, lists, taking, short))
-        if held is not None and not taking.all():
-            wanted = held.join(state().where("NOT taking"), "item").select("place").distinct()
-            parts.append(_read(level.join(wanted, "place", "left_semi"), lists, ~taking, short))
-        met = reduce(DataFrame.unionByName, parts).groupBy("item", "place").agg(
-            F.first("doc").alias("doc"), F.sum("score").alias("score"), F.sum("met").alias("met"))
-        met = materialise(met, "intervals")
-        for row in _best(met, k).where(F.col("rank") == k).collect():
-            least[row["item"]] = row["score"]
-        upper = F.col("score") + (F.col("open") - F.col("met")) * F.lit(depth)
-        bounded = met.join(state(), "item").withColumn("upper", upper).where("upper >= least")
-        held = bounded.select("item", "doc", "place", "score", "met")
-        taking &= open_weight * depth >= np.maximum(least, 1)
-        if not taking.any() and bounded.where("upper > score").isEmpty():
+        rows = level.join(held, "place", "full" if taking.any() else "right").select(*columns)
+        if at == 0:
+            for row in _lowest(rows, sc.broadcast(bounds), k):
+                bounds.least[row["item"]] = row["score"]
+        following, following_path = write_table(_hold(rows, sc.broadcast(bounds), depth), "intervals")
+        drop_table(spark, path)
+        held, path = following, following_path
+        none = F.lit(None).cast("array<int>")
+        alone = held.withColumns({"terms": none, "impacts": none}).select(*columns)
+        for row in _lowest(alone, sc.broadcast(bounds), k):
+            bounds.least[row["item"]] = row["score"]
+        taking &= bounds.open * depth >= np.maximum(bounds.least, 1)
+        if not taking.any() and not _unsettled(held, sc.broadcast(bounds)):
             break
+    pairs = _hold(alone, sc.broadcast(bounds), 0).select("place", F.explode(F.arrays_zip("items", "scores")).alias("pair"))
+    scored = pairs.select("place", F.col("pair.items").alias("item"), F.col("pair.scores").alias("score")).where("score > 0")
+    # Ties with the k-th document are still there, so that ids decide between them.
+    scored = scored.join(counted.select("place", "doc"), "place")
     places = F.broadcast(spark.createDataFrame([(i, number) for i, (number, _) in enumerate(items)], "item int, number bigint"))
-    found = _best(held.where("score > 0"), k).join(places, "item")
+    found = _best(scored, k, [F.desc("score"), F.col("doc").asc_nulls_last(), F.col("place")]).join(places, "item")
     return materialise(found.select("number", "rank", "doc", "score"), "found")
 
 

@@ -88,19 +88,25 @@ def test_items_in_groups_give_the_same(tables):
     compare(tables, texts, items, k=4, item_chars=40)
 
 
-def test_levels_after_the_first_are_read_for_held_documents_only(tables, monkeypatch):
-    read, original = [], lexical._read
+def test_only_what_can_still_matter_is_held(tables, monkeypatch):
+    held, original = [], lexical.write_table
 
-    def noted(level, lists, chosen, short):
-        read.append((level, int(chosen.sum())))
-        return original(level, lists, chosen, short)
+    def noted(df, name, **options):
+        table, path = original(df, name, **options)
+        if name == "intervals":
+            held.append(sum(len(r["items"]) for r in table.collect()))
+        return table, path
 
-    monkeypatch.setattr(lexical, "_read", noted)
+    monkeypatch.setattr(lexical, "write_table", noted)
     texts = [(i, "common " * (i % 5) + f"filler{i} more{i} words{i}") for i in range(3000)]
     texts += [(5000 + i, f"common rare{i % 2} gem{i % 2}") for i in range(40)]
     compare(tables, texts, [("a", "common rare0 gem0"), ("b", "common rare1 gem1")], k=5)
-    assert len(read) > 1 and read[0][1] == 2
-    later = [(df, n) for df, n in read[1:]]
-    # Both items stop taking documents; what is read for them then is joined with the documents they hold.
-    assert any("Join" in df._jdf.queryExecution().analyzed().toString() for df, _ in later)
-    assert sum(df.count() for df, _ in later) < 200
+    assert 10 <= max(held) <= 40
+
+
+def test_levels_are_read_until_all_is_settled(tables, monkeypatch):
+    depths, original = [], lexical._hold
+    monkeypatch.setattr(lexical, "_hold", lambda rows, bounds, depth: depths.append(depth) or original(rows, bounds, depth))
+    texts = [(i, " ".join(["a"] * (1 + i % 9) + ["b"] * (i % 4) + ["c"] * (i % 3) + ["d"] * (i % 50))) for i in range(600)]
+    compare(tables, texts, [("x", "a b c"), ("y", "b c d d")], k=3)
+    assert len(depths) > 2 and depths[:-1] == sorted(depths[:-1], reverse=True)
