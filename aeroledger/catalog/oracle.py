@@ -517,6 +517,15 @@ QUERIES: dict[str, str] = {
           WHEN 'c.csv' THEN count_if(l_linenumber = 4) WHEN 'd.parquet' THEN count_if(l_linenumber > 4) ELSE 0 END::BIGINT AS n_rows,
           name = 'broken.parquet' AS skipped
         FROM raw CROSS JOIN (VALUES ('a.csv'), ('b.parquet'), ('broken.parquet'), ('c.csv'), ('d.parquet')) f(name) GROUP BY name""",
+    "ingest_refusals": """
+        WITH notes AS (SELECT c_custkey AS k, c_name || chr(10) || '"' || c_mktsegment || '", ' || c_custkey AS note FROM customer)
+        SELECT 'breaks' AS name, count(*) AS n_rows, false AS skipped, NULL AS reason, sum(k)::BIGINT AS keys, count(*) AS n_breaks,
+          sum(length(note))::BIGINT AS note_chars, count(*) AS n_balances FROM notes
+        UNION ALL SELECT 'short', count(*), false, NULL, sum(k)::BIGINT, 0, count(*), 0 FROM notes
+        UNION ALL SELECT 'header', 0, false, NULL, NULL, NULL, NULL, NULL
+        UNION ALL SELECT name, 0, true, reason, NULL, NULL, NULL, NULL FROM (VALUES
+          ('ragged', 'a record has more fields than the header'), ('quoted_ragged', 'a record has more fields than the header'),
+          ('unended', 'a quoted value has no end'), ('latin', 'not UTF-8')) refused(name, reason)""",
     "first_row_per_key": """
         SELECT dim_origen_id, Origin, OriginCityName, OriginState, OriginStateName FROM dim_origen""",
     "confusion_matrix": """

@@ -25,7 +25,7 @@ from ..operators.ids import number_stored_rows
 from ..operators.resolve import resolve_values
 from ..plans import kpis, options, rankings, tables
 from ..plans.rollup import top_n
-from ..schema import FACT, FACT_COLUMNS, ROW_SEQ, key_of
+from ..schema import FACT, FACT_COLUMNS, FILE_PLACE, ROW_SEQ, key_of
 from ..sources import ingest as ingestion, layers, sizes
 from ..sources.datamart import Star, build_star, read_first_rows, read_table
 from ..workspace import fresh_path
@@ -137,6 +137,42 @@ def _(spark, sf_dir):
     return report.groupBy(name).agg(F.sum("n_rows").alias("n_rows"), F.max("skipped").alias("skipped"))
 
 
+def _odd_inbox(spark, sf_dir):
+    """CSV files of customers: with line breaks in quotes, cut short, ragged, not UTF-8, without an end, and header alone."""
+    folder = fresh_path(spark, "odd-inbox")
+    key = F.col("c_custkey").cast("string")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey").coalesce(1)
+    note = F.concat_ws("", F.lit('"'), "c_name", F.lit('\n""'), "c_mktsegment", F.lit('"", '), key, F.lit('"'))
+    head = F.when(F.col("c_custkey") == 0, F.lit("k,note,balance\n")).otherwise("")
+    texts = {
+        "breaks": F.concat(F.when(F.col("c_custkey") == 0, F.lit('\nk,"no\nte",balance\n')).otherwise(""), key, F.lit(","), note, F.lit(",1.5")),
+        "short": F.concat(head, key, F.lit(",x")),
+        "ragged": F.concat(head, key, F.lit(",x,2"), F.when(F.col("c_custkey") % 100 == 7, F.lit(",3")).otherwise("")),
+        "quoted_ragged": F.concat(head, key, F.lit(","), note, F.lit(",2"), F.when(F.col("c_custkey") == 9, F.lit(",3")).otherwise("")),
+        "unended": F.concat(head, key, F.lit(","), F.when(F.col("c_custkey") == 9, F.lit('"x')).otherwise("x"), F.lit(",2")),
+    }
+    for name, text in texts.items():
+        customers.select(text).write.text(f"{folder}/{name}.csv")
+    customers.where("c_custkey = 0").select(F.lit("k,note,balance")).write.text(f"{folder}/header.csv")
+    latin = customers.select(F.concat(head, key, F.lit(",")).cast("binary").alias("b"))
+    invalid = F.expr("cast(concat(b, X'E9', X'2C32') as string)")
+    latin.select(invalid).write.text(f"{folder}/latin.csv")
+    return folder
+
+
+@query("ingest_refusals")
+def _(spark, sf_dir):
+    """What became of each odd file: its rows, why it was refused, and a digest of the values that were read."""
+    found = ingestion.ingest_with_report(spark, _odd_inbox(spark, sf_dir))
+    name = r"/([a-z_]+)\.csv/"
+    note = F.coalesce("note", F.col("`no\nte`"))
+    digests = found.rows.groupBy(F.regexp_extract(f"{FILE_PLACE}.file", name, 1).alias("name")).agg(
+        F.sum(F.col("k").cast("bigint")).alias("keys"), F.count_if(F.contains(note, F.lit("\n"))).alias("n_breaks"),
+        F.sum(F.length(note)).alias("note_chars"), F.count("balance").alias("n_balances"))
+    files = found.report.select(F.regexp_extract("path", name, 1).alias("name"), "n_rows", "skipped", "reason")
+    return files.join(digests, "name", "left")
+
+
 @query("landing_roundtrip")
 def _(spark, sf_dir):
     return landing(spark, sf_dir).drop(ROW_SEQ)

@@ -3,12 +3,16 @@
 A file is taken whole or not at all. One scan per kind of file finds out which
 ones can be read to their end; the rest are left out by their path and listed
 in a report. The driver holds what Spark's own listing holds, an entry for each
-file: its path, and for CSV its header line, which one job collects.
+file: its path, and for CSV its header and whether it is refused, which one job collects. A CSV file is refused, with a
+reason, when a record has more fields than the header (fewer are filled with nulls), when it is not UTF-8, when a
+quoted value has no end, or when it has no header. Repeated column names are numbered, lines before the header that are
+empty are passed over, and a file with a header alone is read as no rows.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import logging
 from collections import defaultdict
 from collections.abc import Sequence
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.clean import null_words_to_null
 from ..schema import FILE_PLACE
+from .csv_records import read_lines, records
 
 log = logging.getLogger(__name__)
 
@@ -32,7 +37,7 @@ PARQUET_FILES = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 
 @dataclass(frozen=True)
 class Ingested:
-    """``rows`` of the files that were read, and ``report``: (path, length, n_rows, skipped) of all of them."""
+    """``rows`` of the files that were read, and ``report``: (path, length, n_rows, skipped, reason) of all of them."""
 
     rows: DataFrame
     report: DataFrame
@@ -66,36 +71,85 @@ def _paths(files: DataFrame) -> list[str]:
     return sorted(r["path"] for r in files.select("path").collect())  # an entry for each file, as in Spark's listing
 
 
-def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[tuple[str, ...], bool], list[str]]:
-    """(column names, whether a quoted value breaks a line) -> files, from one scan of their lines."""
-    lines = spark.read.text(list(files)).select(
-        F.col("_metadata.file_path").alias("path"), place().alias("place"), "value",
-        (F.length("value") - F.length(F.replace("value", F.lit('"'))) ).alias("quotes"),
-    )
-    heads = lines.groupBy("path").agg(
-        F.min_by("value", "place").alias("head"), F.max(F.col("quotes") % 2 == 1).alias("breaks"),
-    )
-    found: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for r in heads.collect():  # an entry for each file
-        if r["head"].strip():
-            names = next(csv.reader([r["head"].lstrip("﻿")]))
-            found[tuple(names), bool(r["breaks"])].append(r["path"])
+#: Why a file is refused as a whole.
+RAGGED, NOT_UTF8, UNENDED, NO_HEADER = "a record has more fields than the header", "not UTF-8", "a quoted value has no end", "no header"
+
+
+@dataclass(frozen=True)
+class CsvFile:
+    """Column names of a file, whether a quoted value breaks a line, and why it is refused, if it is."""
+
+    names: tuple[str, ...]
+    breaks: bool
+    reason: str | None
+
+
+def column_names(header: str) -> tuple[str, ...]:
+    """Names of a header record; a repeated one gets a number, an empty one is named by its place."""
+    names: list[str] = []
+    given = next(csv.reader(io.StringIO(header.lstrip("\ufeff"))), [])
+    for i, name in enumerate(n or f"Unnamed: {i}" for i, n in enumerate(given)):
+        unique, again = name, 0
+        while unique.lower() in (n.lower() for n in names):
+            again += 1
+            unique = f"{name}.{again}"
+        names.append(unique)
+    return tuple(names)
+
+
+def csv_files(spark: SparkSession, files: list[str]) -> dict[str, CsvFile]:
+    """What each file is, from one scan of all lines and, for files that break lines in quotes, of their records."""
+    where = F.struct("block", "row")
+    filled = F.trim(F.regexp_replace("value", r"\r$", "")) != ""
+    lines = read_lines(spark, files).groupBy("path").agg(
+        F.min_by(F.when(filled, F.regexp_replace("value", r"\r$", "")), F.when(filled, where)).alias("head"),
+        F.max("commas_0").alias("commas"), F.bool_or("open_0").alias("breaks"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+    ).collect()  # an entry for each file
+    found, broken = {}, [r["path"] for r in lines if r["breaks"] and r["utf8"]]
+    for r in lines:
+        names = column_names(r["head"] or "")
+        ragged = RAGGED if r["commas"] >= max(1, len(names)) else None
+        found[r["path"]] = CsvFile(names, r["breaks"], NOT_UTF8 if not r["utf8"] else None if r["breaks"] else ragged if names else NO_HEADER)
+    if broken:
+        heads = records(spark, broken).groupBy("path").agg(F.min_by("text", "number").alias("head"), F.max("fields").alias("fields"))
+        found.update({path: CsvFile((), True, UNENDED) for path in broken})
+        for r in heads.collect():
+            names = column_names(r["head"])
+            found[r["path"]] = CsvFile(names, True, RAGGED if r["fields"] > len(names) else None)
     return found
 
 
-def read_csv_files(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """One all-text table per distinct header, missing-value words as null.
+def _scanned(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Rows of files in which every line is a record, read by Spark's own parser."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True).csv(files)
+    return rows.select("*", place().alias(FILE_PLACE))
+
+
+def _assembled(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Rows of files with line breaks in quotes: their records, each parsed by Spark as it would parse a line."""
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    parsed = F.from_csv("text", schema, {"escape": '"'})
+    place_of = F.struct(same_path(F.col("path")).alias("file"), F.col("block"), F.col("row"))
+    rows = records(spark, files)
+    heads = rows.groupBy("path").agg(F.min("number").alias("head"))
+    rows = rows.join(heads, "path").where(F.col("number") > F.col("head")).select(parsed.alias("r"), place_of.alias(FILE_PLACE))
+    return rows.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], FILE_PLACE)
+
 
-    Files in which a quoted value holds a line break are not split, all others are.
-    """
+def read_csv_files(spark: SparkSession, folder: str) -> tuple[list[DataFrame], dict[str, str | None]]:
+    """(an all-text table per distinct header, missing-value words as null; why each file is refused, or None)."""
     files = _paths(list_files(spark, folder, CSV_FILES))
+    known = csv_files(spark, files) if files else {}
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for path, file in sorted(known.items()):
+        if file.reason is None:
+            groups[file.names, file.breaks].append(path)
     tables = []
-    for (header, breaks), group in (csv_headers(spark, files) if files else {}).items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        scan = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", breaks)
-        rows = scan.csv(sorted(group))
-        tables.append(rows.select(*[null_words_to_null(F.col(f"`{c}`")).alias(c) for c in header], place().alias(FILE_PLACE)))
-    return tables
+    for (names, breaks), group in groups.items():
+        rows = (_assembled if breaks else _scanned)(spark, names, group)
+        tables.append(rows.select(*[null_words_to_null(F.col(f"`{c}`")).alias(c) for c in names], FILE_PLACE))
+    return tables, {path: file.reason for path, file in known.items()}
 
 
 def _parquet_schemas(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[T.StructType, list[str]]]:
@@ -123,7 +177,10 @@ def _parquet_counts(spark: SparkSession, schema: T.StructType, files: Sequence[s
     scan = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*files)  # a damaged file ends early
     whole = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in schema.names])
     decoded = scan.select(path, whole.alias("h")).groupBy("path").agg(F.count(F.lit(1)).alias("n_read"), F.max("h").alias("h"))
-    return promised.join(decoded.drop("h") if not schema.names else decoded, "path", "left").select(
+    # The footers of files without rows were read, too, but no scan has a row of them.
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", PARQUET_FILES).load(list(files)).select(same_path(F.col("path")).alias("path"))
+    empty = listed.join(promised, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("n_rows"))
+    return promised.unionByName(empty).join(decoded, "path", "left").select(
         "path", "n_rows", F.when(F.col("h").isNotNull() | (F.col("n_rows") == 0), F.coalesce("n_read", F.lit(0))).alias("n_read"))
 
 
@@ -167,16 +224,22 @@ def align_types(tables: Sequence[DataFrame]) -> list[DataFrame]:
 def ingest_with_report(spark: SparkSession, folder: str) -> Ingested:
     """Every CSV and Parquet file of a folder, united by column name; absent columns are null."""
     parquet, counts = read_parquet_files(spark, folder)
-    texts = read_csv_files(spark, folder)
+    texts, refused = read_csv_files(spark, folder)
     if not texts and not parquet:
         raise FileNotFoundError(f"no readable .csv or .parquet file in {folder}")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), align_types(texts + parquet))
     read = [t.groupBy(F.col(f"{FILE_PLACE}.file").alias("read_path")).agg(F.count(F.lit(1)).alias("n_rows")) for t in texts]
     read += [c.where("n_read = n_rows").select(F.col("path").alias("read_path"), "n_rows") for c in counts]
-    files = list_files(spark, folder, CSV_FILES).unionByName(list_files(spark, folder, PARQUET_FILES))
-    joined = files.join(reduce(DataFrame.unionByName, read), same_path(F.col("path")) == F.col("read_path"), "left")
+    # A file that is read but has no row is in none of the counts.
+    why = spark.createDataFrame([(p, r) for p, r in refused.items()], "csv_path string, reason string").select(
+        same_path(F.col("csv_path")).alias("csv_path"), "reason")
+    files = list_files(spark, folder, CSV_FILES).unionByName(list_files(spark, folder, PARQUET_FILES)).select("*", same_path(F.col("path")).alias("same"))
+    joined = files.join(reduce(DataFrame.unionByName, read), F.col("same") == F.col("read_path"), "left").join(
+        why, F.col("same") == F.col("csv_path"), "left")
+    known, in_rows = F.col("csv_path").isNotNull(), F.col("read_path").isNotNull()
+    reason = F.when(known, F.col("reason")).when(~in_rows, F.when(F.col("path").rlike(r"(?i)\.csv(/|$)"), NO_HEADER).otherwise("cannot be decoded"))
     report = joined.select(
-        "path", "length", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.col("read_path").isNull().alias("skipped"))
+        "path", "length", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), reason.isNotNull().alias("skipped"), reason.alias("reason"))
     return Ingested(rows, report)
 
 
@@ -186,5 +249,5 @@ def ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, n_rows, skipped) per input file with any bytes."""
+    """(path, length, n_rows, skipped, reason) per input file with any bytes."""
     return ingest_with_report(spark, folder).report
