@@ -1,10 +1,10 @@
-"""The batch jobs: build a datamart, train, score, export.
+"""The batch jobs: build a datamart, train, score, export; from an installed wheel, or spark-submit with it in --py-files.
 
-spark-submit aeroledger/jobs.py datamart INBOX BASE
-spark-submit aeroledger/jobs.py train DATAMART MODEL
-spark-submit aeroledger/jobs.py search BASE MODEL
-spark-submit aeroledger/jobs.py score MODEL RECORDS OUT
-spark-submit aeroledger/jobs.py export DATAMART TABLE OUT
+python -m aeroledger.jobs datamart INBOX BASE
+python -m aeroledger.jobs train DATAMART MODEL
+python -m aeroledger.jobs search BASE MODEL
+python -m aeroledger.jobs score MODEL RECORDS OUT
+python -m aeroledger.jobs export DATAMART TABLE OUT
 """
 
 from __future__ import annotations
