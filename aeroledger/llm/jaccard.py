@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..workspace import materialise
 from .bloom import filter_of, in_filter
 from .graph import components
+from .scratch import Round, drop_table, shuffles_dropped, write_table
 from .text import chunks, mix, shingle_hashes, shingle_layout, word_hashes
 
 #: The sketch has 2**SKETCH_BITS counters, sent as rows of ROW_COUNTERS.
@@ -154,27 +155,34 @@ def _described(texts: DataFrame, k: int, percent: int, levels: np.ndarray, id_ty
 
 
 def _contents(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(set, shingles) of the sets listed, from one more scan of the documents."""
+    """(set, shingles) of the sets (set, doc) listed, from one more scan of the documents.
+
+    Of a set's copies only the document with the smallest id, ``doc``, passes, so a hot set is one row.
+    """
 
     def key(batches):
         for batch in batches:
             names = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0])], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0] ^ batch.column(1).to_numpy())], ["key"])
 
-    shared = texts.sparkSession.sparkContext.broadcast(filter_of(sets.select("set").mapInArrow(key, "key bigint")))
+    wanted = sets.select("set", F.xxhash64("doc").alias("of"))
+    shared = texts.sparkSession.sparkContext.broadcast(filter_of(wanted.mapInArrow(key, "key bigint")))
 
     def read(batches):
         for batch in batches:
+            of, first = batch.column(1).to_numpy(), 0
             for found, at in shingle_sets(batch.column(0), k):
                 digest, _ = _digests(found, at)
-                here = np.flatnonzero(in_filter(shared.value, np.ascontiguousarray(digest[:, 0]).view(np.int64)))
+                mine = of[first:first + len(digest)]
+                first += len(digest)
+                here = np.flatnonzero(in_filter(shared.value, np.ascontiguousarray(digest[:, 0]).view(np.int64) ^ mine))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([digest[i].tobytes() for i in here], pa.binary()),
                     pa.array([found[at[i]:at[i + 1]].view(np.int64) for i in here], pa.list_(pa.int64())),
                 ], ["set", "shingles"])
 
-    found = texts.select("text").mapInArrow(read, "set binary, shingles array<bigint>")
-    return found.join(sets.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    found = texts.select("text", F.xxhash64("id").alias("of")).mapInArrow(read, "set binary, shingles array<bigint>")
+    return found.dropDuplicates(["set"]).join(sets.select("set"), "set", "left_semi")
 
 
 class _Join:
@@ -184,6 +192,7 @@ class _Join:
         self.texts, self.sets, self.postings, self.k, self.percent = texts, sets, postings, k, percent
         self.done: DataFrame | None = None
         self.contents: DataFrame | None = None
+        self.round, self.standing = Round(), Round()
 
     def fits(self, a: str, b: str, one, two):
         """Whether sizes ``a`` and ``b`` and the parity sketches allow a link; a missing sketch does."""
@@ -196,7 +205,7 @@ class _Join:
         """Shingles of groups whose component has more than one set: only there can another star join more."""
         grown = self.sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         groups = self.sets.join(grown, "comp", "left_semi").select("grp", "n").distinct()
-        return materialise(self.postings.join(groups, ["grp", "n"], "left_semi").select("token").distinct(), "jaccard-grown")
+        return self.round.write(self.postings.join(groups, ["grp", "n"], "left_semi").select("token").distinct(), "jaccard-grown")
 
     def posted(self, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Postings with the components of their groups, and the shingles under which there is more than one.
@@ -206,11 +215,11 @@ class _Join:
         postings = self.postings if only is None else self.postings.join(only, "token", "left_semi")
         alone = F.count(F.lit(1)) == 1
         entries = self.sets.groupBy("grp", "n", "comp").agg(*[F.when(alone, F.first(c)).alias(c) for c in PARITY])
-        rows = materialise(postings.join(entries, ["grp", "n"]), "jaccard-posted")
+        rows = self.round.write(postings.join(entries, ["grp", "n"]), "jaccard-posted")
         shingles = rows.groupBy("token").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("pos", "grp", "n", "comp", *PARITY)).alias("star"),
         ).where("lo <> hi").select("token", "star")
-        return rows, materialise(shingles, "jaccard-shingles")
+        return rows, self.round.write(shingles, "jaccard-shingles")
 
     def expanded(self, pairs: DataFrame, *sides: tuple[int, str, DataFrame]) -> DataFrame:
         """Group pairs (g1, n1, c1, g2, n2, c2) as pairs of member sets (a, b) that their sketches allow."""
@@ -260,7 +269,7 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         if self.contents is not None:
             wanted = wanted.join(self.contents.select("set"), "set", "left_anti")
-        wanted = materialise(wanted, "jaccard-wanted")
+        wanted = self.round.write(wanted.join(self.sets.select("set", "doc"), "set"), "jaccard-wanted")
         if self.contents is None or not wanted.isEmpty():
             more = materialise(_contents(self.texts, wanted, self.k), "jaccard-contents")
             self.contents = more if self.contents is None else self.contents.unionByName(more)
@@ -275,11 +284,12 @@ class _Join:
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
+        self.round.drop()
         self.read(pairs)
         one = self.contents.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
         two = self.contents.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
-        links = materialise(
+        links = self.round.write(
             pairs.join(one, "a").join(two, "b").where(self.enough(shared, F.size("x") + F.size("y"))).select("a", "b"), "jaccard-links")
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         n = links.count()
@@ -287,9 +297,13 @@ class _Join:
             of = self.sets.select("set", "comp")
             edges = links.join(of.select(F.col("set").alias("a"), F.col("comp").alias("u")), "a").join(
                 of.select(F.col("set").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-            found = components(edges).select(F.col("node").alias("comp"), "component")
-            self.sets = materialise(
+            found = components(edges, self.round).select(F.col("node").alias("comp"), "component")
+            now = Round()
+            self.sets = now.write(
                 self.sets.join(found, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"), "jaccard-sets")
+            self.standing.drop()
+            self.standing = now
+        self.round.drop()
         return n
 
 
@@ -297,34 +311,62 @@ def jaccard_components(
     documents: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, n_shingles, component_id): the component is the smallest id reachable by links of at least ``percent``."""
+    with shuffles_dropped(documents.sparkSession):
+        described, of_set = _joined(documents, k, percent, id_col, text_col)
+    return described.join(of_set, "set", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def _joined(documents: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, set) of every document, and (set, component_id) of every set that a document with an id has."""
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = shingle_levels(texts.select("text"), k)
-    described = materialise(_described(texts, k, percent, levels, dict(documents.dtypes)[id_col]), "jaccard-documents")
+    start = Round()
+    full = start.write(_described(texts, k, percent, levels, dict(documents.dtypes)[id_col]), "jaccard-described")
+    described = materialise(full.select("id", "n", "set"), "jaccard-documents")
     sets = materialise(
-        described.where("n > 0 AND id IS NOT NULL").groupBy("set", "n", "grp", *PARITY).agg(F.min("id").alias("doc")), "jaccard-distinct")
-    groups = described.where("n > 0 AND id IS NOT NULL").select("grp", "n", "prefix").dropDuplicates(["grp", "n"])
+        full.where("n > 0 AND id IS NOT NULL").groupBy("set", "n", "grp", *PARITY).agg(F.min("id").alias("doc")), "jaccard-distinct")
+    groups = full.where("n > 0 AND id IS NOT NULL").select("grp", "n", "prefix").dropDuplicates(["grp", "n"])
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # A group with several sets has candidates within itself, whoever else shares its shingles.
     crowded = sets.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("members"))
     common = posted.join(crowded, ["grp", "n"]).groupBy("token").agg(F.sum("members").alias("members")).where("members > 1")
-    postings = materialise(posted.join(materialise(common.select("token"), "jaccard-common"), "token"), "jaccard-postings")
+    common = start.write(common.select("token"), "jaccard-common")
+    postings, path = write_table(posted.join(common, "token"), "jaccard-postings")
+    start.drop()
     near = sets.join(postings.select("grp", "n").distinct(), ["grp", "n"], "left_semi").withColumn("comp", F.col("doc"))
-    near = materialise(near, "jaccard-near")
-    join = _Join(texts, near, postings, k, percent)
+    join = _Join(texts, materialise(near, "jaccard-near"), postings, k, percent)
     links = join.compare(join.star_pairs())
     for _ in range(STAR_ROUNDS - 1):
         if links:
             links = join.compare(join.star_pairs(join.grown_shingles()))
     join.compare(join.all_pairs())
-    of_set = sets.select("set", "doc").join(join.sets.select("set", "comp"), "set", "left").select(
+    drop_table(documents.sparkSession, path)
+    return described, sets.select("set", "doc").join(join.sets.select("set", "comp"), "set", "left").select(
         "set", F.coalesce("comp", "doc").alias("component_id"))
-    return described.join(of_set, "set", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without those whose component has a smaller id; rows without an id all stay."""
-    found = jaccard_components(documents, id_col=id_col, **options)
-    more = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_id")).distinct()
-    return documents.join(more, documents[id_col] == more["_id"], "left_anti")
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``documents`` for each component: that with its smallest id, null ids last, ties to a hash of the row.
+
+    Every row is a document here, so rows that repeat an id with different texts are told apart, rows without an id are
+    linked like others, and of rows equal in all columns one stays. Texts without words link with nothing.
+    """
+    key = "_".join(["row", *documents.columns])  # no column has this name
+    keyed = documents.withColumn(
+        key, F.unhex(F.md5(F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}))))
+    found = jaccard_components(keyed, id_col=key, text_col=text_col, **options)
+    with shuffles_dropped(documents.sparkSession):
+        comps = found.select(F.col(key).alias("key"), F.col("component_id").alias("comp")).distinct()
+        rows = materialise(
+            keyed.select(F.col(key).alias("key"), F.col(id_col).alias("id"))
+            .groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("copies")).join(comps, "key"), "jaccard-rows")
+        first = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.key")
+        # Only the rest is looked up in the documents: a plain document is neither shuffled nor compared.
+        gone = materialise(rows.join(first, "key", "left_anti").select("key"), "jaccard-gone")
+        again = materialise(
+            rows.where("copies > 1").join(first, "key", "left_semi").select("key"), "jaccard-again")
+    alone = keyed.join(gone.unionByName(again).withColumnRenamed("key", key), key, "left_anti")
+    once = keyed.join(again.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key])
+    return alone.unionByName(once).select(*documents.columns)

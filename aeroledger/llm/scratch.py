@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import fresh_path
@@ -22,3 +25,31 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that no DataFrame reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Round:
+    """Tables that are deleted together, once no DataFrame reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = write_table(df, name)
+        self.tables.append((df.sparkSession, path))
+        return table
+
+    def drop(self) -> None:
+        while self.tables:
+            drop_table(*self.tables.pop())
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go when the action that made them ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -55,7 +55,7 @@ def test_equals_brute_force(spark, documents, sentences, rows, k, percent):
     want = brute(docs, k, percent)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == want
     kept = [r["doc_id"] for r in keep_one(documents(*docs), k=k, percent=percent).collect()]
-    assert sorted(set(kept) - {None}) == sorted({c for _, c in want.values()}) and None in kept
+    assert sorted(kept) == sorted({c for _, c in want.values()})
 
 
 def test_prefix_is_long_enough():
@@ -74,3 +74,26 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (7, 7), (None, 3)], "a bigint, b bigint")
     found = dict(components(edges).collect())
     assert found == {**dict.fromkeys(range(n), 0), 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays(spark, documents, sentences):
+    a, b, c, d = sentences(4, 60)
+    docs = [(5, a), (5, a), (5, a + " more"), (6, a.upper()), (None, b), (None, b), (None, b + " more"), (None, None), (None, "")]
+    docs += [(None, c), (9, c + " more"), (1, d), (1, sentences(1, 60, seed=5)[0]), (2, None), (2, None), (3, " ")]
+    table = documents(*docs)
+    kept = keep_one(table, k=5, percent=80)
+    assert kept.columns == table.columns
+    found = sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in kept.collect())
+    want = [(5, a), (0, b), (0, ""), (0, ""), (9, c), (1, d), (1, docs[12][1]), (2, ""), (3, " ")]
+    assert found == sorted((i, t[:9]) for i, t in want)
+
+
+def test_no_round_tables_or_shuffles_are_left(spark, documents, sentences, tmp_path, monkeypatch):
+    monkeypatch.setattr("aeroledger.workspace.shared_folder", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    texts = [x for i, t in enumerate(sentences(6, 80)) for x in family(t, 5, 3, i)]
+    found = jaccard_components(documents(*enumerate(texts)))
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("aeroledger/*/*")}
+    assert left <= {"jaccard-documents", "jaccard-distinct", "jaccard-near", "jaccard-pairs", "jaccard-contents", "jaccard-sets"}
+    assert found.count() == 30
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
