@@ -16,8 +16,9 @@ occurs more than once counts once.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no labelled row is there to learn from; with one language,
-every other text gets it with score 1; repeated rows are scored alike; an empty
-table gives an empty result.
+every other text gets it with score 1; repeated rows are scored alike; columns
+named lang_pred or lang_score are replaced; a text of any length is scored whole,
+in memory of a few times its size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def fit(labelled: DataFrame) -> LanguageModel | None:
 
 
 def predict(documents: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """``documents`` with columns lang_pred and lang_score added."""
+    """``documents`` with columns lang_pred and lang_score; those that it had under these names are replaced."""
+    documents = documents.drop("lang_pred", "lang_score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

@@ -57,3 +57,11 @@ def test_more_languages_than_the_bound_are_refused(spark, documents, monkeypatch
     assert fit(documents((1, "one", "a"), (2, "two", "b"))).languages == ["a", "b"]
     with pytest.raises(ValueError):
         fit(documents((1, "one", "a"), (2, "two", "b"), (3, "three", "c")))
+
+
+def test_columns_of_the_same_names_are_replaced(spark, documents):
+    model = fit(documents(*corpus(100)))
+    table = documents((1, "the of and was", "en"), (2, None)).selectExpr("*", "'old' AS lang_pred", "9 AS LANG_SCORE")
+    found = predict(table, model)
+    assert [c.lower() for c in found.columns].count("lang_pred") == 1 and found.columns[-2:] == ["lang_pred", "lang_score"]
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in found.collect()) == [(1, "en"), (2, "und")]
