@@ -22,9 +22,10 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a language that can be told."""
-    scored = predict(docs, fit(docs.select("text", "lang")))
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))  # no name of a column can clash
+    scored = predict(packed, fit(docs.select("text", "lang")))
     sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)
-    return scored.where(sure).select(*docs.columns)
+    return scored.where(sure).select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
