@@ -2,7 +2,8 @@
 
 The documents of a source are laid end to end in a hashed order, and the words
 of that stream are cut into blocks of ``block_words``. A source gives each epoch
-a quota of words, which is a number of blocks drawn without replacement in a
+a quota of words, which is a number of blocks (of ``block_words`` or, in a very
+large corpus, as many more as keep their number below ``MOST_BLOCKS``) drawn without replacement in a
 permuted order; the last one drawn is cut where the quota ends, so quotas are
 met to the word. A binary tree over the output shards splits the blocks of all
 sources and epochs: each node draws how many of each go to its left half from
@@ -33,8 +34,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..workspace import materialise
 
 MOST_SOURCES = 100_000
-BLOCK_WORDS = 4096
+#: Blocks have BLOCK_WORDS words, or more where there would be more than MOST_BLOCKS of them.
+BLOCK_WORDS, MOST_BLOCKS = 4096, 900_000_000
 SHARDS = 64
+#: A plan of at most so many numbers, 8 bytes each, is broadcast; a larger one is a written table that Spark measures.
+MOST_SENT = 1 << 20
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -69,8 +73,6 @@ def split_blocks(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
         node(left, first, middle)
         node(held - left, middle, last)
 
-    if counts.sum() >= 10**9:
-        raise ValueError("more than a billion blocks; use larger ones")
     node(counts.astype(np.int64), 0, shards)
     return out
 
@@ -85,6 +87,11 @@ def _permutation(n: int, key: str) -> tuple[int, int]:
     return a, zlib.crc32(("+" + key).encode()) % n
 
 
+def block_size(sizes: Sequence[int], most: int, least: int = BLOCK_WORDS) -> int:
+    """Words of a block: ``least``, or as many as leave at most MOST_BLOCKS blocks in ``most`` epochs of all sources."""
+    return max(least, -(-most * sum(sizes) // (MOST_BLOCKS - most * len(sizes))))
+
+
 def _plan(stats: list, weights: Sequence[int], share: Fraction, most: int, shards: int, block_words: int, seed: int):
     """Rows of the plan table: one per source, with an entry for each epoch."""
     stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -160,8 +167,10 @@ def mix_sources(
     stats = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    block_words = block_size([r["size"] for r in stats], most, block_words)
     rows = _plan(stats, weights, Fraction(share), most, shards, block_words, seed)
-    plan = F.broadcast(spark.createDataFrame(rows, _PLAN).withColumn("source", F.coalesce("source", F.lit(""))))
+    plan = spark.createDataFrame(rows, _PLAN).withColumn("source", F.coalesce("source", F.lit("")))
+    plan = F.broadcast(plan) if len(rows) * most * (shards + 8) <= MOST_SENT else materialise(plan, "mix-plan")
     named = sized.withColumns({"unnamed": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
     planned = named.join(
         plan.withColumnRenamed("source", "_source"), ["unnamed", "_source"]

@@ -71,7 +71,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
+    pieces = F.array_sort("pieces")
+    listed = F.transform(pieces, lambda p: F.concat_ws(":", p["shard"], p["epoch"], p["word_from"], p["word_to"]))
+    return mix.select(
+        "doc_id", "source", "size", "source_size", "target", "taken",
+        F.coalesce(F.array_join(listed, ","), F.lit("")).alias("slices"))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from fractions import Fraction
 
 import numpy as np
 
-from aeroledger.llm.mixing import _permutation, fill_targets, mix_sources, shard_rows, split_blocks
+from aeroledger.llm import mixing
+from aeroledger.llm.mixing import BLOCK_WORDS, MOST_BLOCKS, _permutation, _plan, block_size, fill_targets, mix_sources, shard_rows, split_blocks
 
 
 def test_targets():
@@ -65,3 +66,49 @@ def test_mix(spark, documents, sentences):
 def test_empty(spark, documents):
     assert mix_sources(documents()).count() == 0
     assert [r["taken"] for r in mix_sources(documents((1, None))).collect()] == [0]
+
+
+def test_blocks_grow_with_the_corpus():
+    assert block_size([1000, 10**9], 2) == BLOCK_WORDS and block_size([], 2) == BLOCK_WORDS
+    sizes = [6 * 10**12, 3 * 10**12, 7, 0, 10**13]  # 100 TB of text
+    words = block_size(sizes, 2)
+    assert sum(2 * -(-size // words) for size in sizes) <= MOST_BLOCKS
+    stats = [{"source": str(i), "n": 10, "size": size} for i, size in enumerate(sizes)]
+    rows = _plan(stats, (5, 2, 1), Fraction(3, 2), 2, 64, words, 17)
+    for r in rows:
+        assert sum(e["quota"] for e in r[6]) == round(Fraction(r[5])) or r[5] > 2**53
+        assert all(e["a"] * e["n"] < 2**62 and e["ends"] == sorted(e["ends"]) for e in r[6])
+
+
+def plain_mix(docs, rows, words):
+    """Words taken of each document and shard, word by word: streams of sources, cut into blocks, dealt by the plan."""
+    taken = Counter()
+    for source, _, _, buckets, _, _, epochs in rows:
+        own = sorted((d for d in docs if d[1] == source), key=lambda d: (d[3] % buckets, d[3], d[0], d[2]))
+        stream = [i for i, _, size, _ in own for _ in range(size)]
+        for e in epochs:
+            left = e["quota"]
+            blocks = [stream[j:j + words] for j in range(0, len(stream), words)]
+            for rank, j in sorted(((e["a"] * j + e["b"]) % e["n"], j) for j in range(len(blocks))):
+                shard = sum(end <= rank for end in e["ends"])
+                for i in blocks[j][:left]:
+                    taken[i, shard] += 1
+                left -= len(blocks[j][:left])
+    return taken
+
+
+def test_equals_a_plain_version(spark, documents, sentences, monkeypatch):
+    texts = [" ".join(sentences(1, 1 + i * 7 % 90, seed=i)) for i in range(120)] + ["word " * 900]
+    table = documents(*[(i, t, None, "abcd"[min(i % 9, 3)]) for i, t in enumerate(texts)])
+    place = table.selectExpr("doc_id", "source", "xxhash64(17, doc_id) AS place").collect()
+    docs = [(r["doc_id"], r["source"], len(texts[r["doc_id"]].split()), r["place"]) for r in place]
+    stats = [{"source": s, "n": sum(d[1] == s for d in docs), "size": sum(d[2] for d in docs if d[1] == s)} for s in "abcd"]
+    want = plain_mix(docs, _plan(stats, (5, 2, 1), Fraction(3, 2), 2, 6, 32, 17), 32)
+    for sent in (mixing.MOST_SENT, 0):  # a plan that is broadcast, and one that is a table
+        monkeypatch.setattr(mixing, "MOST_SENT", sent)
+        mix = mix_sources(table, block_words=32, shards=6)
+        found = Counter()
+        for r in shard_rows(mix).collect():
+            found[r["doc_id"], r["shard"]] += r["word_to"] - r["word_from"]
+        assert found == want
+        assert sum(r["taken"] for r in mix.collect()) == sum(want.values())
