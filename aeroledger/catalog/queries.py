@@ -718,6 +718,12 @@ def _(spark, sf_dir):
     return _curated_models(spark, sf_dir, "best_lr")[0]["candidates"]
 
 
+@query("search_rf")
+def _(spark, sf_dir):
+    train, _ = _curated_split(spark, sf_dir)
+    return search.search_rf(train, training.one_hot_features(), refit=False).candidates
+
+
 @query("train_baselines")
 def _(spark, sf_dir):
     fitted, test = _curated_models(spark, sf_dir, "baseline_lr")
