@@ -14,6 +14,7 @@ from __future__ import annotations
 import csv
 import io
 import logging
+import re
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.clean import null_words_to_null
 from ..schema import FILE_PLACE
+from ..workspace import materialise
 from .csv_records import read_lines, records
 
 log = logging.getLogger(__name__)
@@ -45,7 +47,7 @@ class Ingested:
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, length) of the matching files or table folders directly in ``folder``."""
-    scan = spark.read.format("binaryFile")
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)  # folders in a table are no columns here
     try:
         return scan.load(f"{folder.rstrip('/')}/{pattern}").select("path", "length")
     except AnalysisException as error:
@@ -178,22 +180,45 @@ def _parquet_counts(spark: SparkSession, schema: T.StructType, files: Sequence[s
     whole = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in schema.names])
     decoded = scan.select(path, whole.alias("h")).groupBy("path").agg(F.count(F.lit(1)).alias("n_read"), F.max("h").alias("h"))
     # The footers of files without rows were read, too, but no scan has a row of them.
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", PARQUET_FILES).load(list(files)).select(same_path(F.col("path")).alias("path"))
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PARQUET_FILES)
+    listed = binary.load(list(files)).select(same_path(F.col("path")).alias("path"))
     empty = listed.join(promised, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("n_rows"))
     return promised.unionByName(empty).join(decoded, "path", "left").select(
         "path", "n_rows", F.when(F.col("h").isNotNull() | (F.col("n_rows") == 0), F.coalesce("n_read", F.lit(0))).alias("n_read"))
 
 
+def _whole_paths(entries: Sequence[str], counts: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
+    """(entries whose files are all whole; the whole files of each entry that has others, too)."""
+    forms = {re.sub("^file:/+", "/", entry): entry for entry in entries}
+    whole, damaged = defaultdict(list), set()
+    for r in counts.collect():  # an entry for each file, as in Spark's listing
+        form = r["path"]
+        while form and form not in forms:
+            form = form.rpartition("/")[0]
+        entry = forms[form]
+        if r["n_read"] == r["n_rows"]:
+            whole[entry].append(entry + r["path"][len(form):])
+        else:
+            damaged.add(entry)
+    return sorted(e for e in whole if e not in damaged), {e: sorted(whole[e]) for e in sorted(damaged) if e in whole}
+
+
 def read_parquet_files(spark: SparkSession, folder: str) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(a table per distinct schema, with the rows of whole files only; the counts of their files)."""
+    """(a table per distinct schema, with the rows of whole files only; the counts of their files).
+
+    Counts are taken once and written, so the report tells what the rows are. Only whole files are scanned for rows, and
+    a read error there fails the job.
+    """
     files = _paths(spark.createDataFrame([(p,) for p in _entries(spark, folder, PARQUET_FILES)], "path string"))
     tables, counts = [], []
     for schema, group in _parquet_schemas(spark, files).values():
-        count = _parquet_counts(spark, schema, group)
-        damaged = count.where("n_read IS NULL OR n_read <> n_rows").select(F.col("path").alias("_damaged"))
-        scan = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*group)
-        rows = scan.select("*", place().alias(FILE_PLACE))
-        tables.append(rows.join(damaged, F.col(f"{FILE_PLACE}.file") == F.col("_damaged"), "left_anti"))
+        count = materialise(_parquet_counts(spark, schema, group), "parquet_counts")
+        entries, parts = _whole_paths(group, count)
+        reader = spark.read.schema(schema).option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False)
+        scans = [reader.parquet(*entries)] if entries else []
+        # Names of folders are columns of a table folder, also where some of its files are left out.
+        scans += [reader.option("basePath", entry).parquet(*kept) for entry, kept in parts.items()]
+        tables += [scan.select("*", place().alias(FILE_PLACE)) for scan in scans]
         counts.append(count)
     return tables, counts
 

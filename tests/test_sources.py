@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from aeroledger.operators.canonical import curate
@@ -124,3 +125,29 @@ def test_sizes_and_times(spark, star):
 
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_the_damaged_file_of_a_table_folder_is_left_out(spark, tmp_path):
+    table = tmp_path / "flights.parquet"
+    spark.range(3000).select("id", (F.col("id") % 3).alias("Month")).repartition(1).write.partitionBy("Month").parquet(str(table))
+    (tmp_path / "one.parquet").write_bytes(next(table.glob("Month=0/*.parquet")).read_bytes())
+    part = next(table.glob("Month=1/*.parquet"))
+    whole = part.read_bytes()
+    part.write_bytes(whole[:10] + b"\xff" * (len(whole) // 2) + whole[10 + len(whole) // 2:])
+    (table / "Month=1" / f".{part.name}.crc").unlink()
+    rows = ingestion.ingest(spark, str(tmp_path))
+    assert set(values(rows.groupBy("Month").agg(F.count("id")), "Month", "count(id)")) == {(None, 1000), (0, 1000), (2, 1000)}
+
+
+def test_a_read_error_after_the_check_fails_the_job(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    inside = tmp_path / "in"
+    inside.mkdir()
+    for name in ("a", "b"):
+        (inside / f"{name}.parquet").write_bytes(next((tmp_path / name).glob("*.parquet")).read_bytes())
+    rows = ingestion.ingest(spark, str(inside))
+    whole = (inside / "b.parquet").read_bytes()
+    (inside / "b.parquet").write_bytes(whole[:10] + b"\xff" * (len(whole) // 2) + whole[10 + len(whole) // 2:])
+    with pytest.raises(Exception):
+        rows.agg(F.sum("id")).collect()
