@@ -555,6 +555,12 @@ QUERIES: dict[str, str] = {
           / (any_value(pos) * any_value(neg)), 9) AS value FROM ranked CROSS JOIN n
         UNION ALL SELECT 'accuracy', round(sum(hits) / sum(support), 9) FROM counts
         UNION ALL SELECT 'f1', round(sum(coalesce(2 * hits / nullif(predicted + support, 0), 0) * support) / sum(support), 9) FROM counts)""",
+    "roc_area": """
+        SELECT * FROM (WITH fine AS (SELECT label, (Distance * 31 + CRSDepTime * 7 + DayOfWeek) % 100003 AS score FROM ruled),
+        ranked AS (SELECT label, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0)::DOUBLE AS r FROM fine),
+        n AS (SELECT count_if(label = 1)::DOUBLE AS pos, count_if(label = 0)::DOUBLE AS neg FROM fine)
+        SELECT 'auc_roc' AS metric, round((sum(CASE WHEN label = 1 THEN r END) - any_value(pos) * (any_value(pos) + 1) / 2)
+          / (any_value(pos) * any_value(neg)), 9) AS value FROM ranked CROSS JOIN n)""",
     "score_labels": """
         SELECT CRSDepTime, CRSArrTime, Distance, DayOfWeek, Month, prediction, round(score * 100, 9) AS delay_pct,
           round((1 - score) * 100, 9) AS on_time_pct, CASE prediction WHEN 1 THEN 'DEMORADO' ELSE 'A TIEMPO' END AS verdict

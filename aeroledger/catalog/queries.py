@@ -647,6 +647,15 @@ def _(spark, sf_dir):
     return _rounded(evaluate.evaluate_predictions(scored), "value")
 
 
+@query("roc_area")
+def _(spark, sf_dir):
+    """Of a score with thousands of values and some ties."""
+    ruled = _ruled(spark, sf_dir)
+    fine = ruled.select("label", ((F.col("Distance") * 31 + F.col("CRSDepTime") * 7 + F.col("DayOfWeek")) % 100003).alias("score"))
+    area = fine.sparkSession.createDataFrame([(evaluate.roc_area(fine),)], "area double")
+    return area.select(F.lit("auc_roc").alias("metric"), F.round("area", 9).alias("value"))
+
+
 @query("score_labels")
 def _(spark, sf_dir):
     return _rounded(score.score_labels(_ruled(spark, sf_dir)).select(

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -174,3 +175,15 @@ def test_searches(split):
     final = regression.model.stages[-1]
     assert final.getOrDefault("regParam") == pytest.approx(1 / train.count())
     assert "prediction" in regression.model.transform(split[1]).columns
+
+
+@pytest.mark.parametrize("values_of_score", [40, 1_000_000])
+def test_roc_area_counts_every_pair(spark, values_of_score):
+    rng = np.random.default_rng(values_of_score)
+    label = rng.integers(0, 2, 15_000)
+    score = rng.integers(0, values_of_score, 15_000) + label * values_of_score // 7
+    frame_ = spark.createDataFrame([(float(y), float(s)) for y, s in zip(label, score)], "label double, score double").repartition(5)
+    ones, zeros = np.sort(score[label == 1]), np.sort(score[label == 0])
+    below = np.searchsorted(zeros, ones, "left") + np.searchsorted(zeros, ones, "right")
+    assert evaluate.roc_area(frame_) == below.sum() / (2 * len(ones) * len(zeros))
+    assert evaluate.roc_area(frame_.where("label = 1")) == evaluate.roc_area(frame_.limit(0)) == 0.0
