@@ -77,10 +77,7 @@ def train_curated(
     train_rows, test = frame.stratified_split(frame.curated_frame(rows))
     train_rows = materialise(frame.ml_sample(train_rows), "training-rows")
     features = training.one_hot_features()
-    models = training.fit_models(
-        train_rows, features,
-        {"baseline_lr": training.baseline_lr(train_rows.count()), "baseline_rf": training.deep_forest(baseline_trees)},
-    )
+    models = training.baseline_models(train_rows, baseline_trees)
     models["best_lr"] = search.search_lr(train_rows, features, regression_space).model
     models["best_rf"] = search.search_rf(train_rows, features, forest_space, draws).model
     training.save_model(models["best_rf"], model_path)
