@@ -9,10 +9,12 @@ anchors, and anchors deal windows to shards. Successive windows with one anchor
 form a segment. Anchors that occur once are left out, by a Bloom filter of
 fixed size over those that do not; what it lets through wrongly costs time only.
 Equal segments become one class with its earliest occurrence, so a passage that
-a third of all documents share is one entry. The classes of a shard are laid end
-to end and suffix-sorted with common prefixes (see ``induced_sort``); a run of
-neighbours that agree in ``LENGTH`` bytes is one window, kept only at its
-earliest occurrence. An anchor of more than ``CROWDED`` classes is dealt to
+a third of all documents share is one entry. The anchor
+lies in one of ``ZONES`` zones of a window, and two classes that share a window with
+their anchor in a zone agree in all bytes that these windows have in common; so a
+class keeps the windows of zones in which it agrees with another one, if any. What
+is left of a shard is laid end to end and suffix-sorted with common prefixes (see ``induced_sort``); a run of neighbours that
+agree in ``LENGTH`` bytes is one window, kept only at its earliest occurrence. An anchor of more than ``CROWDED`` classes is dealt to
 several shards by the hash of each window.
 
 Occurrences are never stored: a document finds its segments again when it is
@@ -49,6 +51,9 @@ LENGTH, GRAM = 100, 24
 PIECE = 1 << 18
 #: Bytes of classes in a shard, and classes of an anchor from which on it is split.
 SHARD_BYTES, CROWDED = 1 << 20, 50_000
+#: Zones of a window in which its anchor may begin, and where they begin.
+ZONES = 11
+ZONE_STARTS = [i * (LENGTH - GRAM + 1) // ZONES for i in range(ZONES + 1)]
 _LAST_ID = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,7 +125,7 @@ def _joined(parts, rows, places):
 
 
 def segments(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, part, first window, number of windows, hash of the segment's bytes and anchor) of each segment."""
+    """(anchor, part, first window, number of windows, hash of the segment's bytes and anchor, bytes before the anchor) of each segment."""
     n = len(data)
     grams = gram_hashes(data)
     # The low bits hold the position, so of equal grams the first is the least.
@@ -138,7 +143,8 @@ def segments(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     end = first + count + LENGTH - 1
     own = (sums[end] - sums[first]) * _powers(_P_INVERSE, n)[first]
     offset = at[first] - first
-    return grams[at[first]], part[first], first, count, mix(own + (count * 4096 + offset).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    own = mix(own + (count * 4096 + offset).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return grams[at[first]], part[first], first, count, own, offset
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
@@ -158,12 +164,12 @@ def repeated_anchors(texts: DataFrame) -> np.ndarray:
 
 
 def _kept_segments(column: pa.Array, repeated: np.ndarray):
-    """(bytes, row, place in the row's text, anchor, first byte, windows, hash) of segments whose anchor is in the filter."""
+    """(bytes, row, place in the row's text, anchor, first byte, windows, hash, bytes before the anchor) of segments whose anchor is in the filter."""
     for data, starts, rows, places in pieces(column):
-        anchor, part, first, count, own = segments(data, starts)
+        anchor, part, first, count, own, offset = segments(data, starts)
         kept = np.flatnonzero(in_filter(repeated, (anchor >> np.uint64(24)).view(np.int64)))
         part, first = part[kept], first[kept]
-        yield data, rows[part], first - starts[part] + places[part], anchor[kept], first, count[kept], own[kept]
+        yield data, rows[part], first - starts[part] + places[part], anchor[kept], first, count[kept], own[kept], offset[kept]
 
 
 def _occurrences(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
@@ -173,7 +179,7 @@ def _occurrences(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
     def find(batches):
         for batch in batches:
             doc, tie = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            for _, row, place, anchor, _, count, own in _kept_segments(batch.column(0), shared.value):
+            for _, row, place, anchor, _, count, own, _ in _kept_segments(batch.column(0), shared.value):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
                     pa.array(place), pa.array(count.astype(np.int32)),
@@ -204,29 +210,30 @@ def _with_bytes(texts: DataFrame, repeated: np.ndarray, classes: DataFrame) -> D
         repeated, wanted = shared.value
         for batch in batches:
             doc, tie = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            for data, row, place, anchor, first, count, own in _kept_segments(batch.column(0), repeated):
+            for data, row, place, anchor, first, count, own, offset in _kept_segments(batch.column(0), repeated):
                 here = np.flatnonzero(in_filter(wanted, _at(doc[row], tie[row], place)))
                 row, begin = row[here], first[here]
                 raw = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + count[here] + LENGTH - 1).tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor[here].view(np.int64)), pa.array(own[here].view(np.int64)), pa.array(doc[row]),
-                    pa.array(tie[row]), pa.array(place[here]), pa.array(raw, pa.binary()),
-                ], ["anchor", "segment", "doc", "tie", "first", "bytes"])
+                    pa.array(tie[row]), pa.array(place[here]), pa.array(raw, pa.binary()), pa.array(offset[here]),
+                ], ["anchor", "segment", "doc", "tie", "first", "bytes", "offset"])
 
     found = texts.select("text", "doc", "tie").mapInArrow(
-        read, "anchor bigint, segment bigint, doc bigint, tie bigint, first bigint, bytes binary")
+        read, "anchor bigint, segment bigint, doc bigint, tie bigint, first bigint, bytes binary, offset bigint")
     return classes.join(found, ["anchor", "segment", "doc", "tie", "first"])
 
 
 def _shards(classes: DataFrame, n_shards: int) -> DataFrame:
     """Classes with a shard: one for the anchor, or for crowded anchors one for each window's hash, as classes of one window."""
-    columns = ["anchor", "doc", "tie", "first", "windows", "bytes"]
+    columns = ["anchor", "doc", "tie", "first", "windows", "bytes", "offset"]
     by_anchor = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard")
     plain = classes.where(F.col("crowd") <= CROWDED).select(*columns, F.lit(0).alias("skipped"), by_anchor)
     crowded = classes.where(F.col("crowd") > CROWDED).withColumn("skipped", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
     window = F.expr(f"substring(bytes, skipped + 1, {LENGTH})")
     split = crowded.select(
-        "anchor", "doc", "tie", "first", F.lit(1).alias("windows"), window.alias("bytes"), "skipped",
+        "anchor", "doc", "tie", "first", F.lit(1).alias("windows"), window.alias("bytes"),
+        (F.col("offset") - F.col("skipped")).alias("offset"), "skipped",
     ).withColumn("shard", F.pmod(F.xxhash64("anchor", "bytes"), F.lit(n_shards)))
     return plain.unionByName(split)
 
@@ -241,26 +248,69 @@ def _later_windows(shards: DataFrame, n_shards: int) -> DataFrame:
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return shards.repartition(n_shards, "shard").select("doc", "tie", "first", "windows", "skipped", "bytes").mapInArrow(
+    return shards.repartition(n_shards, "shard").select("doc", "tie", "first", "windows", "skipped", "offset", "bytes").mapInArrow(
         sort, "doc bigint, tie bigint, again array<bigint>")
 
 
+def zone_hashes(data: np.ndarray, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each zone and class, hash of the bytes that all windows with the anchor in that zone have; 0 if there is no such window."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)), out=sums[1:])
+    back, anchor = _powers(_P_INVERSE, len(data) + 1), at[:-1] + offset
+    found = np.zeros((ZONES, len(offset)), np.uint64)
+    for zone, (low, high) in enumerate(zip(ZONE_STARTS, ZONE_STARTS[1:])):
+        size = LENGTH - (high - low - 1)
+        there = (offset >= low) & (anchor - low + size <= at[1:])
+        start = (anchor - low)[there]
+        found[zone, there] = mix((sums[start + size] - sums[start]) * back[start]) | np.uint64(1)
+    return found
+
+
+def in_several(hashes: np.ndarray) -> np.ndarray:
+    """Which hashes occur more than once; 0 stands for none."""
+    _, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    return (count[number] > 1) & (hashes != 0)
+
+
 def _sorted_shard(batches, folder: str):
-    """Lays the classes of a shard end to end in a file, sorts its suffixes, and finds the first of each window."""
-    tables = []
-    path = os.path.join(folder, "text")
-    with open(path, "wb") as out:
+    """Lays the classes of a shard that may share a window end to end in a file, sorts its suffixes, and finds the first of each window."""
+    tables, zones, offsets = [], [], []
+    raw, path = os.path.join(folder, "bytes"), os.path.join(folder, "text")
+    with open(raw, "wb") as out:
         for batch in batches:
-            data, at = _raw(batch.column(5))
-            size = np.diff(at)
-            text = np.ones(len(data) + len(size), np.uint16)  # a 1 ends a class
-            text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
-            text.tofile(out)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            tables.append(np.stack([*columns, size + 1]))
-        np.zeros(1, np.uint16).tofile(out)
+            data, at = _raw(batch.column(6))
+            data.tofile(out)
+            *columns, offset = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            zones.append(zone_hashes(data, at, offset))
+            offsets.append(offset)
+            tables.append(np.stack([*columns, np.diff(at)]))
     if not tables or not sum(t.shape[1] for t in tables):
         return
+    agrees = np.stack([in_several(hashes) for hashes in np.concatenate(zones, axis=1)])
+    if not agrees.any():
+        return
+    done, place = 0, 0
+    with open(path, "wb") as out:
+        for i, (table, offset) in enumerate(zip(tables, offsets)):
+            here, size = agrees[:, done:done + len(offset)], table[5]
+            done += len(offset)
+            data = np.fromfile(raw, np.uint8, int(size.sum()), offset=place)
+            place += len(data)
+            kept = np.flatnonzero(here.any(axis=0))
+            here, offset, size, start = here[:, kept], offset[kept], size[kept], (np.cumsum(size) - size)[kept]
+            lowest, highest = here.argmax(axis=0), ZONES - 1 - here[::-1].argmax(axis=0)
+            bounds = np.array(ZONE_STARTS)
+            low = np.maximum(0, offset - bounds[highest + 1] + 1)
+            size = np.minimum(size, offset - bounds[lowest] + LENGTH) - low
+            end = np.cumsum(size + 1)
+            text = np.ones(end[-1] if len(end) else 0, np.uint16)  # a 1 ends a class
+            inside = np.ones(len(text), bool)
+            inside[end - 1] = False
+            text[inside] = data[np.repeat(start + low - (np.cumsum(size) - size), size) + np.arange(size.sum())].astype(np.uint16) + 2
+            text.tofile(out)
+            doc, tie, first, _, skipped, _ = table[:, kept]
+            tables[i] = np.stack([doc, tie, first + low, size - LENGTH + 1, skipped, size + 1])
+        np.zeros(1, np.uint16).tofile(out)
     doc, tie, first, windows, skipped, size = np.concatenate(tables, axis=1)
     first = first + skipped
     begin = np.cumsum(size) - size
@@ -365,7 +415,7 @@ def _spans(column: pa.Array, repeated: np.ndarray, firsts: pa.Array, again: pa.A
     known = np.sort(kept + (kept_rows << 40))  # texts are shorter than 2**31
     row, start = flat(again)
     parts = [(row, start, start + LENGTH)]
-    for _, row, place, _, _, count, _ in _kept_segments(column, repeated):
+    for _, row, place, _, _, count, _, _ in _kept_segments(column, repeated):
         key = place + (row << 40)
         at = np.searchsorted(known, key)
         later = np.ones(len(key), bool)

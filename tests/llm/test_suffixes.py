@@ -2,6 +2,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aeroledger.llm import induced_sort, suffix_dedup
@@ -99,3 +100,33 @@ def test_repeated_rows_are_one_document(spark, documents, sentences):
 
 def test_spans_that_touch_are_one():
     assert [x.tolist() for x in merged(np.array([5, 0, 30, 10]), np.array([10, 4, 40, 12]))] == [[0, 5, 30], [4, 12, 40]]
+
+
+def test_a_window_is_found_wherever_its_anchor_lies(spark, documents, rows):
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    windows = [noise(LENGTH) for _ in range(120)]
+    docs = [(2 * i + j, noise(r.randint(0, 90)) + w + noise(r.randint(0, 90))) for i, w in enumerate(windows) for j in (0, 1)]
+    got = rows(remove_repeats(documents(*docs)))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for i, r in got.items()} == brute(docs)
+    assert all(got[2 * i + 1]["n_removed"] >= LENGTH for i in range(len(windows)))
+
+
+def test_only_windows_that_another_class_may_have_are_sorted(monkeypatch, tmp_path):
+    """Of three classes with one anchor, two share it and the 60 bytes after it, and the third only 20 of them."""
+    r = random.Random(12)
+    noise = lambda n: bytes(r.choices(range(97, 122), k=n))
+    anchor, after = noise(suffix_dedup.GRAM), noise(60)
+    common = noise(16) + anchor + after  # one window
+    raw = [noise(40) + common, noise(40) + common, noise(56) + anchor + after[:20] + noise(40)]
+    n = len(raw)
+    batch = pa.RecordBatch.from_arrays(
+        [*[pa.array(v, pa.int64()) for v in (range(n), [0] * n, [7] * n, [41] * n, [0] * n, [56] * n)], pa.array(raw, pa.binary())],
+        ["doc", "tie", "first", "windows", "skipped", "offset", "bytes"])
+    sorted_texts = []
+    real = suffix_dedup.sorted_with_prefixes
+    monkeypatch.setattr(suffix_dedup, "sorted_with_prefixes", lambda text, *rest: sorted_texts.append(len(text)) or real(text, *rest))
+    found = [row for out in suffix_dedup._sorted_shard([batch, batch.slice(0, 0)], str(tmp_path)) for row in out.to_pylist()]
+    assert found == [{"doc": 1, "tie": 0, "again": [7 + 40]}]
+    assert 2 * (LENGTH + 1) < sorted_texts[0] < 2 * (len(raw[0]) + 1)
+    assert list(suffix_dedup._sorted_shard([batch.slice(1)], str(tmp_path))) == [] and len(sorted_texts) == 1
