@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..workspace import materialise
 from .bloom import filter_of, in_filter
 from .graph import components
-from .scratch import Round, drop_table, shuffles_dropped, write_table
+from .scratch import Round, drop_table, shuffles_dropped, small_batches, write_table
 from .text import chunks, mix, shingle_hashes, shingle_layout, word_hashes
 
 #: The sketch has 2**SKETCH_BITS counters, sent as rows of ROW_COUNTERS.
@@ -311,7 +311,7 @@ def jaccard_components(
     documents: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, n_shingles, component_id): the component is the smallest id reachable by links of at least ``percent``."""
-    with shuffles_dropped(documents.sparkSession):
+    with shuffles_dropped(documents.sparkSession), small_batches(documents.sparkSession):
         described, of_set = _joined(documents, k, percent, id_col, text_col)
     return described.join(of_set, "set", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import fresh_path
 
+#: Rows of whole texts that pass to and from Python at once; a batch is held twice, by the JVM and by Python.
+BATCH_ROWS = 1_000
+
 
 def write_table(df: DataFrame, name: str, by: str | None = None, rows_a_file: int = 0) -> tuple[DataFrame, str]:
     """(scan, path) of ``df`` as a fresh Parquet table, in a folder for each value of ``by``.
@@ -46,10 +49,24 @@ class Round:
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within, shuffle files go when the action that made them ends, not when the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, actions hand ``BATCH_ROWS`` rows at most to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(key))
+    with _set(spark, key, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

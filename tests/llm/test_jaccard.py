@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from aeroledger.llm import jaccard
 from aeroledger.llm.graph import components
 from aeroledger.llm.jaccard import jaccard_components, keep_one, prefix_length
 
@@ -97,3 +98,12 @@ def test_no_round_tables_or_shuffles_are_left(spark, documents, sentences, tmp_p
     assert left <= {"jaccard-documents", "jaccard-distinct", "jaccard-near", "jaccard-pairs", "jaccard-contents", "jaccard-sets"}
     assert found.count() == 30
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_texts_reach_python_in_small_batches(spark, documents, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    joined = jaccard._joined
+    monkeypatch.setattr(jaccard, "_joined", lambda *a: (seen.append(int(spark.conf.get(key))), joined(*a))[1])
+    before = spark.conf.get(key)
+    jaccard_components(documents((1, "a b c d"), (2, "a b c d")))
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
