@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..workspace import materialise
 from .bloom import filter_of, in_filter
 from .induced_sort import sorted_with_prefixes
-from .text import bytes_of, mix
+from .scratch import BATCH_ROWS, small_batches
+from .text import bytes_of, mix, sliced
 
 LENGTH, GRAM = 100, 24
 #: Windows are taken in pieces of so many bytes.
@@ -383,7 +384,7 @@ def earliest_places(texts: DataFrame, repeated: np.ndarray) -> DataFrame:
     rivals = materialise(classes.join(crowds, "anchor"), "repeat-rivals")
     size = rivals.agg(F.coalesce(F.sum(F.col("windows") + LENGTH), F.lit(0))).first()[0]
     n_shards = max(1, math.ceil(size / SHARD_BYTES))
-    again = _later_windows(_shards(_with_bytes(texts, repeated, rivals), n_shards), n_shards)
+    again = materialise(_later_windows(_shards(_with_bytes(texts, repeated, rivals), n_shards), n_shards), "repeat-windows")
     firsts = classes.select("doc", "tie", "first", F.lit(None).cast("array<bigint>").alias("again"))
     both = firsts.unionByName(again.withColumn("first", F.lit(None).cast("bigint")))
     return both.groupBy("doc", "tie").agg(F.collect_list("first").alias("firsts"), F.flatten(F.collect_list("again")).alias("again"))
@@ -427,22 +428,25 @@ def _spans(column: pa.Array, repeated: np.ndarray, firsts: pa.Array, again: pa.A
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row; ``kept`` is the bytes that stay."""
     texts = _keyed(documents, id_col, text_col)
-    repeated = repeated_anchors(texts)
+    # What reads texts runs here, in small batches; the caller's action only packs and cuts them.
+    with small_batches(documents.sparkSession):
+        repeated = repeated_anchors(texts)
+        places = earliest_places(texts, repeated)
     kind = dict(documents.dtypes)[id_col]
     shared = texts.sparkSession.sparkContext.broadcast(repeated)
 
     def pack(batches):  # half the bytes in the shuffle
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches, BATCH_ROWS):
             packed = [packer.compress((t.as_py() or "").encode()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *batch.columns[1:]], batch.schema.names)
 
     packed = texts.mapInArrow(pack, f"text binary, doc bigint, tie bigint, id {kind}")
-    joined = packed.join(earliest_places(texts, repeated), ["doc", "tie"], "left").select("id", "text", "firsts", "again")
+    joined = packed.join(places, ["doc", "tie"], "left").select("id", "text", "firsts", "again")
 
     def cut(batches):
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches, BATCH_ROWS):
             raws = [unpacker.decompress(t.as_py()) for t in batch.column(1)]
             row, start, end = _spans(pa.array(raws, pa.large_binary()).cast(pa.large_string()), shared.value, batch.column(2), batch.column(3))
             order = np.argsort(row, kind="stable")

@@ -130,3 +130,16 @@ def test_only_windows_that_another_class_may_have_are_sorted(monkeypatch, tmp_pa
     assert found == [{"doc": 1, "tie": 0, "again": [7 + 40]}]
     assert 2 * (LENGTH + 1) < sorted_texts[0] < 2 * (len(raw[0]) + 1)
     assert list(suffix_dedup._sorted_shard([batch.slice(1)], str(tmp_path))) == [] and len(sorted_texts) == 1
+
+
+def test_texts_pass_python_in_small_batches(spark, documents, sentences, rows, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    earliest = suffix_dedup.earliest_places
+    monkeypatch.setattr(suffix_dedup, "earliest_places", lambda *a: (seen.append(int(spark.conf.get(key))), earliest(*a))[1])
+    texts = sentences(7)
+    docs = documents(*[(i, f"{t} {texts[0]}") for i, t in enumerate(texts)], (90, None), (91, texts[3])).coalesce(1)
+    whole = rows(remove_repeats(docs))
+    monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 2)
+    before = spark.conf.get(key)
+    assert rows(remove_repeats(docs)) == whole and whole[91]["n_removed"] > 0
+    assert max(seen) <= 1000 and spark.conf.get(key) == before
