@@ -39,6 +39,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..workspace import materialise
@@ -154,19 +155,50 @@ def _described(texts: DataFrame, k: int, percent: int, levels: np.ndarray, id_ty
         describe, f"id {id_type}, n bigint, set binary, grp bigint, prefix array<bigint>, {columns}")
 
 
-def _contents(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def _destroy(held: list[Broadcast]) -> None:
+    """Delete filters that no table to be written reads any more."""
+    for shared in held:
+        shared.destroy()
+
+
+def _half(column: pa.Array) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(-1, 2)[:, 0]
+
+
+def _listed(contents: DataFrame, sets: DataFrame, held: list[Broadcast]) -> DataFrame:
+    """The rows of ``contents`` whose set is listed in ``sets``, and a few others: the rest need not be shuffled for a join.
+
+    ``held`` gets the filter, a file of the driver until it is destroyed.
+    """
+
+    def key(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_half(batch.column(0)).copy())], ["key"])
+
+    shared = contents.sparkSession.sparkContext.broadcast(filter_of(sets.mapInArrow(key, "key bigint")))
+    held.append(shared)
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(shared.value, _half(batch.column(0)).copy())))
+
+    return contents.select("set", "shingles").mapInArrow(pick, "set binary, shingles array<bigint>")
+
+
+def _contents(texts: DataFrame, sets: DataFrame, k: int, held: list[Broadcast]) -> DataFrame:
     """(set, shingles) of the sets (set, doc) listed, from one more scan of the documents.
 
-    Of a set's copies only the document with the smallest id, ``doc``, passes, so a hot set is one row.
+    Of a set's copies only the document with the smallest id, ``doc``, passes, so a hot set is one row. ``held`` gets the filter.
     """
 
     def key(batches):
         for batch in batches:
-            names = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0] ^ batch.column(1).to_numpy())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_half(batch.column(0)) ^ batch.column(1).to_numpy())], ["key"])
 
     wanted = sets.select("set", F.xxhash64("doc").alias("of"))
     shared = texts.sparkSession.sparkContext.broadcast(filter_of(wanted.mapInArrow(key, "key bigint")))
+    held.append(shared)
 
     def read(batches):
         for batch in batches:
@@ -271,7 +303,8 @@ class _Join:
             wanted = wanted.join(self.contents.select("set"), "set", "left_anti")
         wanted = self.round.write(wanted.join(self.sets.select("set", "doc"), "set"), "jaccard-wanted")
         if self.contents is None or not wanted.isEmpty():
-            more = materialise(_contents(self.texts, wanted, self.k), "jaccard-contents")
+            more = materialise(_contents(self.texts, wanted, self.k, held := []), "jaccard-contents")
+            _destroy(held)
             self.contents = more if self.contents is None else self.contents.unionByName(more)
 
     def enough(self, shared, both):
@@ -286,11 +319,13 @@ class _Join:
         pairs = materialise(pairs, "jaccard-pairs")
         self.round.drop()
         self.read(pairs)
-        one = self.contents.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
-        two = self.contents.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+        held: list[Broadcast] = []
+        one = _listed(self.contents, pairs.select("a"), held).toDF("a", "x")
+        two = _listed(self.contents, pairs.select("b"), held).toDF("b", "y")
         shared = F.size(F.array_intersect("x", "y"))
         links = self.round.write(
             pairs.join(one, "a").join(two, "b").where(self.enough(shared, F.size("x") + F.size("y"))).select("a", "b"), "jaccard-links")
+        _destroy(held)
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         n = links.count()
         if n:

@@ -107,3 +107,13 @@ def test_texts_reach_python_in_small_batches(spark, documents, monkeypatch):
     before = spark.conf.get(key)
     jaccard_components(documents((1, "a b c d"), (2, "a b c d")))
     assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
+
+
+def test_only_contents_of_listed_sets_are_joined(spark):
+    names = [i.to_bytes(8, "little") + bytes(8) for i in range(1000)]
+    contents = spark.createDataFrame([(bytearray(x), [i]) for i, x in enumerate(names)], "set binary, shingles array<bigint>")
+    listed = spark.createDataFrame([(bytearray(x),) for x in names[::50] * 2], "set binary")
+    got = {r["shingles"][0] for r in jaccard._listed(contents, listed, []).collect()}
+    assert set(range(0, 1000, 50)) <= got and len(got) < 30
+    assert jaccard._listed(contents, listed.limit(0), []).count() == 0
+    assert jaccard._listed(contents.limit(0), listed, []).count() == 0
