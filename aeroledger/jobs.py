@@ -71,11 +71,11 @@ def train_curated(
 ) -> DataFrame:
     """Baselines and both searches over the curated table; saves the best forest, returns the report on held-out rows.
 
-    At most ``frame.MOST_TRAINING_ROWS`` rows are fitted with; every held-out row counts.
+    Models are fitted with every row of the train part, and every held-out row counts.
     """
     rows = layers.read_curated(spark, f"{base}/{CURATED}")
     train_rows, test = frame.stratified_split(frame.curated_frame(rows))
-    train_rows = materialise(frame.ml_sample(train_rows), "training-rows")
+    train_rows = materialise(train_rows, "training-rows")
     features = training.one_hot_features()
     models = training.baseline_models(train_rows, baseline_trees)
     models["best_lr"] = search.search_lr(train_rows, features, regression_space).model

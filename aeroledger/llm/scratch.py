@@ -7,29 +7,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..workspace import fresh_path
+from ..workspace import drop_table, setting, shuffles_dropped, write_table  # noqa: F401
 
 #: Rows of whole texts that pass to and from Python at once; a batch is held twice, by the JVM and by Python.
 BATCH_ROWS = 1_000
 
 
-def write_table(df: DataFrame, name: str, by: str | None = None, rows_a_file: int = 0) -> tuple[DataFrame, str]:
-    """(scan, path) of ``df`` as a fresh Parquet table, in a folder for each value of ``by``.
-
-    A reader holds some thousand rows of a file at once, so large rows need few of them in a file.
-    """
-    path = fresh_path(df.sparkSession, name)
-    writer = df.write.option("maxRecordsPerFile", rows_a_file)
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table that no DataFrame reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 class Round:
     """Tables that are deleted together, once no DataFrame reads them any more."""
 
@@ -46,27 +29,10 @@ class Round:
             drop_table(*self.tables.pop())
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within, shuffle files go when the action that made them ends, not when the driver next collects garbage."""
-    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        yield
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Within, actions hand ``BATCH_ROWS`` rows at most to Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     given = int(spark.conf.get(key))
-    with _set(spark, key, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)):
-        yield
-
-
-@contextmanager
-def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
+    with setting(spark, key, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)):
         yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
