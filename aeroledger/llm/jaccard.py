@@ -3,10 +3,12 @@
 Words are runs of characters other than ASCII space, A-Z lower-cased; a
 document is its set of distinct k-word shingles. Sets whose Jaccard similarity
 reaches the threshold share a shingle among the first few in any fixed order of
-all shingles, their prefixes. The order puts common shingles last: first by the
-level that a count sketch of fixed size over all documents gives a shingle, then
-longer ones before shorter ones, which chance repeats more often, then by hash.
-Neither has to be right: the order decides how much is compared, never a link.
+all shingles, their prefixes. The order puts common shingles last: those that
+more than ``HOT`` documents would have in or near their prefixes otherwise, as a
+filter of fixed size tells, then by the level that a count sketch of fixed size over
+all documents gives a shingle, then longer ones before shorter ones, which
+chance repeats more often, then by hash. None of this has to be right: the order
+decides how much is compared, never a link.
 
 1. Equal sets become one set; sets with equal prefix and size become one group.
 2. Groups are posted under their prefix shingles; those under which only one
@@ -34,6 +36,7 @@ with nothing and has a null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
@@ -53,6 +56,9 @@ SKETCH_BITS, ROW_COUNTERS = 18, 64
 #: Longer shingles are rarer; bytes beyond this make no difference to the order.
 LONGEST = 127
 STAR_ROUNDS = 3
+#: A shingle of more prefixes than this goes behind others. The sketch sees only what is common among all shingles that share
+#: a counter; in a larger corpus a shingle of a few dozen documents hides there, and its pairs grow with the square of them.
+HOT, COUNTED = 2, 2  # shingles are counted in prefixes of COUNTED times the length, since others take the place of hot ones
 #: Columns of the parity sketch, 64 bits each.
 PARITY = ("k1", "k2", "k3", "k4")
 
@@ -108,6 +114,34 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def _ranks(found: np.ndarray, levels: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    """Place of each shingle in the order of all, but for its length and hash."""
+    level = levels[_slot(found)]
+    return level if hot is None else level + np.uint8(128) * in_filter(hot, found.view(np.int64)).astype(np.uint8)
+
+
+def _prefixes(found: np.ndarray, at: np.ndarray, rank: np.ndarray, percent: int, times: int = 1) -> Iterator[np.ndarray]:
+    """The prefix of each set, or its first shingles to some times that length; nothing of an empty set."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield found[a:b][np.argsort(rank[a:b], kind="stable")[:times * prefix_length(b - a, percent)]] if b > a else found[a:a]
+
+
+def hot_shingles(texts: DataFrame, k: int, percent: int, levels: np.ndarray) -> np.ndarray:
+    """A filter of the shingles that more than ``HOT`` documents have in or near their prefixes."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def first(batches):
+        for batch in batches:
+            for found, at in shingle_sets(batch.column(0), k):
+                tokens = np.concatenate([found[:0], *_prefixes(found, at, _ranks(found, shared.value, None), percent, COUNTED)])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
+
+    counted = texts.mapInArrow(first, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    hot = filter_of(counted.where(F.col("n") > HOT).select("token"))
+    shared.destroy()
+    return hot
+
+
 def _digests(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(128-bit digest, parity sketch) of each set, as rows of two and four numbers."""
     n = len(at) - 1
@@ -124,23 +158,18 @@ def _digests(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return digest, parity
 
 
-def _described(texts: DataFrame, k: int, percent: int, levels: np.ndarray, id_type: str) -> DataFrame:
+def _described(texts: DataFrame, k: int, percent: int, levels: np.ndarray, hot: np.ndarray, id_type: str) -> DataFrame:
     """(id, n, set, grp, prefix, parity sketch) of every document; ``set`` is a 128-bit digest."""
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
+    shared = texts.sparkSession.sparkContext.broadcast((levels, hot))
 
     def describe(batches):
-        levels = shared.value
         for batch in batches:
             sizes, sets, groups, prefixes, sketches = [], [], [], [], []
             for found, at in shingle_sets(batch.column(1), k):
-                level = levels[_slot(found)]
                 digest, parity = _digests(found, at)
                 sets += [d.tobytes() for d in digest]
                 sketches.append(parity)
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    n, first = b - a, found[a:a]
-                    if n:
-                        first = found[a:b][np.argsort(level[a:b], kind="stable")[:prefix_length(n, percent)]]
+                for n, first in zip(np.diff(at).tolist(), _prefixes(found, at, _ranks(found, *shared.value), percent)):
                     sizes.append(n)
                     prefixes.append(first.view(np.int64))
                     groups.append(int(mix(np.array([n], np.uint64) + mix(first + np.uint64(1)).sum())[0].view(np.int64)))
@@ -358,7 +387,8 @@ def _joined(documents: DataFrame, k: int, percent: int, id_col: str, text_col: s
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = shingle_levels(texts.select("text"), k)
     start = Round()
-    full = start.write(_described(texts, k, percent, levels, dict(documents.dtypes)[id_col]), "jaccard-described")
+    hot = hot_shingles(texts.select("text"), k, percent, levels)
+    full = start.write(_described(texts, k, percent, levels, hot, dict(documents.dtypes)[id_col]), "jaccard-described")
     described = materialise(full.select("id", "n", "set"), "jaccard-documents")
     sets = materialise(
         full.where("n > 0 AND id IS NOT NULL").groupBy("set", "n", "grp", *PARITY).agg(F.min("id").alias("doc")), "jaccard-distinct")

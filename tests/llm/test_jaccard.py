@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aeroledger.llm import jaccard
 from aeroledger.llm.graph import components
@@ -117,3 +119,17 @@ def test_only_contents_of_listed_sets_are_joined(spark):
     assert set(range(0, 1000, 50)) <= got and len(got) < 30
     assert jaccard._listed(contents, listed.limit(0), []).count() == 0
     assert jaccard._listed(contents.limit(0), listed, []).count() == 0
+
+
+def test_a_passage_of_many_documents_is_no_candidate_where_rarer_ones_are(spark, documents):
+    passage = " ".join(c * 30 for c in "abcdef")  # long, so it comes first but for its number
+    texts = documents(*[(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(12)]).select(
+        F.col("doc_id").alias("id"), "text")
+    levels = jaccard.shingle_levels(texts.select("text"), 3)
+    hot = jaccard.hot_shingles(texts.select("text"), 3, 80, levels)
+
+    def most(held):
+        found = jaccard._described(texts, 3, 80, levels, held, "bigint").select(F.explode("prefix").alias("token"))
+        return found.groupBy("token").count().agg(F.max("count")).first()[0]
+
+    assert most(np.zeros_like(hot)) == 12 and most(hot) == 1
