@@ -28,7 +28,7 @@ from ..plans.rollup import top_n
 from ..schema import FACT, FACT_COLUMNS, FILE_PLACE, ROW_SEQ, key_of
 from ..sources import ingest as ingestion, layers, sizes
 from ..sources.datamart import Star, build_star, read_first_rows, read_table
-from ..workspace import fresh_path
+from ..workspace import drop_table, fresh_path, shuffles_dropped
 from .oracle import DIM_FILTERS, PARSE_WORDS, RESOLVE_CASES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,16 +116,19 @@ def _inbox(spark, sf_dir):
     """Files of unequal size in both formats, and one that cannot be read; each sorted by the row key."""
     raw, folder = raw_flights(spark, sf_dir), fresh_path(spark, "ordered-inbox")
     parts = {"a.csv": "l_linenumber = 2", "b.parquet": "l_linenumber IN (1, 3)", "c.csv": "l_linenumber = 4", "d.parquet": "l_linenumber > 4"}
-    for name, condition in parts.items():
-        rows = layers.sorted_by(raw.where(condition).select(*ROW_KEY, "Airline", "FlightDate"), ROW_KEY)
-        layers.write_csv(rows, f"{folder}/{name}") if name.endswith(".csv") else rows.write.parquet(f"{folder}/{name}")
+    with shuffles_dropped(spark):
+        for name, condition in parts.items():
+            rows = layers.sorted_by(raw.where(condition).select(*ROW_KEY, "Airline", "FlightDate"), ROW_KEY)
+            layers.write_csv(rows, f"{folder}/{name}") if name.endswith(".csv") else rows.write.parquet(f"{folder}/{name}")
     raw.select(F.lit("not a parquet file")).limit(1).write.text(f"{folder}/broken.parquet")
     return folder
 
 
 @query("ingest_order")
 def _(spark, sf_dir):
-    landed = layers.land(ingestion.ingest(spark, _inbox(spark, sf_dir)), fresh_path(spark, "ordered"))
+    inbox = _inbox(spark, sf_dir)
+    landed = layers.land(ingestion.ingest(spark, inbox), fresh_path(spark, "ordered"))
+    drop_table(spark, inbox)
     keys = {c: ("double" if c in ("l_quantity", "l_extendedprice") else "bigint") for c in ROW_KEY}
     return number_stored_rows(landed, "fact_id").select("fact_id", *[F.col(c).try_cast(kind).alias(c) for c, kind in keys.items()])
 

@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.ids import PARTITION_BIT, first_rows
 from ..schema import FILE_PLACE, ROW_SEQ
+from ..workspace import materialise, setting, shuffles_dropped
 
 log = logging.getLogger(__name__)
 
@@ -20,21 +21,43 @@ def sorted_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
+def _numbered_by_place(raw: DataFrame) -> DataFrame:
+    """Rows of ingested files with ``ingest_seq``: the place of their block in the order of files and blocks, and their own in it.
+
+    Rows of a block are read in order by one task, so where none are missing among their numbers only blocks are counted
+    and no row is moved. Records with line breaks in quotes have gaps; tables with such files are sorted.
+    """
+    block = [F.col(f"{FILE_PLACE}.{c}").alias(c) for c in ("file", "block")]
+    blocks = materialise(raw.groupBy(*block).agg(
+        F.min(f"{FILE_PLACE}.row").alias("first"), F.max(f"{FILE_PLACE}.row").alias("last"), F.count(F.lit(1)).alias("n")), "file-blocks")
+    if not blocks.where("last - first + 1 <> n").isEmpty():
+        return sorted_by(raw, [FILE_PLACE]).drop(FILE_PLACE).withColumn(ROW_SEQ, F.monotonically_increasing_id())
+    ranked = blocks.select(  # a row for each block
+        F.struct("file", "block").alias("_block"), "first", (F.row_number().over(Window.orderBy("file", "block")) - 1).cast("bigint").alias("_rank"))
+    ranked = materialise(ranked, "file-ranks").withColumnRenamed("first", "_first")
+    placed = raw.withColumn("_block", F.struct(*block)).join(ranked, "_block", "left")
+    rank = F.coalesce("_rank", F.raise_error(F.lit("a file was split in another way than when its blocks were counted")).cast("bigint"))
+    seq = F.shiftleft(rank, PARTITION_BIT).bitwiseOR(F.col(f"{FILE_PLACE}.row") - F.col("_first"))
+    return placed.withColumn(ROW_SEQ, seq).drop("_block", "_first", "_rank", FILE_PLACE)
+
+
 def land(raw: DataFrame, path: str, row_key: Sequence[str] = ()) -> DataFrame:
     """Write raw rows once, with the position of every row fixed in ``ingest_seq``.
 
-    Rows of ingested files are sorted by file and place in it, others by the
-    columns of ``row_key``; without either they keep the order of the scan.
+    Rows of ingested files are numbered by file and place in it, others sorted by
+    the columns of ``row_key``; without either they keep the order of the scan.
     Every later rule on "first row" or "row number" reads the stored position,
     so no later step sorts the fact again.
     """
-    if FILE_PLACE in raw.columns:
-        raw = sorted_by(raw, [FILE_PLACE]).drop(FILE_PLACE)
-    elif row_key:
-        raw = sorted_by(raw, row_key)
-    numbered = raw.withColumn(ROW_SEQ, F.monotonically_increasing_id())
-    numbered.write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return read_landing(raw.sparkSession, path)
+    spark = raw.sparkSession
+    # Both scans of ingested files must split them alike, however many cores there are by then.
+    with shuffles_dropped(spark), setting(spark, "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)):
+        if FILE_PLACE in raw.columns:
+            numbered = _numbered_by_place(raw)
+        else:
+            numbered = (sorted_by(raw, row_key) if row_key else raw).withColumn(ROW_SEQ, F.monotonically_increasing_id())
+        numbered.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    return read_landing(spark, path)
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
